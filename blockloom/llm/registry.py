@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, mixing, spotsigs, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, langid, licenses, mixing, near_dedup, spotsigs, token_counts, toxicity, url_filter
 
-MODULES = (bpe, token_counts, toxicity, langid, url_filter, licenses, mixing, spotsigs, exact_dedup)
+MODULES = (bpe, token_counts, toxicity, langid, url_filter, licenses, mixing, near_dedup, spotsigs, exact_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
