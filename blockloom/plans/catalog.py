@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import event_queries
+
+MODULES = (event_queries,)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = "a01_event_usage"
+FLAGSHIP = "event_top_types"
