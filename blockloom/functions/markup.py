@@ -81,9 +81,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(blocks, lambda x: (x != "") & ~x.startswith("%") & ~x.rlike(r"^\\[a-zA-Z]+\*?$"))
 
 
+def _numbered(text: Column, name: str, pattern: str) -> Column:
+    """Every hit becomes [[NAME_n]], counted from 1."""
+    parts = F.split(text, pattern, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, F.concat(F.lit(f"[[{name.upper()}_"), i.cast("string"), F.lit("]]"), x)).otherwise(x)), "")
+
+
 def pii_redacted(text: Column) -> Column:
-    """Text with every hit replaced by a placeholder of its rule; ``pii.number_placeholders`` counts them."""
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[1], f"[[{rule[0].upper()}]]"), PII_RULES, text)
+    """Text with every hit replaced by a numbered placeholder of its rule; rules apply in order."""
+    return reduce(lambda t, rule: _numbered(t, *rule), PII_RULES, text)
 
 
 def pii_counts(text: Column) -> Column:
@@ -91,7 +97,7 @@ def pii_counts(text: Column) -> Column:
     counts, now = [], text
     for name, pattern in PII_RULES:
         counts += [F.lit(name), F.regexp_count(now, F.lit(pattern))]
-        now = F.regexp_replace(now, pattern, f"[[{name.upper()}]]")
+        now = _numbered(now, name, pattern)
     return F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
 
 
@@ -168,3 +174,69 @@ def script_of(point: Column) -> Column:
 def code_points(text: Column) -> Column:
     """The code points of a text's characters, in order."""
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+
+
+#: Inline markdown and its HTML, in order of application; code first, so that its text stays as it is not by chance bold.
+_INLINE_HTML = (
+    (r"`([^`]+)`", "<code>$1</code>"),
+    (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"),
+    (r"(?<!\*)\*([^*]+)\*(?!\*)", "<em>$1</em>"),
+    (r"~~([^~]+)~~", "<del>$1</del>"),
+    (r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'),
+)
+_INLINE_LATEX = (
+    (r"`([^`]+)`", r"\\texttt{$1}"),
+    (r"\*\*([^*]+)\*\*", r"\\textbf{$1}"),
+    (r"(?<!\*)\*([^*]+)\*(?!\*)", r"\\textit{$1}"),
+    (r"\[([^\]]+)\]\(([^)\s]+)\)", r"\\href{$2}{$1}"),
+)
+
+
+def html_escaped(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def latex_escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([#%&_])", r"\\$1")
+
+
+def inline_html(text: Column) -> Column:
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), _INLINE_HTML, html_escaped(text))
+
+
+def inline_latex(text: Column) -> Column:
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), _INLINE_LATEX, latex_escaped(text))
+
+
+def html_tables(html: Column) -> Column:
+    """array<array<struct<text, header, colspan, rowspan>>>: the rows of all tables of a page."""
+    number = lambda cell, name: F.coalesce(F.nullif(F.regexp_extract(cell, rf'(?i)^<t[dh][^>]*\b{name}="?([0-9]+)', 1), F.lit("")).cast("int"), F.lit(1))
+
+    def cell(x: Column) -> Column:
+        inner = visible_text(F.regexp_extract(x, r"(?is)^<t[dh][^>]*>(.*)</t[dh]>$", 1))
+        return F.struct(inner.alias("text"), x.rlike("(?i)^<th").alias("header"), number(x, "colspan").alias("colspan"), number(x, "rowspan").alias("rowspan"))
+
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>"), F.lit(0)), cell))
+
+
+def routed(question: Column, intents: list[tuple[str, int, list[str]]]) -> Column:
+    """struct<intent, score, confidence> of a question. intents: (name, priority, trigger phrases).
+
+    A phrase found scores 2 if it holds a space, else 1; score * 10 + priority ranks, the first of equals wins.
+    """
+    scores = []
+    for i, (name, priority, phrases) in enumerate(intents):
+        score = sum((F.when(F.contains(F.lower(question), F.lit(p)), 2 if " " in p else 1).otherwise(0) for p in phrases), F.lit(0))
+        scores.append(F.struct(F.when(score > 0, score * 10 + priority).otherwise(-1).alias("rank"), F.lit(-i).alias("order"), F.lit(name).alias("intent"), score.alias("score")))
+    best = F.array_max(F.array(*scores))
+    found = best["score"] > 0
+    return F.struct(F.when(found, best["intent"]).alias("intent"), best["score"].alias("score"), F.when(found, F.least(F.lit(0.95), 0.5 + 0.15 * best["score"])).otherwise(0.2).alias("confidence"))
+
+
+def first_rule(rules: list[tuple[int, Column, str]], otherwise: str) -> Column:
+    """The kind of the rule of lowest priority number that holds; conditions combine with &, | and ~."""
+    ordered = sorted(rules, key=lambda r: r[0])
+    return reduce(lambda out, rule: F.when(F.coalesce(rule[1], F.lit(False)), rule[2]).otherwise(out), reversed(ordered), F.lit(otherwise))
