@@ -37,7 +37,7 @@ def visible_documents(df: DataFrame) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """path, text: a row per file, for the text parsers."""
-    files = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
