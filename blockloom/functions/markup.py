@@ -1,14 +1,17 @@
-"""Expressions that read markup and plain text: scanners, classifiers, cleaners. All stay in the JVM.
+"""Expressions that read markup and plain text: scanners, classifiers, cleaners. All but one stay in the JVM.
 
 Patterns use explicit ASCII classes where the meaning allows it, so they mean the same in every engine.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Engine-specific LaTeX commands and packages (fixed values).
 LUA_COMMANDS = r"\\(directlua|luaexec|luadirect)\b"
@@ -240,3 +243,34 @@ def first_rule(rules: list[tuple[int, Column, str]], otherwise: str) -> Column:
     """The kind of the rule of lowest priority number that holds; conditions combine with &, | and ~."""
     ordered = sorted(rules, key=lambda r: r[0])
     return reduce(lambda out, rule: F.when(F.coalesce(rule[1], F.lit(False)), rule[2]).otherwise(out), reversed(ordered), F.lit(otherwise))
+
+
+@F.pandas_udf(StringType())
+def folded_upper(texts: pd.Series) -> pd.Series:
+    """Upper case without diacritics; Spark has no Unicode normalisation."""
+
+    def fold(text: str | None) -> str | None:
+        return None if text is None else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").upper()
+
+    return texts.map(fold, na_action="ignore")
+
+
+def dropped_glyphs(log: Column) -> Column:
+    """Sorted distinct characters that a compiler log reports as missing from a font."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(log, F.lit(r"Missing character: There is no (\S+) "), F.lit(1))))
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Sorted distinct characters that are no ASCII."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0))))
+
+
+def shimmed(rows, key: str, text: str, shims):
+    """key, declarations, unmapped: for each text, the replacements of its non-ASCII characters, and those that have none.
+
+    shims: (char, replacement), one row per character.
+    """
+    used = rows.select(key, F.explode(beyond_ascii(F.col(text))).alias("char")).join(shims, "char", "left")
+    declared = F.array_sort(F.collect_list(F.when(F.col("replacement").isNotNull(), F.concat(F.lit("\\newunicodechar{"), "char", F.lit("}{"), "replacement", F.lit("}")))))
+    unmapped = F.array_sort(F.collect_list(F.when(F.col("replacement").isNull(), F.col("char"))))
+    return used.groupBy(key).agg(F.array_join(declared, "\n").alias("declarations"), unmapped.alias("unmapped"))

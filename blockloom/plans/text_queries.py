@@ -330,3 +330,19 @@ def conv_longest_by_role(t: Tables) -> DataFrame:
 def conv_positions(t: Tables) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     return t.conversations.select("conv_id", "turn", (F.col("turn") - F.lag("turn").over(order)).alias("gap"), (F.row_number().over(order) <= 3).alias("near_start"))
+
+
+@catalog.query("""
+    SELECT doc_id, string_agg(CASE WHEN c IN ('é', 'ü') THEN '\\newunicodechar{' || c || '}{' || CASE c WHEN 'é' THEN 'e1' ELSE 'u2' END || '}' END, chr(10) ORDER BY c) AS declarations, list(c ORDER BY c) FILTER (c NOT IN ('é', 'ü')) AS unmapped
+    FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents WHERE lang IN ('de', 'fr')) GROUP BY doc_id HAVING count(*) FILTER (c NOT IN ('é', 'ü')) > 0 AND count(*) FILTER (c IN ('é', 'ü')) > 0""")
+def unicode_shims(t: Tables) -> DataFrame:
+    """Characters with a replacement and those without, of texts that have both."""
+    shims = t.spark.createDataFrame([("é", "e1"), ("ü", "u2")], "char string, replacement string")
+    found = markup.shimmed(t.documents.where(F.col("lang").isin("de", "fr")), "doc_id", "text", shims)
+    return found.where((F.size("unmapped") > 0) & (F.col("declarations") != ""))
+
+
+@catalog.query("""
+    SELECT doc_id, upper(strip_accents(left(text, 60))) AS folded FROM documents WHERE lang = 'fr'""")
+def folded_openings(t: Tables) -> DataFrame:
+    return t.documents.where(F.col("lang") == "fr").select("doc_id", markup.folded_upper(F.left("text", F.lit(60))).alias("folded"))
