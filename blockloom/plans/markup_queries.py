@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..operators import blocks, emit, parsers, relational
+from ..operators import blocks, emit, findings, parsers, relational
 from ..sources.tables import Tables
 from .registry import Catalog
 
@@ -224,3 +224,31 @@ def foreign_members(t: Tables) -> DataFrame:
     pairs = t.customer.where(F.col("c_custkey") < 20).select("c_custkey", "c_nationkey")
     owned = t.customer.select("c_custkey", (F.col("c_custkey") % 25).cast("int").alias("c_nationkey"))
     return relational.all_belong(pairs, "c_custkey", "c_nationkey", owned)
+
+
+@catalog.query("""
+    SELECT CASE p_size % 5 WHEN 2 THEN 'E_shimmed_trusted' WHEN 0 THEN CASE WHEN p_type = 'PROMO' THEN 'A_truthful' ELSE 'B_lying_full' END WHEN 1 THEN CASE WHEN p_type = 'PROMO' THEN 'A_truthful' ELSE 'B_lying_partial' END
+           ELSE CASE WHEN p_type = 'PROMO' THEN 'C_underclaimed' ELSE 'D_honest_unsupported' END END AS bucket, count(*) AS n FROM part GROUP BY 1""")
+def coverage_audit(t: Tables) -> DataFrame:
+    """Catalog claims against what is handled: here, promo parts."""
+    from .relational_queries import level
+
+    return t.part.groupBy(findings.coverage_claim(level(), F.col("p_type") == "PROMO").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@catalog.query(f"""
+    SELECT conv_id, turn, 'info' AS level, 'personal_data' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    WHERE n <= 3 AND regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}|linkedin\\.com/|github\\.com/')""")
+def personal_data_findings(t: Tables) -> DataFrame:
+    found = findings.structure(typed_blocks(t), "conv_id", "turn", "kind", "content")
+    return found.where(F.col("rule") == "personal_data")
+
+
+@catalog.query("""
+    SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'error' WHEN 3 THEN 'info' ELSE 'warning' END AS level, CASE s_suppkey % 4 WHEN 0 THEN 'broken_json' WHEN 1 THEN 'figure_without_alt' WHEN 2 THEN 'table_without_headers' ELSE 'empty' END AS rule FROM supplier""")
+def accessibility_findings(t: Tables) -> DataFrame:
+    """One block a supplier, each with one fault."""
+    n = F.col("s_suppkey") % 4
+    kind = F.when(n == 1, "image").when(n == 2, "table").otherwise("paragraph")
+    content = F.when(n == 0, "{broken").when(n == 1, '{"src":"a","caption":"c"}').when(n == 2, '{"headers":[],"rows":[]}').otherwise('{"text":"  "}')
+    return findings.accessibility(t.supplier.select("s_suppkey", kind.alias("kind"), content.alias("content")), ["s_suppkey"], "kind", "content")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import columns, markup
-from blockloom.operators import blocks, emit, fulltext, maintain, parsers, predicates, relational, sequences
+from blockloom.operators import blocks, emit, findings, fulltext, maintain, parsers, predicates, relational, sequences
 from blockloom.sources import tables
 from blockloom.streaming import events as stream
 
@@ -232,3 +232,11 @@ def test_readers(spark, tmp_path):
     assert [r.i for r in tables.visible_documents(docs).collect()] == [3] and tables.live(docs, include_deleted=True).count() == 3
     tables.write_tsv(docs, str(tmp_path / "tsv"))
     assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).count() == 3
+
+
+def test_structural_findings(spark):
+    rows = [("tableOfContents", "{}"), ("paragraph", '{"text":"me@x.org"}'), ("paragraph", '{"text":"Short Title"}'), ("paragraph", '{"text":"A sentence."}'), ("list", '{"items":["a"]}')]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "d int, o int, k string, c string")
+    assert sorted((r.o, r.rule) for r in findings.structure(df, "d", "o", "k", "c").collect()) == [(0, "empty_contents"), (1, "personal_data"), (2, "paragraph_as_heading"), (4, "list_of_one")]
+    heads = spark.createDataFrame([(1, i, "header", f'{{"text":"h","level":{v}}}') for i, v in enumerate((1, 2, 4, 3))], "d int, o int, k string, c string")
+    assert [(r.o, r.rule) for r in findings.structure(heads, "d", "o", "k", "c").collect()] == [(2, "skipped_level")]
