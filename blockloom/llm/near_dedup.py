@@ -5,11 +5,13 @@
 2. Documents that share a band's key share a bucket. Each is compared with the first of the bucket:
    signatures first, then whole sets. Confirmed links give components.
 3. A bucket that still holds several components may hide links between documents that are both far
-   from the first. Its documents outside the first one's component meet all others in tiles of bounded
-   size, by signature; pairs that pass and are not yet connected are confirmed on whole sets as well.
+   from the first. Components whose signatures agree make families (connected components again): by the
+   comparison with the first, and for documents far from it by meeting all others in tiles of bounded size.
+   The documents of a family meet in tiles too, where what is not yet connected is compared on whole sets.
 
-So no bucket is ever expanded into its pairs, yet every pair that shares a key is connected, or was
-compared. A pair of Jaccard 0.8 shares no key with probability (1 - 0.8^ROWS)^BANDS = 1.3e-7.
+No bucket is expanded into pairs: a tile returns only the few edges that join its components. Yet
+every pair that shares a key is connected, or was compared, or its signatures are far apart.
+A pair of Jaccard 0.8 shares no key with probability (1 - 0.8^ROWS)^BANDS = 1.3e-7.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ LEAST = 80
 #: Signatures that agree in a smaller share of minima are no candidates: at Jaccard 0.8 that is five standard deviations off.
 LEAST_AGREEMENT = 0.66
 TILE = 1024
+TILE_BYTES = 16 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -177,42 +180,104 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "sketch_u", "sketch_v").mapInArrow(agree, "u long, v long")
 
 
-def _tiles(open_rows: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of different components in rows (key, id, component, main, sketch, n_main, n_rest).
+def _forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of the pairs (a[i], b[i]), taken in order, that join parts not joined before."""
+    root = {int(p): int(p) for p in np.unique(parts)}
 
-    main marks the rows of the first document's component. The others are dealt to chunks of about
-    TILE rows, which meet the chunks of main and each other; a task holds one such tile.
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    kept = []
+    for i, (x, y) in enumerate(zip(parts[a].tolist(), parts[b].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return kept
+
+
+def _agreeing_pairs(sketch: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (one of left, one of right) of different parts whose signatures agree in enough minima."""
+    found = []
+    for at in range(0, len(left), 32):
+        some = left[at : at + 32]
+        hit = (sketch[some][:, None] == sketch[right][None]).view(np.uint8).sum(axis=2, dtype=np.uint8) >= LEAST_AGREEMENT * HASHES
+        hit &= parts[some][:, None] != parts[right][None]
+        x, y = np.nonzero(hit)
+        found.append(np.stack([some[x], right[y]]))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _families(open_rows: DataFrame) -> DataFrame:
+    """Edges (u, v) between components that may be linked, from rows (key, id, component, main, sketch, n_main, n_rest).
+
+    main marks rows of the first document's component, or whose signatures agree with the first one's: they are
+    one family already. The others are dealt to chunks of about TILE rows, which meet the chunks of main and
+    each other; a task holds one such tile, and returns no more edges than join its components.
     """
-    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(6)), F.greatest(F.ceil(F.col(n) / TILE), F.lit(1))).cast("int")
     chunks = lambda n: F.greatest(F.ceil(F.col(n) / TILE), F.lit(1)).cast("int")
-    tile = lambda m, i, j: F.struct(m.cast("boolean").alias("with_main"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    of_rest = F.sequence(F.lit(0), chunks("n_rest") - 1)
-    of_main = F.sequence(F.lit(0), chunks("n_main") - 1)
+    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(6)), chunks(n)).cast("int")
+    tile = lambda m, i, j: F.struct(F.lit(m).alias("with_main"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_rest, of_main = (F.sequence(F.lit(0), chunks(n) - 1) for n in ("n_rest", "n_main"))
     own_main, own_rest = chunk("n_main"), chunk("n_rest")
-    places = F.when(F.col("main"), F.transform(of_rest, lambda j: tile(F.lit(True), own_main, j))).otherwise(
-        F.concat(F.transform(of_main, lambda i: tile(F.lit(True), i, own_rest)), F.transform(of_rest, lambda j: tile(F.lit(False), F.least(own_rest, j), F.greatest(own_rest, j))))
+    places = F.when(F.col("main"), F.transform(of_rest, lambda j: tile(True, own_main, j))).otherwise(
+        F.concat(F.transform(of_main, lambda i: tile(True, i, own_rest)), F.transform(of_rest, lambda j: tile(False, F.least(own_rest, j), F.greatest(own_rest, j))))
     )
-    placed = open_rows.withColumn("tile", F.explode(places)).select("key", "tile.*", "id", "component", "main", "sketch")
+    placed = open_rows.withColumn("tile", F.explode(places)).select("key", "tile.*", "component", "main", "sketch")
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, parts, main = (group.column(c).to_numpy() for c in ("id", "component", "main"))
+        parts, main = (group.column(c).to_numpy() for c in ("component", "main"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
-        crossing = bool(group.column("with_main")[0].as_py())
-        found = [np.empty((0, 2), np.int64)]
         rest = np.flatnonzero(~main)
-        others = np.flatnonzero(main) if crossing else rest
-        for at in range(0, len(rest), 32):
-            some = rest[at : at + 32]
-            hit = (sketch[some][:, None] == sketch[others][None]).sum(axis=2) >= LEAST_AGREEMENT * HASHES
-            hit &= parts[some][:, None] != parts[others][None]
-            a, b = np.nonzero(hit)
-            pair = np.stack([ids[some[a]], ids[others[b]]], axis=1)
-            found.append(np.stack([pair.max(axis=1), pair.min(axis=1)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+        a, b = _agreeing_pairs(sketch, parts, rest, np.flatnonzero(main) if group.column("with_main")[0].as_py() else rest)
+        kept = _forest(parts, a, b)
+        return pa.table({"u": parts[a[kept]].astype(np.int64), "v": parts[b[kept]].astype(np.int64)})
+
+    return placed.groupBy("key", "with_main", "i", "j").applyInArrow(compare, "u long, v long")
 
-    return placed.groupBy("key", "with_main", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+def _links_within(rows: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Links (u, v) between the components of each family, from rows (family, id, component, sketch, text).
+
+    All documents of a family meet in tiles, signatures first, then whole sets; a task holds the two
+    chunks of a tile, about TILE rows or TILE_BYTES each, and returns no more links than join its components.
+    """
+    sizes = rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES), F.lit(1)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    placed = rows.join(sizes, "family").withColumn("chunk", own).withColumn("tile", F.explode(places)).select("family", "tile.*", "chunk", "id", "component", "sketch", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, parts, chunk = (group.column(c).to_numpy() for c in ("id", "component", "chunk"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        a, b = _agreeing_pairs(sketch, parts, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
+        agreement = (sketch[a] == sketch[b]).sum(axis=1) if len(a) < 1_000_000 else np.zeros(len(a))
+        order = np.argsort(-agreement, kind="stable")
+        sets = dict(zip((used := np.unique(np.concatenate([a, b]))).tolist(), map(set, map(np.ndarray.tolist, shingle_sets(group.column("text").combine_chunks().take(pa.array(used)), shingle))), strict=True)) if len(a) else {}
+        root = {int(p): int(p) for p in np.unique(parts)}
+        found = []
+
+        def find(p: int) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = find(int(parts[x])), find(int(parts[y]))
+            if p != q:
+                common = len(sets[x] & sets[y])
+                if 100 * common >= least * (len(sets[x]) + len(sets[y]) - common):
+                    root[p] = q
+                    found.append((x, y))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"u": ids[pairs[:, 0]].astype(np.int64), "v": ids[pairs[:, 1]].astype(np.int64)})
+
+    return placed.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,20 +302,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST,
     texts = rows.where(F.col("id").isNotNull())
     sketches = first.select("id", "sketch")
     pairs = buckets.where(F.col("u") != F.col("v")).select("u", "v").distinct()
-    links = stored(confirmed(_agreeing(pairs, sketches), texts, shingle, least), "near-links")
+    agreeing = stored(_agreeing(pairs, sketches), "near-agreeing")
+    links = stored(confirmed(agreeing, texts, shingle, least), "near-links")
     labels = connected_components(links)
 
     # Buckets of several components: their pairs beyond those with the first document.
     label = labels.select(F.col("node").alias("u"), "component")
     known = buckets.where(F.col("n") > 2).join(label, "u", "left").withColumn("component", F.coalesce("component", "u"))
-    known = known.join(labels.select(F.col("node").alias("v"), F.col("component").alias("of_first")), "v", "left")
-    known = stored(known.withColumn("main", F.col("component") == F.coalesce("of_first", "v")).select("key", F.col("u").alias("id"), "component", "main"), "near-known")
+    known = known.join(labels.select(F.col("node").alias("v"), F.col("component").alias("of_first")), "v", "left").withColumn("of_first", F.coalesce("of_first", "v"))
+    known = known.join(agreeing.withColumn("near", F.lit(True)), ["u", "v"], "left")
+    main = (F.col("component") == F.col("of_first")) | F.coalesce("near", F.lit(False))
+    known = stored(known.select("key", F.col("u").alias("id"), "component", "of_first", main.alias("main")), "near-known")
     several = known.groupBy("key").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where((F.col("n_rest") > 0) & (F.col("n_main") + F.col("n_rest") > 2))
     open_rows = known.join(several, "key").join(sketches, "id")
-    more = stored(_tiles(open_rows), "near-more")
-    if more.limit(1).count():
-        links = links.union(stored(confirmed(more.join(pairs, ["u", "v"], "left_anti"), texts, shingle, least), "near-links"))
-        labels = connected_components(links)
+    by_first = known.where(F.col("main") & (F.col("component") != F.col("of_first"))).select(F.col("component").alias("u"), F.col("of_first").alias("v"))
+    edges = stored(by_first.union(_families(open_rows)).distinct(), "near-families")
+    if edges.limit(1).count():
+        families = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        relatives = known.select("id", "component").distinct().join(families, "component").join(sketches, "id")
+        more = stored(_links_within(stored(relatives.join(texts, "id").dropDuplicates(["id"]), "near-relatives"), shingle, least), "near-links")
+        labels = connected_components(links.union(more))
 
     whole = classes.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("class_component"))
     out = signed.select("id", "n_shingles", "set_a", "set_b").join(whole, ["set_a", "set_b", "n_shingles"], "left")
