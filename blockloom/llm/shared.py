@@ -45,3 +45,19 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(name: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def below(order: str, n: int, total: int) -> Column:
+    """Whether a row is in the hashed sample of about n of total rows; order: a column of 64-bit hashes."""
+    share = 1.0 if total <= n else n / total
+    return F.shiftrightunsigned(F.col(order), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+
+
+#: Ids that a task may hold at once: 16 MB and their hash table.
+MOST_BROADCAST_IDS = 1_000_000
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids (distinct, stored). Few ids, by count, go to the scan's tasks; more meet the rows in a shuffle."""
+    few = ids.count() <= MOST_BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")

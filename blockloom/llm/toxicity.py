@@ -4,8 +4,8 @@ A document is a bag of sentences. A logistic model scores each sentence by its w
 combines the scores to the document's, and only labels of documents train it:
 P(toxic) = 1 - prod(1 - p(sentence)). The sentence scores then tell where the offence stands.
 
-Training runs on the driver over a bounded sample: ``train_rows`` labelled documents of at most
-``train_bytes`` each, in the order of a hash of the id. Scoring reads every sentence of every text.
+Training runs on the driver over a bounded sample: about ``train_rows`` labelled documents of
+at most ``train_bytes`` each, chosen by a hash of the id. Scoring reads every sentence of every text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, table, text_or_empty
+from .shared import below, crc_mod, stored, table, text_or_empty
 
 TRAIN_ROWS = 20_000
 TRAIN_BYTES = 8_192
@@ -91,7 +91,7 @@ def sentences(texts: pa.Array) -> Sentences:
 
 @dataclass
 class Model:
-    """Weights of words, found by hash in a table of slots; words that share a slot stand in ``more``, sorted."""
+    """Weights of words by their hash (tags, sorted)."""
 
     tags: np.ndarray
     weights: np.ndarray
@@ -116,72 +116,99 @@ class Model:
         return -np.expm1(-total), 1 / (1 + np.exp(-z))
 
 
-def likelihood_ratio(hits: np.ndarray, n: np.ndarray, all_hits: float, total: int) -> np.ndarray:
-    """G statistic of the 2x2 table of word and label."""
-    observed = np.stack([hits, n - hits, all_hits - hits, total - n - all_hits + hits])
-    rate = all_hits / total
-    expected = np.stack([n * rate, n * (1 - rate), (total - n) * rate, (total - n) * (1 - rate)])
-    return 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0).sum(axis=0)
+def fit(tags: np.ndarray, feature: np.ndarray, sentence: np.ndarray, n_sentences: np.ndarray, labels: np.ndarray) -> Model:
+    """Adam on the noisy-or likelihood of the documents' labels.
 
-
-def fit(words: list[np.ndarray], of_word: list[np.ndarray], n_sentences: np.ndarray, labels: np.ndarray) -> Model:
-    """Adam on the noisy-or likelihood of the documents' labels."""
+    tags: hashes of the words that may carry weight, sorted; feature and sentence: their occurrences.
+    """
     if not len(labels) or labels.min() == labels.max():
         rate = float(np.clip(labels.mean(), 0.001, 0.5)) if len(labels) else 0.001
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(rate)) - 6)
-    first = np.concatenate([[0], np.cumsum(n_sentences)])
-    word = np.concatenate(words)
-    sentence = np.concatenate([s + a for s, a in zip(of_word, first[:-1], strict=True)])
     document = np.repeat(np.arange(len(labels)), n_sentences)
-    distinct, code = np.unique(word, return_inverse=True)
-    pairs = np.unique(code.astype(np.int64) * len(labels) + document[sentence])
-    in_documents = np.bincount(pairs // len(labels), minlength=len(distinct))
-    in_toxic = np.bincount(pairs // len(labels), labels[pairs % len(labels)], minlength=len(distinct))
-    g = likelihood_ratio(in_toxic, in_documents, labels.sum(), len(labels))
-    kept = np.flatnonzero((in_documents >= MIN_DOCUMENTS) & (g >= LEAST_G))
-    kept = np.sort(kept[np.argsort(-g[kept], kind="stable")[:MOST_WORDS]])
-    feature = np.full(len(distinct), -1)
-    feature[kept] = np.arange(len(kept))
-    used = feature[code] >= 0
-    feature, sentence = feature[code][used], sentence[used]
-    w, b = np.zeros(len(kept)), -6.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    w, b = np.zeros(len(tags)), -6.0
+    m, v = np.zeros(len(tags) + 1), np.zeros(len(tags) + 1)
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(sentence, w[feature], minlength=first[-1])
+        z = b + np.bincount(sentence, w[feature], minlength=len(document))
         clean = np.exp(-np.bincount(document, np.logaddexp(0, z), minlength=len(labels)))
         pull = np.where(labels == 1, -(1 - NOISE) * clean / (NOISE + (1 - NOISE) * (1 - clean)), 1.0)
         dz = pull[document] / (1 + np.exp(-z)) / len(labels)
-        gradient = np.append(np.bincount(feature, dz[sentence], minlength=len(kept)) + PRIOR / len(labels) * w, dz.sum())
+        gradient = np.append(np.bincount(feature, dz[sentence], minlength=len(tags)) + PRIOR / len(labels) * w, dz.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], min(b - move[-1], -4.0)
     strong = np.abs(w) >= LEAST_WEIGHT
-    return Model(distinct[kept][strong], w[strong], float(b))
+    return Model(tags[strong], w[strong], float(b))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Fits on rows with a label of 0 or 1; at most train_rows rows of at most train_bytes."""
-    rows = (
-        labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text_or_empty(text_col)) <= train_bytes))
-        .select(text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).alias("order"))
-        .orderBy("order", "text", "label").limit(train_rows)
-    )
+def choose_words(rows: DataFrame) -> np.ndarray:
+    """Hashes, sorted, of at most MOST_WORDS words whose documents are labelled unlike the others; counted in Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, labels = sentences(batch.column("text")), batch.column("label").to_numpy()
+            distinct, code = np.unique(s.word, return_inverse=True)
+            pairs = np.unique(code.astype(np.int64) * batch.num_rows + s.of_sentence[s.of_word])
+            n = np.bincount(pairs // batch.num_rows, minlength=len(distinct))
+            hits = np.bincount(pairs // batch.num_rows, labels[pairs % batch.num_rows], minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n, pa.int64()), pa.array(hits.astype(np.int64))], names=["word", "n", "hits"])
+
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).first()
+    if not total["hits"] or total["hits"] == total["n"]:
+        return np.empty(0, np.uint64)
+    words = rows.mapInArrow(count, "word long, n long, hits long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    n, hits, all_n, all_hits = F.col("n"), F.col("hits"), F.lit(float(total["n"])), F.lit(float(total["hits"]))
+
+    def part(observed: Column, expected: Column) -> Column:
+        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+
+    rate = all_hits / all_n
+    g = 2 * (part(hits, n * rate) + part(n - hits, n * (1 - rate)) + part(all_hits - hits, (all_n - n) * rate) + part(all_n - n - all_hits + hits, (all_n - n) * (1 - rate)))
+    strong = words.where((n >= MIN_DOCUMENTS) & (g >= LEAST_G)).orderBy(g.desc(), "word").limit(MOST_WORDS).select("word").toArrow()
+    return np.sort(strong.column("word").to_numpy().view(np.uint64))
+
+
+def sample_order(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """About train_rows labelled documents. The labels are sampled first: so few that they go to every task of the scan."""
+    some = labels.withColumn("_order", sample_order(id_col))
+    some = some.where(below("_order", train_rows, labels.count())).drop("_order")
+    return docs.join(F.broadcast(some), id_col)
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits on rows with a label of 0 or 1; about train_rows rows of at most train_bytes, chosen by a hash of the id.
+
+    The driver gets the occurrences of the chosen words only, and the number of each document's sentences.
+    """
+    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text_or_empty(text_col)) <= train_bytes)).select(
+        text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), sample_order(id_col).alias("order")
+    )
+    rows = stored(rows.where(below("order", train_rows, rows.count())), "toxicity-sample")
+    tags = choose_words(rows)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = sentences(batch.column("text"))
-            text_of_word = s.of_sentence[s.of_word]
+            at = np.searchsorted(tags, s.word)
+            at[at == len(tags)] = 0
+            hit = tags[at] == s.word if len(tags) else np.zeros(len(s.word), bool)
+            text = s.of_sentence[s.of_word[hit]]
             n = np.bincount(s.of_sentence, minlength=batch.num_rows)
-            a = np.searchsorted(text_of_word, np.arange(batch.num_rows + 1))
-            first = np.concatenate([[0], np.cumsum(n)])
-            words = [s.word[a[i] : a[i + 1]].tobytes() for i in range(batch.num_rows)]
-            of = [(s.of_word[a[i] : a[i + 1]] - first[i]).astype(np.int32).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(of, pa.binary()), pa.array(n, pa.int32()), batch.column("label")], names=["words", "of", "n", "label"])
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            number = s.of_word[hit] - (np.cumsum(n) - n)[text]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (at[hit], number)]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(n, pa.int32()), *lists], names=["order", "label", "n", "feature", "sentence"])
 
-    got = rows.mapInArrow(count, "words binary, of binary, n int, label int").toArrow()
-    words = [np.frombuffer(b, np.uint64) for b in got.column("words").to_pylist()]
-    of = [np.frombuffer(b, np.int32).astype(np.int64) for b in got.column("of").to_pylist()]
-    return fit(words, of, got.column("n").to_numpy(), got.column("label").to_numpy())
+    got = rows.select("order", "label", "text").mapInArrow(occurrences, "order long, label int, n int, feature array<int>, sentence array<int>").toArrow()
+    got = got.sort_by([("order", "ascending"), ("label", "ascending"), ("n", "ascending")]).combine_chunks()
+    n = got.column("n").to_numpy().astype(np.int64)
+    flat = {c: got.column(c).combine_chunks() for c in ("feature", "sentence")}
+    sizes = np.diff(flat["feature"].offsets.to_numpy()) if got.num_rows else np.empty(0, np.int64)
+    feature, sentence = (flat[c].flatten().to_numpy().astype(np.int64) for c in ("feature", "sentence"))
+    return fit(tags, feature, sentence + np.repeat(np.cumsum(n) - n, sizes), n, got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -217,7 +244,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", "toxic")
-    model = train(docs.join(labels, "doc_id"))
+    model = train(labelled_sample(docs, labels))
     scored = score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
 
