@@ -4,8 +4,8 @@ One convolution over bytes for each width, max pooling over a window, and softma
 into windows of WINDOW bytes that overlap by the widest filter less one, so every run of bytes that
 a filter can see is seen; a text's probabilities are its windows' mean, weighted by their length.
 
-Training uses a bounded sample: ``train_rows`` texts of each language in the order of a hash of the
-id, and TRAIN_WINDOWS windows of each, spread over the whole text.
+Training uses a bounded sample: about ``train_rows`` texts of each language, chosen in the scan by a
+hash of the id, and TRAIN_WINDOWS windows of each, spread over the whole text.
 """
 
 from __future__ import annotations
@@ -15,16 +15,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, table, text_or_empty
+from .shared import below, crc_mod, table, text_or_empty
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 128
 TRAIN_ROWS = 1_000
+#: The most frequent languages are learned, up to this number.
+MOST_LANGS = 100
 TRAIN_WINDOWS = 4
 EPOCHS = 6
 BATCH = 128
@@ -135,13 +137,15 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 5
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Network:
-    """Fits on rows with a language and a non-empty text; at most train_rows of each language."""
+    """Fits on rows with a language and a non-empty text; about train_rows of each language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_or_empty(text_col)) > 0)).select(
         text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("order")
     )
-    # The first rows of each language and slice, then of each language: no task gets all rows of a large one.
-    slices, order = 16, F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(16))).orderBy("order", F.md5("text")))
-    some = rows.withColumn("n", order).where(F.col("n") <= -(-train_rows // slices)).drop("n")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    chosen = F.lit(False)
+    for r in counts:
+        chosen = chosen | ((F.col("lang") == r["lang"]) & below("order", train_rows, r["n"]))
+    some = rows.where(chosen)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
