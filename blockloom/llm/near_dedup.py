@@ -16,7 +16,7 @@ A pair of Jaccard 0.8 shares no key with probability (1 - 0.8^ROWS)^BANDS = 1.3e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored, table, text_or_empty
+from .shared import having, stored, table, text_or_empty
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -144,8 +144,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets share at least ``least`` percent of their union."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = stored(docs.join(nodes, "id").dropDuplicates(["id"]), "near-texts")
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "near-nodes")
+    texts = stored(having(docs, nodes, "id").dropDuplicates(["id"]), "near-texts")
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
     both = pairs.join(right, "v").join(left, "u")
 
@@ -180,8 +180,8 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "sketch_u", "sketch_v").mapInArrow(agree, "u long, v long")
 
 
-def _forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Indices of the pairs (a[i], b[i]), taken in order, that join parts not joined before."""
+def _forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray, linked: Callable[[int, int], bool] = lambda x, y: True) -> list[int]:
+    """Indices of the pairs of rows (a[i], b[i]), taken in order, that are linked and join parts not joined before."""
     root = {int(p): int(p) for p in np.unique(parts)}
 
     def find(p: int) -> int:
@@ -191,10 +191,10 @@ def _forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
         return p
 
     kept = []
-    for i, (x, y) in enumerate(zip(parts[a].tolist(), parts[b].tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(int(parts[x])), find(int(parts[y]))
+        if p != q and linked(x, y):
+            root[p] = q
             kept.append(i)
     return kept
 
@@ -255,27 +255,18 @@ def _links_within(rows: DataFrame, shingle: int, least: int) -> DataFrame:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
         a, b = _agreeing_pairs(sketch, parts, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
-        agreement = (sketch[a] == sketch[b]).sum(axis=1) if len(a) < 1_000_000 else np.zeros(len(a))
-        order = np.argsort(-agreement, kind="stable")
-        sets = dict(zip((used := np.unique(np.concatenate([a, b]))).tolist(), map(set, map(np.ndarray.tolist, shingle_sets(group.column("text").combine_chunks().take(pa.array(used)), shingle))), strict=True)) if len(a) else {}
-        root = {int(p): int(p) for p in np.unique(parts)}
-        found = []
-
-        def find(p: int) -> int:
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
-
-        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            p, q = find(int(parts[x])), find(int(parts[y]))
-            if p != q:
-                common = len(sets[x] & sets[y])
-                if 100 * common >= least * (len(sets[x]) + len(sets[y]) - common):
-                    root[p] = q
-                    found.append((x, y))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"u": ids[pairs[:, 0]].astype(np.int64), "v": ids[pairs[:, 1]].astype(np.int64)})
+        agreement = [np.empty(0, np.int64), *((sketch[a[at : at + 50_000]] == sketch[b[at : at + 50_000]]).sum(axis=1) for at in range(0, len(a), 50_000))]
+        order = np.argsort(-np.concatenate(agreement), kind="stable")
+        used = np.unique(np.concatenate([a, b])).astype(np.int64)
+        hashes = shingle_sets(pa.concat_arrays(group.column("text").chunks).take(pa.array(used)), shingle) if len(used) else []
+        sets = {row: set(values.tolist()) for row, values in zip(used.tolist(), hashes, strict=True)}
+
+        def linked(x: int, y: int) -> bool:
+            common = len(sets[x] & sets[y])
+            return 100 * common >= least * (len(sets[x]) + len(sets[y]) - common)
+
+        kept = order[_forest(parts, a[order], b[order], linked)]
+        return pa.table({"u": ids[a[kept]].astype(np.int64), "v": ids[b[kept]].astype(np.int64)})
 
     return placed.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
@@ -319,8 +310,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST,
     edges = stored(by_first.union(_families(open_rows)).distinct(), "near-families")
     if edges.limit(1).count():
         families = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
-        relatives = known.select("id", "component").distinct().join(families, "component").join(sketches, "id")
-        more = stored(_links_within(stored(relatives.join(texts, "id").dropDuplicates(["id"]), "near-relatives"), shingle, least), "near-links")
+        relatives = stored(known.select("id", "component").distinct().join(families, "component").join(sketches, "id"), "near-relatives")
+        relatives = relatives.join(having(texts, relatives.select("id"), "id").dropDuplicates(["id"]), "id")
+        more = stored(_links_within(stored(relatives, "near-relatives"), shingle, least), "near-links")
         labels = connected_components(links.union(more))
 
     whole = classes.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("class_component"))
