@@ -10,6 +10,7 @@ hash of the id, and TRAIN_WINDOWS windows of each, spread over the whole text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,9 @@ EPOCHS = 6
 BATCH = 128
 RATE = 0.01
 UNDETERMINED = "und"
+#: A clean text scores at least the score that LEAST_SHARE of the sample's texts do not exceed, and never needs more than LEAST_SCORE.
+LEAST_SHARE = 0.005
+LEAST_SCORE = 0.6
 
 
 @dataclass
@@ -136,8 +140,8 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 5
     return net
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Network:
-    """Fits on rows with a language and a non-empty text; about train_rows of each language."""
+def training_texts(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """text, lang: about train_rows rows of each language, with a non-empty text."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_or_empty(text_col)) > 0)).select(
         text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("order")
     )
@@ -145,7 +149,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & below("order", train_rows, r["n"]))
-    some = rows.where(chosen)
+    return rows.where(chosen).select("text", "lang")
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Network:
+    """Fits on rows with a language and a non-empty text; about train_rows of each language."""
+    return train_on(training_texts(labelled, text_col, lang_col, id_col, train_rows))
+
+
+def train_on(texts: DataFrame) -> Network:
+    """Fits on all rows of training_texts()."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +171,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 names += [name] * len(starts)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["window", "lang"])
 
-    got = some.select("text", "lang").mapInArrow(sample, "window binary, lang string").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    got = texts.mapInArrow(sample, "window binary, lang string").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
     lang = got.column("lang").to_pylist()
     langs = sorted(set(lang))
     windows = np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -199,6 +212,18 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     return frame.mapInArrow(apply, schema)
 
 
+def least_score(texts: DataFrame, net: Network) -> float:
+    """The score below which a text is in none of the network's languages, fitted on training_texts().
+
+    At most about LEAST_SHARE of texts like the sample's fall below it. 0 if there is nothing to fit on.
+    """
+    scores = sorted(r["score"] for r in predict(texts, net).where(F.col("lang_pred") != UNDETERMINED).select("score").collect())
+    if not scores:
+        return 0.0
+    fitted = scores[max(0, math.ceil(len(scores) * LEAST_SHARE - 1e-9) - 1)]
+    return min(LEAST_SCORE, fitted - 1e-3)  # sums of floats depend on the batch
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = train(docs.where(crc_mod("doc_id", 5) != 0))

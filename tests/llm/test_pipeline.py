@@ -58,3 +58,15 @@ def test_stages_take_odd_rows(spark):
     assert stage("BPE encoding")(spark, docs, "").count() == len(rows)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_decides(spark):
+    good = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and re.search(r"[^\W\d_]", r.text)]
+    pick = {x: next(r for r in good if r.lang == x and 300 < len(r.text) < 900) for x in ("en", "de")}
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4, "4f9c0be1a7d3" * 60]
+    odd = [(-1, pick["de"].text, "en"), (-2, pick["en"].text, None), (-3, pick["de"].text, None)] + [(-4 - i, t, None) for i, t in enumerate(foreign)]
+    docs = spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in good] + [(*r, "s1", 1) for r in odd], SCHEMA)
+    got = {r.doc_id: r.lang for r in stage("language ID")(spark, docs, "").collect()}
+    assert (got[-1], got[-2], got[-3]) == ("de", "en", "de")  # the text tells, not the label
+    assert not {-4, -5, -6} & set(got)
+    assert sum(got.get(r.doc_id) == r.lang for r in good) >= 0.99 * len(good)
