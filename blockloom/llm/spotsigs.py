@@ -25,26 +25,56 @@ ANCHORS = tuple(
 )
 CHAIN = 2
 LEAST = 0.8
+#: Anchored chains that a text needs to be compared by them: so many, and one for so many characters.
+LEAST_SPOTS = 8
+SPOT_CHARS = 100
 _MARK = "\u0001"
 
 
-def chains(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """The distinct chains of a text, as words joined by spaces."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    marked = F.regexp_replace(words, f" (?:{'|'.join(sorted(set(anchors), key=lambda w: (-len(w), w)))})(?= )", f" {_MARK}")
+def _words(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def anchored_chains(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """The distinct chains that follow a text's anchors, as words joined by spaces."""
+    marked = F.regexp_replace(_words(text), f" (?:{'|'.join(sorted(set(anchors), key=lambda w: (-len(w), w)))})(?= )", f" {_MARK}")
     content = f"[^ {_MARK}]+"
     link = f"(?: {_MARK})* +{content}"
     spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?= +({content}(?:{link}){{{CHAIN - 1}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(spots, lambda x: F.regexp_replace(F.replace(x, F.lit(f" {_MARK}"), F.lit("")), " +", " ")))
+
+
+def free_chains(text: Column) -> Column:
+    """The distinct chains of all words of a text; texts of fewer words than a chain themselves."""
+    words = _words(text)
+    content = f"[^ {_MARK}]+"
     every = F.regexp_extract_all(words, F.lit(f" (?=({content}(?: +{content}){{{CHAIN - 1}}}))"), F.lit(1))
     bare = F.trim(words)
     few = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array(bare))
-    found = F.when(F.size(spots) > 0, spots).when(F.size(every) > 0, every).otherwise(few)
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit(f" {_MARK}"), F.lit("")), " +", " ")))
+    return F.array_distinct(F.when(F.size(every) > 0, every).otherwise(few))
+
+
+def chains(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """The distinct chains of a text: those that follow anchors or, without any, those of all words."""
+    spots = anchored_chains(text, anchors)
+    return F.when(F.size(spots) > 0, spots).otherwise(free_chains(text))
+
+
+def hashed(found: Column) -> Column:
+    """Sorted distinct 32-bit hashes of chains."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
 
 
 def signature_set(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """Sorted distinct 32-bit hashes of the chains."""
-    return F.array_sort(F.array_distinct(F.transform(chains(text, anchors), lambda x: F.hash(x))))
+    return hashed(chains(text, anchors))
+
+
+def with_signatures(rows: DataFrame, text: str, name: str, enough: str) -> DataFrame:
+    """Adds the text's signature set and whether it has enough anchored chains to be judged by them."""
+    spots = rows.withColumn("_spots", hashed(anchored_chains(F.col(text))))
+    least = F.greatest(F.lit(LEAST_SPOTS), F.length(text) / SPOT_CHARS)
+    found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(hashed(free_chains(F.col(text))))
+    return spots.withColumn(name, found).withColumn(enough, F.size("_spots") >= least).drop("_spots")
 
 
 def printed(signatures: Column) -> Column:
@@ -119,7 +149,11 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per input row.
+    """Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, like_edited, like_next: a row per input row.
+
+    near_ columns are the Jaccard of the fingerprints as they are, of which one may have anchored chains and
+    the other those of all words; like_ columns compare the two texts in one form: anchored chains if
+    both have enough of them, else the chains of all words.
 
     The edited text has its last third (rounded down) replaced by the start of the next text, by
     descending id; after the last comes the first. Rows without an id come last, rows that share one
@@ -127,13 +161,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), text_or_empty(text_col).alias("text"))
-    marked = with_next(rows, "key", "text").withColumn("signatures", signature_set(F.col("text")))
+    marked = with_signatures(with_next(rows, "key", "text"), "text", "signatures", "enough")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
-    both = marked.withColumn("next", F.lead(F.struct("text", "signatures")).over(order)).where(~F.col("ghost"))
+    both = marked.withColumn("next", F.lead(F.struct("text", "signatures", "enough")).over(order)).where(~F.col("ghost"))
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = both.select(
-        "key", n.cast("long").alias("n_chars"), "signatures", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third)).alias("edited"), F.col("next.signatures").alias("next_signatures")
-    ).withColumn("edited_signatures", signature_set(F.col("edited")))
+        "key", n.cast("long").alias("n_chars"), "text", "signatures", "enough", "next", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third)).alias("edited")
+    )
+    edited = with_signatures(edited, "edited", "edited_signatures", "edited_enough")
+    to_edited, to_next = F.col("enough") & F.col("edited_enough"), F.col("enough") & F.col("next.enough")
+    free = lambda text: hashed(free_chains(F.col(text)))
+    edited = edited.select("*", F.when(~(to_edited & to_next), free("text")).alias("free"), F.when(~to_edited, free("edited")).alias("edited_free"), F.when(~to_next, free("next.text")).alias("next_free"))
     return edited.select(
         F.when(F.col("key") != lowest, F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col),
         "n_chars",
@@ -141,7 +179,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         printed(F.col("signatures")).alias("fingerprint"),
         printed(F.col("edited_signatures")).alias("edited_fingerprint"),
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
-        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+        likeness(F.col("signatures"), F.col("next.signatures")).alias("near_next"),
+        F.when(to_edited, likeness(F.col("signatures"), F.col("edited_signatures"))).otherwise(likeness(F.col("free"), F.col("edited_free"))).alias("like_edited"),
+        F.when(to_next, likeness(F.col("signatures"), F.col("next.signatures"))).otherwise(likeness(F.col("free"), F.col("next_free"))).alias("like_next"),
     )
 
 

@@ -83,3 +83,30 @@ def test_matches(spark):
         got = {(r.query_id, r.id) for r in spotsigs.matches(prints, spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), least=least), least=least).collect()} if least == spotsigs.LEAST else None
         if got is not None:
             assert got == {(a, b) for a, s in rows for b, t in rows if s and t and jaccard(brute_chains(s), brute_chains(t)) >= least}
+
+
+def free(text):
+    words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    return {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
+
+
+def anchored(text):
+    words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    content = [i for i, w in enumerate(words) if w not in ANCHORS]
+    return {f"{words[a]} {words[b]}" for a, b in zip(content, content[1:]) if a and words[a - 1] in ANCHORS}
+
+
+def test_texts_are_compared_in_one_form(spark):
+    bare = " ".join(f"word{i}" for i in range(60))
+    spotted = " ".join(f"the cat{i} dog{i}" for i in range(60))
+    few = bare + " the end of it all"
+    texts = dict(enumerate([bare, spotted, few, spotted + " x", bare, "", "a"]))
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    enough = lambda t: len(anchored(t)) >= max(8, len(t) / 100)
+    like = lambda a, b: jaccard(anchored(a), anchored(b)) if enough(a) and enough(b) else jaccard(free(a), free(b))
+    for i, text in texts.items():
+        follows = texts[(i - 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 3] + follows[: len(text) // 3]
+        assert abs(got[i].like_edited - like(text, edited)) < 1e-12 and abs(got[i].like_next - like(text, follows)) < 1e-12
+    assert got[4].near_edited == 0 and got[4].like_edited > 0.4  # two thirds of it are unchanged
+    assert got[2].near_edited == 0 and got[2].like_edited > 0.4
