@@ -38,6 +38,24 @@ TEMPLATES = (
     ("All-Rights-Reserved", "All rights reserved."),
 )
 
+#: Further usual notices, for scans anywhere in a text (fixed values: public licence notices).
+MORE_TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+)
+
 
 def bigrams(normal: str) -> set[str]:
     """Distinct pairs of neighbouring words of a normalised text; a single word stands for itself."""
@@ -65,9 +83,60 @@ def passages(text: str) -> Iterator[str]:
     yield text
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_DICE) -> DataFrame:
+def windows(text: str, known: list[tuple[str, set[str]]], least: float) -> Iterator[tuple[float, str, int, int]]:
+    """dice, licence, first and last word: the best run of words from each start, where it reaches ``least``. Templates have two words at least.
+
+    A best run starts and ends with bigrams of the template that it holds once, so a run goes on until its
+    first bigram comes again or it has more bigrams than the template admits.
+    """
+    words = normalise(text).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    places: dict[str, list[int]] = {}
+    for i, pair in enumerate(pairs):
+        places.setdefault(pair, []).append(i)
+    for name, grams in known:
+        most = (2 - least) / least * len(grams) + 1e-9
+        for start in sorted(i for g in grams for i in places.get(g, ())):
+            own, common, best = set(), 0, (0.0, start)
+            for end in range(start, len(pairs)):
+                pair = pairs[end]
+                if pair in own:
+                    if pair == pairs[start]:
+                        break
+                    continue
+                own.add(pair)
+                if len(own) > most:
+                    break
+                if pair in grams:
+                    common += 1
+                    best = max(best, (2 * common / (len(own) + len(grams)), end), key=lambda x: x[0])
+            if best[0] >= least - 1e-9:
+                yield best[0], name, start, best[1] + 1
+
+
+def find_anywhere(text: str, known: list[tuple[str, set[str]]], least: float) -> dict[str, tuple[float, str]]:
+    """Licence: dice and passage of its best run of words. Where runs overlap, only the best licence counts."""
+    found = sorted(windows(text, known, least), key=lambda x: (-x[0], x[1:]))
+    spans = [m.span() for m in re.finditer(r"[A-Za-z0-9]+", text)] if found else []
+    owner: dict[int, tuple[float, str]] = {}
+    best: dict[str, tuple[float, str]] = {}
+    for dice, name, first, last in found:
+        if any(at[0] > dice and at[1] != name for i in range(first, last + 1) if (at := owner.get(i))):
+            continue
+        for i in range(first, last + 1):
+            owner.setdefault(i, (dice, name))
+        passage = text[spans[first][0] : spans[last][1]]
+        old = best.get(name, (0.0, ""))
+        if dice > old[0] or (dice == old[0] and passage < old[1]):
+            best[name] = (dice, passage)
+    return best
+
+
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_DICE, anywhere: bool = False) -> DataFrame:
     """Returns id, license, dice, passage: a row per row and licence found, with its best passage.
 
+    Passages are lines, paragraphs and the whole text; with ``anywhere`` all runs of words.
+
     Null and empty texts hold no licence. Of equally good passages the first in the alphabet is given.
     Rows with equal or null ids are scanned on their own. Other columns are ignored.
     """
@@ -99,7 +168,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
             text = batch.column("text")
             normal = pc.replace_substring_regex(pc.ascii_lower(text), r"[^a-z0-9]+", " ")
             some = batch.filter(pc.match_substring_regex(normal, pattern))
-            rows = [(i, name, dice, passage) for i, t in enumerate(some.column("text").to_pylist()) for name, (dice, passage) in sorted(find(t).items())]
+            rows = [(i, name, dice, passage) for i, t in enumerate(some.column("text").to_pylist()) for name, (dice, passage) in sorted((find_anywhere(t, known, least) if anywhere else find(t)).items())]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [some.column("id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.string())], names=schema.names
@@ -112,6 +181,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
+def op8_license_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of all templates in any run of words, also within lines."""
+    return scan(table(spark, sf_dir, "documents"), TEMPLATES + MORE_TEMPLATES, anywhere=True).withColumn("dice", F.round("dice", 6))
+
+
 def _sql() -> str:
     quoted = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES)
     grams = r"""CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"""
@@ -131,4 +205,4 @@ def _sql() -> str:
 
 
 SQL = {"op8_license_scan": _sql()}
-QUERIES = {"op8_license_scan": op8_license_scan}
+QUERIES = {"op8_license_scan": op8_license_scan, "op8_license_anywhere": op8_license_anywhere}

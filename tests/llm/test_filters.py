@@ -59,6 +59,32 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_within_lines(spark):
+    every = licenses.TEMPLATES + licenses.MORE_TEMPLATES
+    texts = ["Copyright 2020 Acme Corp. All rights reserved.", "This project is released under the MIT License.", "Text here, licensed under a Creative Commons Attribution 4.0 International License, and more.", "all rights " * 3000, None, "nothing", "So: " + every[14][1] + " End. All rights reserved!"]
+    texts += [f"é x {text} y" for _, text in every]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in licenses.scan(docs, every, anywhere=True).collect():
+        got[r.doc_id][r.license] = (r.dice, r.passage)
+    assert got[0] == {"All-Rights-Reserved": (1.0, "All rights reserved")} and got[1] == {"MIT": (1.0, "released under the MIT License")}
+    assert set(got[2]) == {"CC-BY-4.0"} and set(got[6]) == {every[14][0], "All-Rights-Reserved"} and 4 not in got and 5 not in got
+    known = [(name, licenses.bigrams(licenses.normalise(text))) for name, text in every]
+    for i, (name, _) in enumerate(every):
+        assert set(got[7 + i]) == {name} and got[7 + i][name][0] == 1.0
+    for text in texts[:3] + texts[6:12]:  # every run of words
+        words, best = licenses.normalise(text).split(), defaultdict(float)
+        for name, grams in known:
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    own = licenses.bigrams(" ".join(words[a:b]))
+                    best[name] = max(best[name], 2 * len(own & grams) / (len(own) + len(grams)))
+        found = defaultdict(float)
+        for dice, name, _, _ in licenses.windows(text, known, 0.8):
+            found[name] = max(found[name], dice)
+        assert {k: v for k, v in best.items() if v >= 0.8} == found
+
+
 def test_share_and_budgets():
     assert mixing.share(10, [1, 1, 2], [100, 100, 100]) == [2.5, 2.5, 5]
     assert mixing.share(10, [1, 1, 2], [1, 100, 100]) == [1, 3, 6]
