@@ -202,6 +202,15 @@ def docs_scripts(t: Tables) -> DataFrame:
     return points.groupBy("lang", markup.script_of(F.col("cp")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@catalog.query("""
+    SELECT lang, script, count(*) AS n FROM (SELECT lang, CASE WHEN cp < 65 THEN 'common' WHEN cp <= 591 THEN 'latin' WHEN cp BETWEEN 880 AND 1023 THEN 'greek' WHEN cp BETWEEN 1024 AND 1327 THEN 'cyrillic' ELSE 'common' END AS script
+        FROM (SELECT lang, unicode(unnest(string_split(text, ''))) AS cp FROM documents)) GROUP BY 1, 2""")
+def docs_scripts_whole(t: Tables) -> DataFrame:
+    """Scripts of all characters of each text."""
+    points = t.documents.select("lang", F.explode(markup.code_points(F.col("text"))).alias("cp"))
+    return points.groupBy("lang", markup.script_of(F.col("cp")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @catalog.query(r"""
     SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(regexp_extract_all(text, '\S+')) AS n_words, len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS n_distinct FROM documents""")
 def docs_signals(t: Tables) -> DataFrame:
@@ -231,6 +240,13 @@ def benchmark_contained(t: Tables) -> DataFrame:
     return fulltext.containing(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.left("text", F.lit(60)).alias("needle")), "doc_id", "text", "item_id", "needle")
 
 
+@catalog.query("""
+    SELECT item_id, count(doc_id) AS n_docs FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id""")
+def benchmark_contained_whole(t: Tables) -> DataFrame:
+    """Documents that hold the whole of each benchmark item."""
+    return fulltext.containing(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle")), "doc_id", "text", "item_id", "needle")
+
+
 @catalog.query(r"""
     SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS query FROM pages""")
 def page_urls(t: Tables) -> DataFrame:
@@ -346,3 +362,9 @@ def unicode_shims(t: Tables) -> DataFrame:
     SELECT doc_id, upper(strip_accents(left(text, 60))) AS folded FROM documents WHERE lang = 'fr'""")
 def folded_openings(t: Tables) -> DataFrame:
     return t.documents.where(F.col("lang") == "fr").select("doc_id", markup.folded_upper(F.left("text", F.lit(60))).alias("folded"))
+
+
+@catalog.query()
+def folded_texts(t: Tables) -> DataFrame:
+    """Whole texts of all languages; without SQL, as DuckDB keeps an ß that Spark writes as SS."""
+    return t.documents.select("doc_id", markup.folded_upper(F.col("text")).alias("folded"))
