@@ -139,7 +139,11 @@ def filtered_array_agg(t: Tables) -> DataFrame:
     LEFT JOIN (SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1) b ON b.p_brand = l.brand""")
 def fallback_lookup(t: Tables) -> DataFrame:
     """Each use resolved by brand and size, else by brand alone."""
-    facts = t.lineitem.where(F.col("l_quantity") > 45).select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("Brand#"), F.col("l_suppkey") % 30).alias("brand"), (F.col("l_partkey") % 60).alias("size"))
+    return resolved_parts(t, t.lineitem.where(F.col("l_quantity") > 45))
+
+
+def resolved_parts(t: Tables, lines: DataFrame) -> DataFrame:
+    facts = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("Brand#"), F.col("l_suppkey") % 30).alias("brand"), (F.col("l_partkey") % 60).alias("size"))
     keys = facts.select("brand", "size").distinct()
     parts = t.part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("token"))
     rules = [[(F.col("f.brand"), F.col("d.p_brand")), (F.col("f.size"), F.col("d.p_size"))], [(F.col("f.brand"), F.col("d.p_brand"))]]
@@ -147,6 +151,33 @@ def fallback_lookup(t: Tables) -> DataFrame:
     return facts.join(found.select("brand", "size", "token", "matched_rule"), ["brand", "size"]).select("l_orderkey", "l_linenumber", "token", "matched_rule")
 
 
+@catalog.query("""
+    SELECT l_orderkey, l_linenumber, coalesce(a.p_partkey, b.p_partkey) AS token, CASE WHEN a.p_partkey IS NOT NULL THEN 0 WHEN b.p_partkey IS NOT NULL THEN 1 END AS matched_rule
+    FROM (SELECT *, 'Brand#' || (l_suppkey % 30) AS brand, l_partkey % 60 AS size FROM lineitem) l
+    LEFT JOIN (SELECT p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2) a ON a.p_brand = l.brand AND a.p_size = l.size
+    LEFT JOIN (SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1) b ON b.p_brand = l.brand""")
+def fallback_lookup_all(t: Tables) -> DataFrame:
+    """Every line item resolved by brand and size, else by brand alone."""
+    return resolved_parts(t, t.lineitem)
+
+
+@catalog.query("""
+    SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 7 FROM supplier) UNION ALL SELECT s_suppkey * 7, 'NEW' FROM supplier""")
+def upserted_all(t: Tables) -> DataFrame:
+    """All customers, with a change for every seventh; the changes grow with the suppliers."""
+    from ..operators.maintain import upsert
+
+    new = t.supplier.select((F.col("s_suppkey") * 7).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    return upsert(t.customer.select("c_custkey", "c_mktsegment"), new, ["c_custkey"])
+
+
+@catalog.query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> c_custkey % 25")
+def foreign_members_all(t: Tables) -> DataFrame:
+    """All members that do not belong to their owner."""
+    owned = t.customer.select("c_custkey", (F.col("c_custkey") % 25).cast("int").alias("c_nationkey"))
+    return relational.all_belong(t.customer.select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", owned)
+
+
 @catalog.query("""
     SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size IN (SELECT p_size FROM part WHERE p_partkey < 8)
     GROUP BY l_suppkey HAVING count(DISTINCT p_size) = (SELECT count(DISTINCT p_size) FROM part WHERE p_partkey < 8)""")
