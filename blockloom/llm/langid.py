@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import below, crc_mod, table, text_or_empty
+from .shared import crc_mod, table, text_or_empty
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 128
 TRAIN_ROWS = 1_000
-#: The most frequent languages are learned, up to this number.
-MOST_LANGS = 100
+#: Languages are learned that label so many texts, and one in so many of all labelled ones.
+LEAST_TEXTS = 3
+LEAST_PART = 100_000
+#: Texts of all languages together; with many languages each has an equal part.
+TRAIN_TOTAL = 100_000
 TRAIN_WINDOWS = 4
 EPOCHS = 6
 BATCH = 128
@@ -145,11 +148,13 @@ def training_texts(labelled: DataFrame, text_col: str = "text", lang_col: str =
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_or_empty(text_col)) > 0)).select(
         text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("order")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & below("order", train_rows, r["n"]))
-    return rows.where(chosen).select("text", "lang")
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()]
+    least = sum(n for _, n in counts) / LEAST_PART
+    learned = [(lang, n) for lang, n in counts if n >= least]
+    each = max(1, min(train_rows, TRAIN_TOTAL // max(1, len(learned))))
+    shares = [(lang, min(int(min(1.0, each / n) * 2.0**63), (1 << 63) - 1)) for lang, n in learned]
+    most = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, most long"))
+    return rows.join(most, "lang").where(F.shiftrightunsigned("order", 1) <= F.col("most")).select("text", "lang")
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Network:

@@ -88,3 +88,9 @@ def test_language_odd_rows(spark):
     empty = docs.limit(0)
     assert langid.predict(empty, langid.train(empty)).count() == 0
     assert langid.predict(odd, langid.train(empty)).first().lang_pred == "und"
+
+
+def test_all_supported_languages_are_learned(spark):
+    rows = [(i * 10 + k, f"word{i} text{k}", f"l{i:03}") for i in range(120) for k in range(4)] + [(9999, "junk", "once")]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.langs == [f"l{i:03}" for i in range(120)]
