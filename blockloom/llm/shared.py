@@ -4,26 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of intermediate tables that scratch() may delete, and catalog tables over them.
+_made: list[str] = []
+_tables: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where none is set."""
+    """The folder in spark.checkpoint.dir. Where none is set, a session in one process makes its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def catalog_name(name: str) -> str:
+    """A new name for a table of the session's catalog that scratch() may drop."""
+    _tables.append(f"{name}_{uuid.uuid4().hex}")
+    return _tables[-1]
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,6 +51,29 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of intermediate tables; what was made from them must have been stored."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """Deletes at the end what the operators stored inside; write their results inside, elsewhere.
+
+    keep: the number of folders made last that stay, as the caller still reads them.
+    """
+    since, named = len(_made), len(_tables)
+    yield
+    for name in _tables[named:]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    del _tables[named:]
+    last = len(_made) - keep
+    discard(spark, _made[since:last])
+    del _made[since:last]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
