@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import split_join, stored
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """One step on edges (u, v) with u > v. Each node's minimum comes from a map-side combined aggregate, joined back."""
+def _stars(edges: DataFrame, small: bool, n: int) -> DataFrame:
+    """One step on edges (u, v) with u > v. Each node's minimum comes from a map-side combined aggregate, joined back.
+
+    n: the number of edges. The minima of hubs go to all tasks: no task gets all the edges of one node.
+    """
     if small:
         around = edges  # the neighbours below a node; the node itself is above them
-        least = around.groupBy("u").agg(F.min("v").alias("m"))
-        joined = around.join(least, "u")
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        joined = split_join(around, least, ["u"], "degree", n)
         moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
     else:
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = around.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        moved = split_join(around.where(F.col("v") > F.col("u")), least, ["u"], "degree", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
@@ -37,5 +40,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = tuple(sums)
-        now = stored(_stars(_stars(now, small=False), small=True), "cc-edges")
+        now = stored(_stars(_stars(now, False, sums["n"]), True, sums["n"]), "cc-edges")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

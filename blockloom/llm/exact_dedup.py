@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, partitions, stored, table, text_or_empty
+from .shared import fresh_path, partitions, split_join, stored, table, text_or_empty
 
 #: Distinct keys of a bucket; more where the table would else have over MOST_BUCKETS of them.
 CAPACITY = 2_000
@@ -73,20 +73,17 @@ class Index:
     ``first``, the row that stays, for every text. ``chain`` counts the texts of one key.
     """
 
-    def __init__(self, rows: DataFrame, entries: DataFrame, depth: int, directory: DataFrame, hot: int):
-        self.rows, self.entries, self.depth, self.directory, self.hot = rows, entries, depth, directory, hot
+    def __init__(self, rows: DataFrame, entries: DataFrame, depth: int, directory: DataFrame, total: int):
+        self.rows, self.entries, self.depth, self.directory, self.total = rows, entries, depth, directory, total
 
     def found(self) -> DataFrame:
         """Every row with its entry's keep_id and group_size.
 
-        Entries of groups over ``hot`` rows are few, and go to all tasks; the others meet their rows by bucket and key.
+        Entries of hot groups are few, and go to all tasks; the others meet their rows by bucket and key.
         """
         on = ["bucket", "key", "text_sha256"]
         entries = self.entries.select(*on, "keep_id", "group_size")
-        hot = F.broadcast(entries.where(F.col("group_size") > self.hot))
-        rows = _in_bucket(self.rows, self.depth, self.directory)
-        cold = rows.join(hot.select(*on), on, "left_anti").join(entries.where(F.col("group_size") <= self.hot), on)
-        return rows.join(hot, on).unionByName(cold)
+        return split_join(_in_bucket(self.rows, self.depth, self.directory), entries, on, "group_size", self.total)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, carry: tuple[str, ...] = (), key: Callable[[Column], Column] = F.xxhash64) -> Index:
@@ -101,7 +98,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), body.alias("body"), (F.col(text_col).isNull()).alias("no_text"), norm.alias("norm"), *others)
     rows = stored(rows.withColumns({"key": key(F.col("norm")), "text_sha256": F.sha2("norm", 256)}).drop("norm"), "exact-rows")
     counts = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-counts")
-    hot = max(HOT_LEAST, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_PART)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = max(HOT_LEAST, total // HOT_PART)
     depth, directory = grow_directory(counts.select("key"), capacity)
 
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), *([F.col("no_text"), F.col("body"), *(F.col(f"_{c}") for c in carry if c not in (id_col, text_col))] if carry else []))
@@ -118,7 +116,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = texts.select("bucket", "key", chain.alias("chain"), "text_sha256", F.col("first.id").alias("keep_id"), "group_size", "first")
     path = fresh_path(spark, "exact-index")
     entries.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    return Index(rows.select("id", "key", "text_sha256"), spark.read.schema(entries.schema).parquet(path), depth, directory, hot)
+    return Index(rows.select("id", "key", "text_sha256"), spark.read.schema(entries.schema).parquet(path), depth, directory, total)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

@@ -3,25 +3,22 @@
 Leaves are (domain, language, source). A token budget flows down the tree in proportion to the
 weights of siblings; what a node cannot supply within ``max_epochs`` passes over its documents goes to its
 siblings in proportion to their weights, and only what they all cannot supply goes to the parent's
-siblings. A leaf takes whole epochs and then the longest prefix, in the seeded order of the next
+siblings. Levels of the tree are tables: however many leaves there are, none reaches the driver.
+A leaf takes whole epochs and then the longest prefix, in the seeded order of the next
 epoch, whose tokens fit. That prefix is a threshold on a hash of the document: finding it needs sums by
 hash cell, again within one cell per leaf, and taking it is a filter. No leaf is ever sorted.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import stored, table, text_or_empty
 
-#: Leaves whose totals the driver may hold.
-MOST_LEAVES = 200_000
 #: A leaf's order is cut into 2^CELL_BITS cells by hash, and the cell where its budget ends again, LEVELS times in all.
 CELL_BITS = 8
 LEVELS = 3
@@ -37,50 +34,58 @@ class Mixture:
     sources: dict
     other: float = 1.0
 
-    def weight(self, level: int, name: str | None) -> float:
-        return max(0.0, (self.domains, self.langs, self.sources)[level].get(name, self.other))
+    def weight(self, level: int) -> Column:
+        """Weight of a row's node at a level."""
+        given, name = (self.domains, self.langs, self.sources)[level], F.col(LEAF[level])
+        named = [x for k, w in given.items() if k is not None for x in (F.lit(k), F.lit(max(0.0, float(w))))]
+        other = F.lit(max(0.0, float(self.other)))
+        known = F.coalesce(F.try_element_at(F.create_map(*named), name), other) if named else other
+        return F.when(name.isNull(), max(0.0, float(given.get(None, self.other)))).otherwise(known)
 
 
-def share(amount: float, weights: list[float], most: list[float]) -> list[float]:
-    """Deals amount in proportion to the weights, none over its most; what a full one leaves goes to the others."""
-    out, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0 and most[i] > 0]
-    while open_ and amount > 0:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if most[i] <= amount * weights[i] / total]
-        if not full:
-            for i in open_:
-                out[i] = amount * weights[i] / total
+def fill(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
+    """Adds due, what each node gets of its parent's amount: in proportion to weights, none over its most.
+
+    nodes: parent columns, most, weight, amount (of the parent); a stored table. The rate, due per weight,
+    of the siblings that are not yet full rises round by round, until no more of them are. A round is one aggregate by parent.
+    """
+    rates, full = None, None
+    rate = F.coalesce("rate", F.lit(0.0))
+    while True:
+        at = nodes.withColumn("rate", F.lit(None).cast("double")) if rates is None else _to_leaf(nodes, rates, keys=parent)
+        is_full = F.col("all_full") | (F.col("most") <= rate * F.col("weight")) if rates is not None else F.col("most") <= 0
+        sums = at.groupBy(*parent).agg(
+            F.first("amount").alias("amount"), F.sum(F.when(is_full, F.col("most")).otherwise(0.0)).alias("given"),
+            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open"), F.count_if(is_full).alias("full"),
+        )
+        seen = Observation()
+        rates = stored(
+            sums.observe(seen, F.sum("full").alias("full")).select(*parent, (F.col("open") <= 0).alias("all_full"), F.when(F.col("open") > 0, (F.col("amount") - F.col("given")) / F.col("open")).alias("rate")),
+            "mixture-rates",
+        )
+        if seen.get["full"] == full:
             break
-        for i in full:
-            out[i] = most[i]
-        amount -= sum(most[i] for i in full)
-        open_ = [i for i in open_ if out[i] == 0.0]
-    return out
-
-
-def budgets(supply: dict[tuple, int], mixture: Mixture, budget: float, max_epochs: int) -> dict[tuple, int]:
-    """Tokens that each leaf is to give. A subtree never gets more than it can supply."""
-
-    def down(prefix: tuple, amount: float) -> None:
-        level = len(prefix)
-        if level == 3:
-            out[prefix] = int(amount + 1e-6)
-            return
-        names = sorted(children[prefix], key=lambda x: (x is None, x or ""))
-        for name, part in zip(names, share(amount, [mixture.weight(level, x) for x in names], [capacity[(*prefix, x)] for x in names]), strict=True):
-            down((*prefix, name), part)
-
-    capacity: dict[tuple, float] = defaultdict(float)
-    children: dict[tuple, set] = defaultdict(set)
-    out: dict[tuple, int] = {}
-    for leaf, tokens in supply.items():
-        usable = all(mixture.weight(i, name) > 0 for i, name in enumerate(leaf))
-        for level in range(4):
-            capacity[leaf[:level]] += tokens * max_epochs * usable
-            if level < 3:
-                children[leaf[:level]].add(leaf[level])
-    down((), min(budget, capacity[()]))
-    return out
+        full = seen.get["full"]
+    due = F.when(F.col("all_full"), F.col("most")).otherwise(F.least("most", F.col("rate") * F.col("weight")))
+    return _to_leaf(nodes, rates, keys=parent).withColumn("due", due).drop("all_full", "rate")
+
+
+def budgets(leaves: DataFrame, mixture: Mixture, budget_share: float, max_epochs: int) -> DataFrame:
+    """leaves (LEAF, tokens, perhaps more) with due, the tokens that each is to give. A subtree never gets more than it can supply."""
+    usable = reduce(lambda a, b: a & b, (mixture.weight(i) > 0 for i in range(3)))
+    leaves = stored(leaves.withColumns({"most": F.when(usable, F.col("tokens") * max_epochs).otherwise(0).cast("double"), "root": F.lit(0)}), "mixture-leaves")
+    whole = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("most").alias("most")).first()
+    above = None
+    for level in range(3):
+        parent, own = ("root", *LEAF[:level]), ("root", *LEAF[: level + 1])
+        nodes = leaves if level == 2 else leaves.groupBy(*own).agg(F.sum("most").alias("most"))
+        nodes = nodes.withColumn("weight", mixture.weight(level))
+        if above is None:
+            nodes = nodes.withColumn("amount", F.lit(float(min(budget_share * (whole["tokens"] or 0), whole["most"] or 0))))
+        else:
+            nodes = _to_leaf(nodes, above.select(*parent, F.col("due").alias("amount")), keys=parent)
+        above = fill(stored(nodes, "mixture-nodes"), parent)
+    return above.withColumn("due", F.floor(F.col("due") + 1e-6).cast("long")).drop("root", "most", "weight", "amount")
 
 
 def word_count(text: Column) -> Column:
@@ -88,9 +93,9 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _hash(seed: int, epoch: Column, key: Column) -> Column:
+def _hash(seed: int, epoch: Column, place: Column) -> Column:
     """Place of a document in the seeded order of an epoch: 0 to 2^63 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), key), 1)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), place), 1)
 
 
 def _cell(level: int) -> Column:
@@ -101,55 +106,50 @@ def _cell(level: int) -> Column:
 def plan(rows: DataFrame, mixture: Mixture, budget_share: float, max_epochs: int, seed: int) -> DataFrame:
     """LEAF, epochs, cut: whole epochs to take, and the hash up to which to take the next one (null: nothing of it).
 
-    rows: LEAF, id (string), tokens; a stored table, as it is read several times.
+    rows: LEAF, place, tokens; a stored table, as it is read several times.
     """
-    spark = rows.sparkSession
-    totals = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
-    if len(totals) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    supply = {tuple(r[c] for c in LEAF): r["tokens"] for r in totals}
-    due = budgets(supply, mixture, budget_share * sum(supply.values()), max_epochs)
-    taken = [(*leaf, due[leaf] // n if n else 0, due[leaf] % n if n else 0) for leaf, n in supply.items()]
-    schema = T.StructType([rows.schema[c] for c in LEAF] + [T.StructField("epochs", T.LongType()), T.StructField("rest", T.LongType())])
-    leaves = spark.createDataFrame(taken, schema)
-    placed = _to_leaf(rows, leaves).withColumn("hash", _hash(seed, F.col("epochs"), F.col("id")))
-    edge = leaves.select(*LEAF, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
+    totals = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).withColumn("leaf", F.monotonically_increasing_id())
+    due = budgets(totals, mixture, budget_share, max_epochs)
+    left = F.when(F.col("tokens") > 0, F.col("due") % F.col("tokens")).otherwise(0)
+    leaves = stored(due.select(*LEAF, "leaf", F.when(F.col("tokens") > 0, F.expr("due div tokens")).otherwise(0).alias("epochs"), left.alias("rest")), "mixture-due")
+    placed = _to_leaf(rows, leaves.where(F.col("rest") > 0)).select("leaf", "rest", "tokens", _hash(seed, F.col("epochs"), F.col("place")).alias("hash"))
+    placed = stored(placed, "mixture-placed")
+    edge = leaves.select("leaf", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
     found = []
     for level in range(1, LEVELS + 1):
-        inside = _to_leaf(placed.withColumn("cell", _cell(level - 1)), edge, "cell").withColumn("cell", _cell(level))
-        cells = inside.groupBy(*LEAF, "rest", "before", "cell").agg(F.sum("tokens").alias("tokens"), F.max("hash").alias("last"))
-        upto = Window.partitionBy(*LEAF).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        inside = placed.withColumn("cell", _cell(level - 1)).join(edge, ["leaf", "cell"]).withColumn("cell", _cell(level))
+        cells = inside.groupBy("leaf", "rest", "before", "cell").agg(F.sum("tokens").alias("tokens"), F.max("hash").alias("last"))
+        upto = Window.partitionBy("leaf").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         cells = stored(cells.withColumn("after", F.col("before") + F.sum("tokens").over(upto)), "mixture-cells")
-        found.append(cells.where(F.col("after") <= F.col("rest")).groupBy(*LEAF).agg(F.max("last").alias("cut")))
-        edge = cells.where((F.col("after") - F.col("tokens") <= F.col("rest")) & (F.col("after") > F.col("rest"))).select(*LEAF, "cell", (F.col("after") - F.col("tokens")).alias("before"))
-    within = Window.partitionBy(*LEAF).orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)
-    edge_rows = _to_leaf(placed.withColumn("cell", _cell(LEVELS)), edge, "cell").withColumn("upto", F.col("before") + F.sum("tokens").over(within))
-    found.append(edge_rows.where(F.col("upto") <= F.col("rest")).groupBy(*LEAF).agg(F.max("hash").alias("cut")))
-    cuts = reduce(DataFrame.unionByName, found).groupBy(*LEAF).agg(F.max("cut").alias("cut"))
-    return stored(_to_leaf(leaves, cuts, how="left").select(*LEAF, "epochs", F.when(F.col("rest") > 0, F.col("cut")).alias("cut")), "mixture-plan")
+        found.append(cells.where(F.col("after") <= F.col("rest")).groupBy("leaf").agg(F.max("last").alias("cut")))
+        edge = cells.where((F.col("after") - F.col("tokens") <= F.col("rest")) & (F.col("after") > F.col("rest"))).select("leaf", "cell", (F.col("after") - F.col("tokens")).alias("before"))
+    within = Window.partitionBy("leaf").orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)
+    edge_rows = placed.withColumn("cell", _cell(LEVELS)).join(edge, ["leaf", "cell"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
+    found.append(edge_rows.where(F.col("upto") <= F.col("rest")).groupBy("leaf").agg(F.max("hash").alias("cut")))
+    cuts = reduce(DataFrame.unionByName, found).groupBy("leaf").agg(F.max("cut").alias("cut"))
+    return stored(leaves.join(cuts, "leaf", "left").select(*LEAF, "epochs", "cut"), "mixture-plan")
 
 
-def _to_leaf(rows: DataFrame, leaves: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+def _to_leaf(rows: DataFrame, leaves: DataFrame, keys: tuple[str, ...] = LEAF) -> DataFrame:
     """Equi-join on the leaf, where nulls are equal; the columns of the leaf come once."""
-    keys = (*LEAF, *more)
     renamed = leaves.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return rows.join(renamed, on, how).drop(*(f"_{k}" for k in keys))
+    return rows.join(renamed, on).drop(*(f"_{k}" for k in keys))
 
 
-def mix(docs: DataFrame, mixture: Mixture, domain: Column, budget_share: float = 1.0, max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, mixture: Mixture, domain: Column, budget_share: float = 1.0, max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", columns: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of docs with two more columns: epoch (from 0) and n_words; a row for every epoch that takes the document.
 
-    budget_share: the budget as a share of all words. A null domain, language or source is a name of
-    its own. Null texts have no words; rows of a leaf without words are not taken. Rows that share an id are taken or left
-    together. Columns named epoch or n_words are replaced. No rows: no rows.
+    budget_share: the budget as a share of all words. columns: those of docs to give back, else all. A null domain,
+    language or source is a name of its own. Null texts have no words; rows of a leaf without words are not taken. Rows
+    with the same id and text are taken or left together. Columns named epoch or n_words are replaced. No rows: no rows.
     """
-    kept = [c for c in docs.columns if c not in ("epoch", "n_words")]
-    facts = [domain.cast("string").alias("domain"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), word_count(text_or_empty(text_col)).alias("tokens")]
-    leaves = plan(stored(docs.select(*facts), "mixture-rows"), mixture, budget_share, max_epochs, seed)
-    packed = docs.select(F.struct(*kept).alias("row"), *facts)
-    taken = _to_leaf(packed, leaves)
-    times = F.col("epochs") + F.coalesce(_hash(seed, F.col("epochs"), F.col("id")) <= F.col("cut"), F.lit(False)).cast("long")
+    kept = [c for c in columns or docs.columns if c not in ("epoch", "n_words")]
+    text = text_or_empty(text_col)
+    facts = [domain.cast("string").alias("domain"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col).cast("string"), text).alias("place"), word_count(text).alias("tokens")]
+    rows = stored(docs.select(*facts, F.struct(*kept).alias("row")), "mixture-rows")
+    taken = _to_leaf(rows, plan(rows.drop("row"), mixture, budget_share, max_epochs, seed))
+    times = F.col("epochs") + F.coalesce(_hash(seed, F.col("epochs"), F.col("place")) <= F.col("cut"), F.lit(False)).cast("long")
     each = taken.where(times > 0).select("row", F.col("tokens").alias("n_words"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("epoch"))
     return each.select("row.*", F.col("epoch").cast("int").alias("epoch"), "n_words")
 
@@ -164,8 +164,8 @@ TARGET = Mixture(domains={"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}, langs={"e
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget of 0.9 of all words from up to three passes over each leaf."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    mixed = mix(docs, TARGET, source_domain(F.col("source")), budget_share=0.9, max_epochs=3)
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs, TARGET, source_domain(F.col("source")), budget_share=0.9, max_epochs=3, columns=("doc_id", "lang", "source"))
     return mixed.select("doc_id", source_domain(F.col("source")).alias("domain"), "lang", "source", "n_words", "epoch")
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate detection: MinHash, banding, verification on whole shingle sets, connected components.
 
 1. Each document's set of word shingles gives HASHES minima of universal hashes and, from them,
-   BANDS keys. Documents with equal sets form a class; only its first document goes on.
+   BANDS keys. Documents with equal sets form a class, a node of the graph; only its first document goes on.
 2. Documents that share a band's key share a bucket. Each is compared with the first of the bucket:
    signatures first, then whole sets. Confirmed links give components.
 3. A bucket that still holds several components may hide links between documents that are both far
@@ -20,11 +20,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import having, stored, table, text_or_empty
+from .shared import MOST_BROADCAST_IDS, partitions, slices, split_join, stored, table, text_or_empty
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -35,6 +37,9 @@ LEAST = 80
 LEAST_AGREEMENT = 0.66
 TILE = 1024
 TILE_BYTES = 16 << 20
+#: Documents that meet the first of a bucket in one task.
+CHUNK = 1_000
+SET = ("n_shingles", "set_a", "set_b")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,60 +122,79 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n_shingles, set_a, set_b (128 bits that tell sets apart), bands, sketch (a byte of every minimum)."""
+def place_of(text: str | Column = "text") -> Column:
+    """With the id, tells the rows of a table apart by their texts."""
+    return F.xxhash64(text)
+
+
+def signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """Of rows (id, text): id, place (a hash of the text), n_bytes, n_shingles, set_a, set_b (128 bits that tell sets apart), bands, sketch (a byte of every minimum)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, whole.column("text")):
                 sets = shingle_sets(batch.column("text"), shingle)
                 least = [minima(s) for s in sets]
                 flat = np.concatenate([band_keys(x) for x in least]) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
+                        batch.column("place"),
+                        pc.binary_length(batch.column("text")).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([_mixed(s + _U(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat)),
                         pa.array([(x & 0xFF).astype(np.uint8).tobytes() for x in least], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    names=["id", "place", "n_bytes", *SET, "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(sign, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+    long = [T.StructField(c, T.LongType()) for c in ("place", "n_bytes", *SET)]
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *long, T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    return rows.withColumn("place", place_of()).select("id", "place", "text").mapInArrow(sign, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets share at least ``least`` percent of their union."""
-    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "near-nodes")
-    texts = stored(having(docs, nodes, "id").dropDuplicates(["id"]), "near-texts")
-    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-    both = pairs.join(right, "v").join(left, "u")
+def _texts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """node, text of classes (node, id, place): the text of any row with that id and that hash of the text."""
+    few = first.count() <= MOST_BROADCAST_IDS
+    first = first.withColumnRenamed("place", "of_node")
+    found = rows.join(F.broadcast(first) if few else first, "id").where(place_of() == F.col("of_node"))
+    return found.select("node", "text").dropDuplicates(["node"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                first = batch.column("u").dictionary_encode()
-                where = first.indices.to_numpy()
-                _, seen = np.unique(where, return_index=True)
-                lefts = shingle_sets(batch.column("text_u").take(pa.array(seen)), shingle)
-                rights = shingle_sets(batch.column("text_v"), shingle)
-                ok = []
-                for i, b in zip(where, rights, strict=True):
-                    a = lefts[i]
-                    common = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
-                    ok.append(common > 0 and 100 * common >= least * (len(a) + len(b) - common))
-                yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
+
+def confirmed(pairs: DataFrame, first: DataFrame, rows: DataFrame, shingle: int, least: int) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets share at least ``least`` percent of their union.
+
+    The pairs of a v are dealt to chunks of about CHUNK rows or TILE_BYTES of their texts; the text of v goes once to each.
+    """
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(first.select("node", "id", "place", "n_bytes"), "node"), "near-nodes")
+    texts = stored(_texts(rows, nodes.select("node", "id", "place")), "near-texts")
+    sizes = pairs.join(nodes.select(F.col("node").alias("u"), "n_bytes"), "u").groupBy("v").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n_bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("pairs") / CHUNK), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("int")
+    sizes = stored(sizes.select("v", "pairs", parts.alias("parts")), "near-sizes")
+    dealt = split_join(pairs, sizes, ["v"], "pairs", sizes.agg(F.sum("pairs")).first()[0] or 0).withColumn("part", F.pmod(F.xxhash64("u", F.lit(8)), F.col("parts")).cast("int"))
+    n = partitions(rows.sparkSession)
+    right = dealt.select("u", "v", "part").join(texts.select(F.col("node").alias("u"), F.col("text").alias("text")), "u").repartition(n, "v", "part")
+    left = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.select(F.col("node").alias("v"), F.col("text").alias("first_text")), "v").select("v", "part", "first_text").repartition(n, "v", "part")
+
+    def compare(firsts: pa.Table, others: pa.Table) -> pa.Table:
+        ok = []
+        if firsts.num_rows and others.num_rows:
+            a = shingle_sets(firsts.column("first_text").chunk(0).slice(0, 1), shingle)[0]
+            for batch in others.to_batches():
+                for some in slices(batch, batch.column("text")):
+                    for b in shingle_sets(some.column("text"), shingle):
+                        common = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
+                        ok.append(common > 0 and 100 * common >= least * (len(a) + len(b) - common))
+        return others.select(["u", "v"]).filter(pa.array(ok, pa.bool_())) if ok else pa.table({c: pa.array([], pa.int64()) for c in "uv"})
+
+    return left.groupBy("v", "part").cogroup(right.groupBy("v", "part")).applyInArrow(compare, "u long, v long")
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in enough minima."""
-    left, right = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    left, right = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,14 +236,14 @@ def _agreeing_pairs(sketch: np.ndarray, parts: np.ndarray, left: np.ndarray, rig
 
 
 def _families(open_rows: DataFrame) -> DataFrame:
-    """Edges (u, v) between components that may be linked, from rows (key, id, component, main, sketch, n_main, n_rest).
+    """Edges (u, v) between components that may be linked, from rows (key, node, component, main, sketch, n_main, n_rest).
 
     main marks rows of the first document's component, or whose signatures agree with the first one's: they are
     one family already. The others are dealt to chunks of about TILE rows, which meet the chunks of main and
     each other; a task holds one such tile, and returns no more edges than join its components.
     """
     chunks = lambda n: F.greatest(F.ceil(F.col(n) / TILE), F.lit(1)).cast("int")
-    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(6)), chunks(n)).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(6)), chunks(n)).cast("int")
     tile = lambda m, i, j: F.struct(F.lit(m).alias("with_main"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     of_rest, of_main = (F.sequence(F.lit(0), chunks(n) - 1) for n in ("n_rest", "n_main"))
     own_main, own_rest = chunk("n_main"), chunk("n_rest")
@@ -236,22 +260,23 @@ def _families(open_rows: DataFrame) -> DataFrame:
         kept = _forest(parts, a, b)
         return pa.table({"u": parts[a[kept]].astype(np.int64), "v": parts[b[kept]].astype(np.int64)})
 
-    return placed.groupBy("key", "with_main", "i", "j").applyInArrow(compare, "u long, v long")
+    tile_of = ("key", "with_main", "i", "j")  # tiles take time by their rows, not bytes: a fixed number of tasks
+    return placed.repartition(partitions(placed.sparkSession), *tile_of).groupBy(*tile_of).applyInArrow(compare, "u long, v long")
 
 
 def _links_within(rows: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Links (u, v) between the components of each family, from rows (family, id, component, sketch, text).
+    """Links (u, v) between the components of each family, from rows (family, node, component, sketch, text).
 
     All documents of a family meet in tiles, signatures first, then whole sets; a task holds the two
     chunks of a tile, about TILE rows or TILE_BYTES each, and returns no more links than join its components.
     """
     sizes = rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES), F.lit(1)).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    placed = rows.join(sizes, "family").withColumn("chunk", own).withColumn("tile", F.explode(places)).select("family", "tile.*", "chunk", "id", "component", "sketch", "text")
+    placed = rows.join(sizes, "family").withColumn("chunk", own).withColumn("tile", F.explode(places)).select("family", "tile.*", "chunk", "node", "component", "sketch", "text")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, parts, chunk = (group.column(c).to_numpy() for c in ("id", "component", "chunk"))
+        ids, parts, chunk = (group.column(c).to_numpy() for c in ("node", "component", "chunk"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
         a, b = _agreeing_pairs(sketch, parts, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
@@ -268,33 +293,36 @@ def _links_within(rows: DataFrame, shingle: int, least: int) -> DataFrame:
         kept = order[_forest(parts, a[order], b[order], linked)]
         return pa.table({"u": ids[a[kept]].astype(np.int64), "v": ids[b[kept]].astype(np.int64)})
 
-    return placed.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
+    return placed.repartition(partitions(placed.sparkSession), "family", "i", "j").groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles, component_id, kept: a row per input row.
 
-    component_id is the smallest id that links reach, kept tells whether it is the row's own. Null and
-    empty texts have no shingles and no links. Rows without an id are kept, with a null component. Rows
-    of one id should have one text; else one of them stands for the id. Other columns are ignored.
+    component_id is the smallest id that links reach, kept tells whether it is the row's own. Ids are of any
+    type that has an order. Null and empty texts have no shingles and no links. Rows without an id are kept, with a null
+    component. Rows that share an id are linked by their own texts, each for itself. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    return families(docs, shingle, least, id_col, text_col).drop("place")
+
+
+def families(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates() with place_of() the row's text, which tells rows of one id apart."""
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     signed = stored(signatures(rows, shingle), "near-signatures")
-    classes = (
-        signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-        .groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("first"))
-    )
-    classes = stored(classes, "near-classes")
-    first = signed.join(classes.select(F.col("first").alias("id"), "set_a", "set_b", "n_shingles"), ["id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["id"])
-    first = stored(first.select("id", "bands", "sketch"), "near-first")
-    members = first.select("id", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    buckets = stored(members.join(shared, "key").select("key", F.col("id").alias("u"), "v", "n"), "near-buckets")
-    texts = rows.where(F.col("id").isNotNull())
-    sketches = first.select("id", "sketch")
+    # A node is a class of equal sets. Its number is stored, so it is the same wherever it is read.
+    classes = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).groupBy(*SET).agg(F.min("id").alias("id"), F.min_by("place", "id").alias("place"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    first = signed.join(classes, [*SET, "id", "place"]).select("node", "id", "place", "n_bytes", "bands", "sketch")
+    first = stored(first.dropDuplicates(["node"]), "near-first")
+    members = first.select("node", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    n_members = BANDS * first.count()
+    buckets = stored(split_join(members, shared, ["key"], "n", n_members).select("key", F.col("node").alias("u"), "v", "n"), "near-buckets")
+    sketches = first.select("node", "sketch")
     pairs = buckets.where(F.col("u") != F.col("v")).select("u", "v").distinct()
     agreeing = stored(_agreeing(pairs, sketches), "near-agreeing")
-    links = stored(confirmed(agreeing, texts, shingle, least), "near-links")
+    links = stored(confirmed(agreeing, first, rows, shingle, least), "near-links")
     labels = connected_components(links)
 
     # Buckets of several components: their pairs beyond those with the first document.
@@ -303,22 +331,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST,
     known = known.join(labels.select(F.col("node").alias("v"), F.col("component").alias("of_first")), "v", "left").withColumn("of_first", F.coalesce("of_first", "v"))
     known = known.join(agreeing.withColumn("near", F.lit(True)), ["u", "v"], "left")
     main = (F.col("component") == F.col("of_first")) | F.coalesce("near", F.lit(False))
-    known = stored(known.select("key", F.col("u").alias("id"), "component", "of_first", main.alias("main")), "near-known")
-    several = known.groupBy("key").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where((F.col("n_rest") > 0) & (F.col("n_main") + F.col("n_rest") > 2))
-    open_rows = known.join(several, "key").join(sketches, "id")
+    known = stored(known.select("key", F.col("u").alias("node"), "component", "of_first", main.alias("main")), "near-known")
+    several = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where((F.col("n_rest") > 0) & (F.col("n_main") + F.col("n_rest") > 2))
+    open_rows = split_join(known, several, ["key"], "n", n_members).join(sketches, "node")
     by_first = known.where(F.col("main") & (F.col("component") != F.col("of_first"))).select(F.col("component").alias("u"), F.col("of_first").alias("v"))
     edges = stored(by_first.union(_families(open_rows)).distinct(), "near-families")
     if edges.limit(1).count():
-        families = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
-        relatives = stored(known.select("id", "component").distinct().join(families, "component").join(sketches, "id"), "near-relatives")
-        relatives = relatives.join(having(texts, relatives.select("id"), "id").dropDuplicates(["id"]), "id")
-        more = stored(_links_within(stored(relatives, "near-relatives"), shingle, least), "near-links")
-        labels = connected_components(links.union(more))
-
-    whole = classes.join(labels.select(F.col("node").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("class_component"))
-    out = signed.select("id", "n_shingles", "set_a", "set_b").join(whole, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("class_component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+        groups = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        relatives = stored(known.select("node", "component").distinct().join(groups, "component").join(first.select("node", "id", "place", "sketch"), "node"), "near-relatives")
+        texts = _texts(rows, relatives.select("node", "id", "place").distinct())
+        more = stored(_links_within(stored(relatives.select("node", "component", "family", "sketch").join(texts, "node"), "near-relatives"), shingle, least), "near-links")
+        labels = connected_components(more.union(labels))
+
+    placed = classes.select("node", *SET, "id", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_id = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    whole = stored(placed.join(least_id, "component").select(*SET, "component_id", "copies"), "near-components")
+    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    out = split_join(signed.where(linked).select("id", "place", *SET), whole, list(SET), "copies", signed.count())
+    out = out.select("id", "place", "n_shingles", "component_id").union(signed.where(~linked).select("id", "place", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "place", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_rows(docs: DataFrame, columns: tuple[str, ...], shingle: int = SHINGLE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of the rows that stay: of each group those with its smallest id, and all without an id."""
+    found = families(docs, shingle, least, id_col, text_col)
+    gone = stored(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("place").alias("_place")).distinct(), "near-gone")
+    few = gone.count() <= MOST_BROADCAST_IDS
+    mine = docs.select(*columns)
+    same = (F.col(id_col) == F.col("_gone")) & (place_of(text_or_empty(text_col)) == F.col("_place"))
+    return mine.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows that begin no more than ``size`` bytes of text; a longer text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def crc_mod(name: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
@@ -93,6 +107,22 @@ def below(order: str, n: int, total: int) -> Column:
     return F.shiftrightunsigned(F.col(order), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
 
 
+#: A key is hot if one in HOT_PART rows has it and LEAST_HOT have it at least; so there are no more than HOT_PART.
+HOT_PART, LEAST_HOT = 10_000, 100_000
+
+
+def split_join(rows: DataFrame, other: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner equi-join with ``other``, which has a row per key with the count of its rows, of ``total`` in all.
+
+    What belongs to hot keys goes to all tasks, so no task gets all rows of such a key. Among fewer rows than LEAST_HOT no key is hot.
+    """
+    if total <= LEAST_HOT:
+        return rows.join(other, on)
+    often = F.col(count) > max(LEAST_HOT, total // HOT_PART)
+    hot = F.broadcast(other.where(often))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(other.where(~often), on))
+
+
 #: Ids that a task may hold at once: 16 MB and their hash table.
 MOST_BROADCAST_IDS = 1_000_000
 

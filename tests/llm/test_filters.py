@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -85,54 +86,98 @@ def test_licences_within_lines(spark):
         assert {k: v for k, v in best.items() if v >= 0.8} == found
 
 
-def test_share_and_budgets():
-    assert mixing.share(10, [1, 1, 2], [100, 100, 100]) == [2.5, 2.5, 5]
-    assert mixing.share(10, [1, 1, 2], [1, 100, 100]) == [1, 3, 6]
-    assert mixing.share(10, [1, 0, 1], [2, 9, 3]) == [2, 0, 3]
+def water(amount, weights, most):
+    """Shares of an amount, found by bisecting the level that the siblings rise to."""
+    want = min(amount, sum(m for m, w in zip(most, weights) if w > 0))
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(m, level * w) for m, w in zip(most, weights)) < want else (low, level)
+    return [min(m, high * w) for m, w in zip(most, weights)]
+
+
+def brute_budgets(supply, weight, budget, epochs, path=()):
+    """Tokens due to every leaf, by going down the tree."""
+    if len(path) == 3:
+        return {path: int(budget + 1e-6)}
+    names = {leaf[len(path)] for leaf in supply if leaf[: len(path)] == path}
+    usable = lambda leaf: all(weight(i, x) > 0 for i, x in enumerate(leaf))
+    names = sorted(names, key=str)
+    most = [sum(n * epochs for leaf, n in supply.items() if leaf[: len(path) + 1] == (*path, x) and usable(leaf)) for x in names]
+    out = {}
+    for x, part in zip(names, water(budget, [weight(len(path), x) for x in names], most)):
+        out |= brute_budgets(supply, weight, part, epochs, (*path, x))
+    return out
+
+
+def budgets(spark, supply, mixture, amount, epochs):
+    leaves = spark.createDataFrame([(*k, n) for k, n in supply.items()], "domain string, lang string, source string, tokens long")
+    rows = mixing.budgets(leaves, mixture, amount / max(1, sum(supply.values())), epochs).collect()
+    return {(r.domain, r.lang, r.source): r.due for r in rows}
+
+
+def test_budgets(spark):
     supply = {("a", "en", "s1"): 10, ("a", "en", "s2"): 100, ("a", "de", "s1"): 100, ("b", "en", "s1"): 1000}
     mixture = mixing.Mixture({"a": 1, "b": 1}, {}, {})
-    got = mixing.budgets(supply, mixture, 200, 1)
+    got = budgets(spark, supply, mixture, 200, 1)
     assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 40, ("a", "de", "s1"): 50, ("b", "en", "s1"): 100}  # a sibling source makes it up
-    got = mixing.budgets(supply, mixture, 600, 1)
+    got = budgets(spark, supply, mixture, 600, 1)
     assert got[("b", "en", "s1")] == 390 and sum(got.values()) == 600  # then the other domain
-    assert mixing.budgets({}, mixture, 10, 1) == {}
+    assert budgets(spark, {}, mixture, 10, 1) == {}
+
+
+@pytest.mark.parametrize("amount", [50, 3_000, 1e9])
+def test_budgets_match_brute_force(spark, amount):
+    rng = random.Random(7)
+    supply = {(f"d{d}", [None, "en", "de"][lang], f"s{s}"): rng.choice([0, 1, 5, 60, 700]) for d in range(5) for lang in range(3) for s in range(rng.randrange(9))}
+    tables = ({"d0": 3, "d1": 0, "d2": 0.5}, {"en": 2, None: 0.25}, {"s1": 0, "s2": 7, "s3": -1})
+    weight = lambda level, name: max(0, tables[level].get(name, 1.5))
+    got = budgets(spark, supply, mixing.Mixture(*tables, other=1.5), amount, 2)
+    want = brute_budgets(supply, weight, min(amount, 1e12), 2)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+
+
+def test_many_leaves(spark):
+    """More leaves than a driver should hold, under one parent and over many."""
+    leaves = spark.range(300_000).selectExpr("'d' || id % 2 AS domain", "'l' AS lang", "'s' || id AS source", "1 + id % 3 AS tokens")
+    got = mixing.budgets(leaves, mixing.Mixture({}, {}, {}), 0.5, 1).agg(F.sum("due").alias("due"), F.count(F.lit(1)).alias("n"), F.max(F.col("due") - F.col("tokens")).alias("over")).first()
+    assert got.n == 300_000 and got.over <= 0 and got.due > 0
 
 
 def brute_mix(rows, order, share, epochs):
     supply, members = defaultdict(int), defaultdict(list)
-    for i, text, lang, source in rows:
+    for at, (_, text, lang, source) in enumerate(rows):
         leaf = ("d" + (source or "-"), lang, source)
         n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
         supply[leaf] += n
-        members[leaf].append((i, n))
-    due = mixing.budgets(supply, mixing.Mixture({}, {"en": 3}, {}), share * sum(supply.values()), epochs)
+        members[leaf].append((at, n))
+    due = brute_budgets(supply, lambda level, name: 3 if (level, name) == (1, "en") else 1, min(share, epochs) * sum(supply.values()), epochs)
     out = []
     for leaf, docs in members.items():
         whole, rest = divmod(due[leaf], supply[leaf]) if supply[leaf] else (0, 0)
-        out += [(i, e) for i, _ in docs for e in range(whole)]
+        out += [(at, e) for at, _ in docs for e in range(whole)]
         by_hash = defaultdict(list)
-        for i, n in docs:
-            by_hash[order[(i, whole)]].append((i, n))
+        for at, n in docs:
+            by_hash[order[(at, whole)]].append((at, n))
         used = 0
         for h in sorted(by_hash):
             used += sum(n for _, n in by_hash[h])
             if used > rest or not rest:
                 break
-            out += [(i, whole) for i, _ in by_hash[h]]
-    return sorted(out, key=str)
+            out += [(at, whole) for at, _ in by_hash[h]]
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("share", "epochs"), [(0.5, 1), (1.0, 1), (1.7, 3), (9.0, 2)])
 def test_mixture_matches_brute_force(spark, share, epochs):
-    rows = [(i, "w " * (i % 7), ["en", "de", None][i % 3], ["s1", "s1", "s2", None][i % 4]) for i in range(120)] + [(5, "w w", "de", "s1"), (None, "a b c", "en", "s2"), (500, None, "en", "s9"), (501, "w " * 5000, "fr", "s1")]
-    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, epoch int, cut string")
+    rows = [(i, "w " * (i % 7), ["en", "de", None][i % 3], ["s1", "s1", "s2", None][i % 4]) for i in range(120)] + [(5, "w w", "de", "s1"), (None, "a b c", "en", "s2"), (None, "d e f g", "en", "s2"), (500, None, "en", "s9"), (501, "w " * 5000, "fr", "s1")]
+    docs = spark.createDataFrame([(*r, 1, at) for at, r in enumerate(rows)], "doc_id long, text string, lang string, source string, epoch int, cut long")
     domain = F.concat(F.lit("d"), F.coalesce("source", F.lit("-")))
     got = mixing.mix(docs, mixing.Mixture({}, {"en": 3}, {}), domain, share, epochs)
     assert got.columns == ["doc_id", "text", "lang", "source", "cut", "epoch", "n_words"]
-    keys = [(r[0], e) for r in rows for e in range(5)]
-    hashes = spark.createDataFrame(list(enumerate(keys)), "n int, k struct<i:long,e:int>").select("n", mixing._hash(17, F.col("k.e"), F.coalesce(F.col("k.i").cast("string"), F.lit("")))).collect()
-    order = {keys[r[0]]: r[1] for r in hashes}
-    assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == brute_mix(rows, order, share, epochs)
+    places = docs.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("e"))).select("cut", "e", F.expr("shiftrightunsigned(xxhash64(17, e, xxhash64(CAST(doc_id AS STRING), coalesce(text, ''))), 1)").alias("h"))
+    order = {(r.cut, r.e): r.h for r in places.collect()}
+    assert sorted((r.cut, r.epoch) for r in got.collect()) == brute_mix(rows, order, share, epochs)
 
 
 def test_mixture_of_nothing(spark):

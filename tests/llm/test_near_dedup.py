@@ -103,3 +103,25 @@ def test_components(spark):
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_text_ids_and_repeated_ids(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    rows = [("b", " ".join(words)), ("a", edited(words, 1, rng)), ("c", " ".join(other)), ("b", edited(other, 1, rng)), ("b", "alone here"), ("d", "alone here"), (None, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, shingle=2).collect()), key=str)
+    assert got == sorted([("b", "a", False), ("a", "a", True), ("c", "b", False), ("b", "b", True), ("b", "b", True), ("d", "b", False), (None, None, True)], key=str)
+    left = sorted((tuple(r) for r in near_dedup.first_rows(docs, ("doc_id", "text"), shingle=2).collect()), key=str)
+    assert left == sorted([rows[1], rows[3], rows[4], rows[6]], key=str)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from blockloom.llm.shared import slices
+
+    texts = pa.array(["x" * n for n in (5, 3, 0, 40, 1, 1, 1, 1, 1, 1)] + [None])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    assert [[len(t or "") for t in s.column(0).to_pylist()] for s in slices(batch, texts, rows=4, size=8)] == [[5, 3, 0], [40], [1, 1, 1, 1], [1, 1, 0]]
