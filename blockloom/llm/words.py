@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, partitions, text_or_empty
+from .shared import catalog_name, fresh_path, partitions, slices, text_or_empty
 
 BLOCK_BYTES = 24 << 20
 #: A task forgets its words beyond this number and encodes them again if they recur: memory stays bounded.
@@ -223,8 +222,8 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted:
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                held.append(batch.slice(at, 500))
+            for some in slices(batch, batch.column(1), size=block_bytes // 4):
+                held.append(some)
                 size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
                 if size >= block_bytes:
                     yield out()
@@ -233,7 +232,7 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted:
             yield out()
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    name = f"word_blocks_{uuid.uuid4().hex}"
+    name = catalog_name("word_blocks")
     (rows.mapInArrow(build, schema).write.option("compression", "zstd").option("path", fresh_path(spark, "word-blocks"))
      .bucketBy(partitions(spark), "block").saveAsTable(name))
     blocks = spark.table(name)
