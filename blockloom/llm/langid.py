@@ -16,19 +16,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, table, text_or_empty
+from .shared import crc_mod, slices, table, text_or_empty
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 128
 TRAIN_ROWS = 1_000
-#: Languages are learned that label so many texts, and one in so many of all labelled ones.
+#: Every language is learned that labels so many texts.
 LEAST_TEXTS = 3
-LEAST_PART = 100_000
 #: Texts of all languages together; with many languages each has an equal part.
 TRAIN_TOTAL = 100_000
 TRAIN_WINDOWS = 4
@@ -149,10 +149,8 @@ def training_texts(labelled: DataFrame, text_col: str = "text", lang_col: str =
         text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("order")
     )
     counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()]
-    least = sum(n for _, n in counts) / LEAST_PART
-    learned = [(lang, n) for lang, n in counts if n >= least]
-    each = max(1, min(train_rows, TRAIN_TOTAL // max(1, len(learned))))
-    shares = [(lang, min(int(min(1.0, each / n) * 2.0**63), (1 << 63) - 1)) for lang, n in learned]
+    each = max(1, min(train_rows, TRAIN_TOTAL // max(1, len(counts))))
+    shares = [(lang, min(int(min(1.0, each / n) * 2.0**63), (1 << 63) - 1)) for lang, n in counts]
     most = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, most long"))
     return rows.join(most, "lang").where(F.shiftrightunsigned("order", 1) <= F.col("most")).select("text", "lang")
 
@@ -196,8 +194,7 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.langs, UNDETERMINED], dtype=object)
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for batch in slices(whole, pc.fill_null(whole.column(len(kept)), ""), rows=200, size=2 << 20):
                 texts = batch.column(len(kept)).fill_null("").cast(pa.large_string())
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)

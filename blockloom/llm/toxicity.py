@@ -4,8 +4,9 @@ A document is a bag of sentences. A logistic model scores each sentence by its w
 combines the scores to the document's, and only labels of documents train it:
 P(toxic) = 1 - prod(1 - p(sentence)). The sentence scores then tell where the offence stands.
 
-Training runs on the driver over a bounded sample: about ``train_rows`` labelled documents of
-at most ``train_bytes`` each, chosen by a hash of the id. Scoring reads every sentence of every text.
+Training runs on the driver over a bounded sample: about ``train_rows`` labelled documents of any length, chosen
+by a hash of the id. Of their sentences the driver gets those with words that may carry weight, and the number
+of the others, which all score alike. Scoring reads every sentence of every text.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import below, crc_mod, stored, table, text_or_empty
+from .shared import below, crc_mod, slices, stored, table, text_or_empty
 
 TRAIN_ROWS = 20_000
-TRAIN_BYTES = 8_192
 #: Words of fewer training documents carry no weight, nor do those whose documents are labelled much like
-#: all others (likelihood ratio G below LEAST_G, the 0.001 point of chi square); of the rest, the strongest are kept.
+#: all others (likelihood ratio G below LEAST_G, the 0.001 point of chi square).
 MIN_DOCUMENTS = 3
 LEAST_G = 10.83
-MOST_WORDS = 1 << 15
 #: Share of documents labelled toxic for reasons that no sentence shows.
 NOISE = 0.02
 STEPS = 200
@@ -119,20 +118,23 @@ class Model:
 def fit(tags: np.ndarray, feature: np.ndarray, sentence: np.ndarray, n_sentences: np.ndarray, labels: np.ndarray) -> Model:
     """Adam on the noisy-or likelihood of the documents' labels.
 
-    tags: hashes of the words that may carry weight, sorted; feature and sentence: their occurrences.
+    tags: hashes of the words that may carry weight, sorted; feature and sentence: their occurrences, with
+    sentences numbered through all documents; n_sentences: of each document. Sentences without such words are only counted.
     """
     if not len(labels) or labels.min() == labels.max():
         rate = float(np.clip(labels.mean(), 0.001, 0.5)) if len(labels) else 0.001
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(rate)) - 6)
-    document = np.repeat(np.arange(len(labels)), n_sentences)
+    spoken, sentence = np.unique(sentence, return_inverse=True)
+    document = np.searchsorted(np.cumsum(n_sentences), spoken, "right")
+    silent = n_sentences - np.bincount(document, minlength=len(labels))
     w, b = np.zeros(len(tags)), -6.0
     m, v = np.zeros(len(tags) + 1), np.zeros(len(tags) + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], minlength=len(document))
-        clean = np.exp(-np.bincount(document, np.logaddexp(0, z), minlength=len(labels)))
+        clean = np.exp(-np.bincount(document, np.logaddexp(0, z), minlength=len(labels)) - silent * np.logaddexp(0, b))
         pull = np.where(labels == 1, -(1 - NOISE) * clean / (NOISE + (1 - NOISE) * (1 - clean)), 1.0)
         dz = pull[document] / (1 + np.exp(-z)) / len(labels)
-        gradient = np.append(np.bincount(feature, dz[sentence], minlength=len(tags)) + PRIOR / len(labels) * w, dz.sum())
+        gradient = np.append(np.bincount(feature, dz[sentence], minlength=len(tags)) + PRIOR / len(labels) * w, dz.sum() + (pull * silent).sum() / (1 + np.exp(-b)) / len(labels))
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], min(b - move[-1], -4.0)
@@ -141,16 +143,17 @@ def fit(tags: np.ndarray, feature: np.ndarray, sentence: np.ndarray, n_sentences
 
 
 def choose_words(rows: DataFrame) -> np.ndarray:
-    """Hashes, sorted, of at most MOST_WORDS words whose documents are labelled unlike the others; counted in Spark."""
+    """Hashes, sorted, of the words whose documents are labelled unlike the others; counted in Spark, over the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, labels = sentences(batch.column("text")), batch.column("label").to_numpy()
-            distinct, code = np.unique(s.word, return_inverse=True)
-            pairs = np.unique(code.astype(np.int64) * batch.num_rows + s.of_sentence[s.of_word])
-            n = np.bincount(pairs // batch.num_rows, minlength=len(distinct))
-            hits = np.bincount(pairs // batch.num_rows, labels[pairs % batch.num_rows], minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n, pa.int64()), pa.array(hits.astype(np.int64))], names=["word", "n", "hits"])
+            for part in slices(batch, batch.column("text"), rows=2000):
+                s, labels = sentences(part.column("text")), part.column("label").to_numpy()
+                distinct, code = np.unique(s.word, return_inverse=True)
+                pairs = np.unique(code.astype(np.int64) * part.num_rows + s.of_sentence[s.of_word])
+                n = np.bincount(pairs // part.num_rows, minlength=len(distinct))
+                hits = np.bincount(pairs // part.num_rows, labels[pairs % part.num_rows], minlength=len(distinct))
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n, pa.int64()), pa.array(hits.astype(np.int64))], names=["word", "n", "hits"])
 
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).first()
     if not total["hits"] or total["hits"] == total["n"]:
@@ -163,7 +166,7 @@ def choose_words(rows: DataFrame) -> np.ndarray:
 
     rate = all_hits / all_n
     g = 2 * (part(hits, n * rate) + part(n - hits, n * (1 - rate)) + part(all_hits - hits, (all_n - n) * rate) + part(all_n - n - all_hits + hits, (all_n - n) * (1 - rate)))
-    strong = words.where((n >= MIN_DOCUMENTS) & (g >= LEAST_G)).orderBy(g.desc(), "word").limit(MOST_WORDS).select("word").toArrow()
+    strong = words.where((n >= MIN_DOCUMENTS) & (g >= LEAST_G)).select("word").toArrow()
     return np.sort(strong.column("word").to_numpy().view(np.uint64))
 
 
@@ -171,36 +174,40 @@ def sample_order(id_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """About train_rows labelled documents. The labels are sampled first: so few that they go to every task of the scan."""
-    some = labels.withColumn("_order", sample_order(id_col))
-    some = some.where(below("_order", train_rows, labels.count())).drop("_order")
-    return docs.join(F.broadcast(some), id_col)
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """id, text, label of about train_rows labelled documents, whatever other columns the two tables share.
+
+    The labels are sampled first: so few that they go to every task of the scan.
+    """
+    some = labels.select(F.col(id_col), F.col(label_col), sample_order(id_col).alias("_order"))
+    some = some.where(below("_order", train_rows, some.count())).drop("_order")
+    return docs.select(id_col, text_col).join(F.broadcast(some), id_col)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Fits on rows with a label of 0 or 1; about train_rows rows of at most train_bytes, chosen by a hash of the id.
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
+    """Fits on rows with a label of 0 or 1; about train_rows rows, chosen by a hash of the id. Other columns are ignored.
 
     The driver gets the occurrences of the chosen words only, and the number of each document's sentences.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text_or_empty(text_col)) <= train_bytes)).select(
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
         text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), sample_order(id_col).alias("order")
     )
     rows = stored(rows.where(below("order", train_rows, rows.count())), "toxicity-sample")
     tags = choose_words(rows)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = sentences(batch.column("text"))
-            at = np.searchsorted(tags, s.word)
-            at[at == len(tags)] = 0
-            hit = tags[at] == s.word if len(tags) else np.zeros(len(s.word), bool)
-            text = s.of_sentence[s.of_word[hit]]
-            n = np.bincount(s.of_sentence, minlength=batch.num_rows)
-            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            number = s.of_word[hit] - (np.cumsum(n) - n)[text]
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (at[hit], number)]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(n, pa.int32()), *lists], names=["order", "label", "n", "feature", "sentence"])
+        for whole in batches:
+            for batch in slices(whole, whole.column("text"), rows=2000):
+                s = sentences(batch.column("text"))
+                at = np.searchsorted(tags, s.word)
+                at[at == len(tags)] = 0
+                hit = tags[at] == s.word if len(tags) else np.zeros(len(s.word), bool)
+                text = s.of_sentence[s.of_word[hit]]
+                n = np.bincount(s.of_sentence, minlength=batch.num_rows)
+                ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+                number = s.of_word[hit] - (np.cumsum(n) - n)[text]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (at[hit], number)]
+                yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(n, pa.int32()), *lists], names=["order", "label", "n", "feature", "sentence"])
 
     got = rows.select("order", "label", "text").mapInArrow(occurrences, "order long, label int, n int, feature array<int>, sentence array<int>").toArrow()
     got = got.sort_by([("order", "ascending"), ("label", "ascending"), ("n", "ascending")]).combine_chunks()
@@ -223,8 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole, whole.column(len(kept)), rows=2000):
                 s = sentences(batch.column(len(kept)))
                 total, each = model.document_scores(s)
                 found: list[list[dict]] = [[] for _ in range(batch.num_rows)]

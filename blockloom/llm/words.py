@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .shared import catalog_name, fresh_path, partitions, slices, text_or_empty
 
 BLOCK_BYTES = 24 << 20
-#: A task forgets its words beyond this number and encodes them again if they recur: memory stays bounded.
-MOST_WORDS = 2_000_000
+#: Buckets of words for each shuffle partition. A task holds the words of one bucket at a time.
+BUCKETS = 4
 #: Words that the library encodes in one call.
 CALL_WORDS = 5_000
 
@@ -197,7 +197,7 @@ def _block(batches: list[pa.RecordBatch], specials: tuple[bytes, ...], buckets:
 
 def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted: bool, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(texts, lists): the blocks of the documents, and (block, bucket, words) of their distinct words."""
-    spark, buckets, specials = docs.sparkSession, 4 * partitions(docs.sparkSession), special_strings(path)
+    spark, buckets, specials = docs.sparkSession, BUCKETS * partitions(docs.sparkSession), special_strings(path)
     id_type = docs.schema[id_col].dataType
     lists = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
     schema = T.StructType(
@@ -279,24 +279,31 @@ def encoded_lists(lists: DataFrame, path: str, with_ids: bool) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
-        for batch in batches:
-            column = batch.column(2)
-            offsets, words = column.offsets.to_numpy(), column.values.to_pylist()
-            words = words[offsets[0] : offsets[-1]]
-            if len(known) > MOST_WORDS:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, encode_words(path, new), strict=True))
-            found = [known[w] for w in words]
-            counts = np.fromiter(map(len, found), np.int32, len(found)) // 4
-            ends = offsets - offsets[0]
-            blobs = [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] if with_ids else [b""] * batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([packed(counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([packed(np.frombuffer(b, "<u4")) for b in blobs], pa.binary())],
-                names=["block", "bucket", "counts", "ids"],
-            )
-
-    dealt = lists.repartition(partitions(lists.sparkSession), "bucket")
+        now = None
+        for whole in batches:
+            starts = np.flatnonzero(np.diff(whole.column(1).to_numpy(), prepend=-1))
+            for at, to in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+                batch = whole.slice(at, to - at)
+                if batch.column(1)[0].as_py() != now:
+                    known, now = {}, batch.column(1)[0].as_py()
+                yield answers(batch, known)
+
+    def answers(batch: pa.RecordBatch, known: dict[str, bytes]) -> pa.RecordBatch:
+        column = batch.column(2)
+        offsets, words = column.offsets.to_numpy(), column.values.to_pylist()
+        words = words[offsets[0] : offsets[-1]]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(zip(new, encode_words(path, new), strict=True))
+        found = [known[w] for w in words]
+        counts = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ends = offsets - offsets[0]
+        blobs = [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] if with_ids else [b""] * batch.num_rows
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([packed(counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([packed(np.frombuffer(b, "<u4")) for b in blobs], pa.binary())],
+            names=["block", "bucket", "counts", "ids"],
+        )
+
+    dealt = lists.repartition(partitions(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(encode, "block long, bucket int, counts binary, ids binary")
 
 
