@@ -1,6 +1,6 @@
 """URL filters: explicit rules first, else an empirical-Bayes reputation of the host.
 
-Labelled outcomes of pages (bad or not) are counted by host, registered domain and suffix. Each level
+Labelled outcomes of pages (bad or not, by what the pages hold) are counted by host, registered domain and suffix. Each level
 has a beta-binomial prior whose mean is the posterior mean of the level above and whose strength is
 fitted to the spread of that level's own counts (method of moments). A host is blocked if the lower
 bound of its posterior bad rate is over ``most_bad``; a host without labelled pages has its domain's prior.
@@ -13,13 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import HOT_PART, LEAST_HOT, stored, table, text_or_empty
 
-#: Two-label public suffixes known to the library; every other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
-#: Words that mark a page as bad if they are a label, or a hyphenated part of a label, of its host.
-BAD_WORDS = ("spam", "casino", "bets", "pills", "adult", "porn", "viagra", "track")
-MOST_BAD = 0.5
+#: Suffixes of two labels: one of these below a country's. Every other suffix is the last label. A table of suffixes may add more.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+#: A page is bad if its markup holds fewer words than this, or more links than one in so many words.
+LEAST_WORDS = 100
+LINK_WORDS = 10
+#: Hosts are blocked whose rate of bad pages is surely higher.
+MOST_BAD = 0.1
 #: Standard deviations below the posterior mean where the bound lies (one-sided 95 %).
 Z = 1.645
 LEAST_SPREAD, MOST_SPREAD = 1e-4, 0.999
@@ -65,13 +67,24 @@ def first_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Col
     return name, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host, without port and user."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    last = F.substring_index(bare, ".", -1)
-    two, three = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -3)
-    double = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(double, three).otherwise(two), F.when(double, two).otherwise(last)
+def levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds domain (registered) and suffix to rows with a host, without port and user.
+
+    suffixes: a table of public suffixes, column suffix; the longest that ends a host after a dot counts.
+    """
+    bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
+    labels = F.split(bare, r"\.")
+    double = F.size(labels) > 1
+    double &= F.get(labels, F.size(labels) - 2).isin(*SECOND_LABELS) & (F.length(F.substring_index(bare, ".", -1)) == 2)
+    n = F.when(double, 2).otherwise(1)
+    rows = hosts.withColumns({"_labels": labels, "_n": n})
+    if suffixes is not None:
+        tails = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.struct(i.alias("_known"), F.array_join(F.slice("_labels", -i, i), ".").alias("suffix")))
+        known = rows.select("host", F.explode(tails).alias("tail")).select("host", "tail.*")
+        known = known.join(suffixes.select("suffix").distinct(), "suffix", "left_semi").groupBy("host").agg(F.max("_known").alias("_known"))
+        rows = rows.join(known, "host", "left").withColumn("_n", F.coalesce("_known", "_n")).drop("_known")
+    tail = lambda k: F.array_join(F.slice("_labels", -F.least(k, F.size("_labels")), F.least(k, F.size("_labels"))), ".")
+    return rows.withColumns({"domain": tail(F.col("_n") + 1), "suffix": tail(F.col("_n"))}).drop("_labels", "_n")
 
 
 def _spread(groups: DataFrame, prior: Column) -> float:
@@ -83,13 +96,10 @@ def _spread(groups: DataFrame, prior: Column) -> float:
     return min(max(rho, LEAST_SPREAD), MOST_SPREAD)
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """host, n, bad_rate, bad_bound from rows (host, bad) of labelled pages; a row per host, the empty host too."""
-    domain, suffix = levels(F.col("host"))
-    by_host = (
-        outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("double")).alias("x")).withColumns({"domain": domain, "suffix": suffix})
-    ).persist()
+    counted = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("double")).alias("x"))
+    by_host = stored(levels(counted, suffixes), "url-hosts")
     whole = by_host.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
     root = F.lit(((whole["x"] or 0.0) + 0.5) / ((whole["n"] or 0) + 1.0))
     sums = (F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -106,7 +116,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bad: float = MOST_BAD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bad: float = MOST_BAD, suffixes: DataFrame | None = None) -> DataFrame:
     """Returns id, host, path, rule, verdict: a row per page.
 
     A null url, or one without ://, has an empty host and path and is allowed unless rules or the
@@ -115,20 +125,38 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     split = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, ruled = first_rule(F.col("host"), F.col("path"), rules)
-    known = reputations(outcomes).where(F.col("bad_bound") > most_bad).select("host", F.lit(True).alias("bad"))
-    return split.join(known, "host", "left").select(
+    known = stored(reputations(outcomes, suffixes).select("host", "n", F.coalesce(F.col("bad_bound") > most_bad, F.lit(False)).alias("bad")), "url-verdicts")
+    of_host = known.select(F.col("host").alias("_host"), "bad")
+    often = known.agg(F.sum("n")).first()[0] or 0
+    judged = split.join(of_host, F.col("host") == F.col("_host"), "left") if often <= LEAST_HOT else _judged(split, known, often)
+    return judged.select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict")
     )
 
 
-def marked_pages(pages: DataFrame, url_col: str = "url", words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
-    """(host, bad) of every page, labelled by the words of its host. The tables hold no labels of pages."""
+def _judged(pages: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """Pages with their host's verdict; the verdicts of hosts with very many pages go to all tasks."""
+    hot = F.col("n") > max(LEAST_HOT, total // HOT_PART)
+    few, rest = F.broadcast(known.where(hot).select("host", "bad")), known.where(~hot).select("host", "bad")
+    return pages.join(few, "host").unionByName(pages.join(few.select("host"), "host", "left_anti").join(rest, "host", "left"))
+
+
+def page_words(html: Column) -> Column:
+    """The words of a page outside of tags, scripts, styles and comments."""
+    shown = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
+    return F.regexp_count(F.regexp_replace(shown, "<[^>]*>", " "), F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def marked_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_words: int = LEAST_WORDS, link_words: int = LINK_WORDS) -> DataFrame:
+    """(host, bad) of every page, labelled by what it holds: thin pages and lists of links are bad. A null page is empty."""
     host = host_of(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
-    return pages.select(host.alias("host"), host.rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)").alias("bad"))
+    html = text_or_empty(html_col)
+    words = page_words(html)
+    return pages.select(host.alias("host"), ((words < least_words) | (F.regexp_count(html, F.lit("<a ")) * link_words > words)).alias("bad"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages")
     return judge(pages, marked_pages(pages))
 
 
@@ -137,12 +165,13 @@ SQL = {
         WITH s AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
-        o AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(*) AS n,
-                     sum(regexp_matches(host, '(^|[.-])(spam|casino|bets|pills|adult|porn|viagra|track)([.-]|$)')::DOUBLE) AS x FROM h GROUP BY host),
-        l AS (SELECT *, array_to_string(string_split(bare, '.')[-2:], '.') AS two, array_to_string(string_split(bare, '.')[-3:], '.') AS three,
-                     string_split(bare, '.')[-1] AS last FROM o),
-        g AS (SELECT host, n, x, CASE WHEN two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','co.jp','com.br','co.nz','co.in') THEN three ELSE two END AS domain,
-                     CASE WHEN two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','co.jp','com.br','co.nz','co.in') THEN two ELSE last END AS suffix FROM l),
+        c AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        w AS (SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[^\x20\x09-\x0D]+')) AS words,
+                     len(regexp_extract_all(html, '<a ')) AS links FROM c),
+        o AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS labels, count(*) AS n,
+                     sum((words < 100 OR links * 10 > words)::DOUBLE) AS x FROM h JOIN w USING (page_id) GROUP BY host),
+        l AS (SELECT *, CASE WHEN len(labels) > 1 AND labels[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gov', 'ne', 'net', 'or', 'org') AND length(labels[-1]) = 2 THEN 2 ELSE 1 END AS k FROM o),
+        g AS (SELECT host, n, x, array_to_string(labels[-(k + 1):], '.') AS domain, array_to_string(labels[-k:], '.') AS suffix FROM l),
         r AS (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) AS m FROM g),
         su AS (SELECT suffix, sum(n) AS n, sum(x) AS x, any_value(m) AS m FROM g, r GROUP BY suffix),
         ks AS (SELECT least(greatest(coalesce(sum((x - n * m) * (x - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 1e-4), 1e-4), 0.999) AS rho FROM su),
@@ -153,7 +182,7 @@ SQL = {
         hh AS (SELECT host, n, x, m FROM g JOIN dm USING (domain, suffix)),
         kh AS (SELECT least(greatest(coalesce(sum((x - n * m) * (x - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 1e-4), 1e-4), 0.999) AS rho FROM hh),
         hm AS (SELECT host, n, (1 - rho) / rho AS k, (x + (1 - rho) / rho * m) / (n + (1 - rho) / rho) AS rate FROM hh, kh),
-        b AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5 AS bad FROM hm),
+        b AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.1 AS bad FROM hm),
         f AS (SELECT page_id, host, path, CASE
                 WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -17,7 +17,8 @@ def split(url):
 
 def test_urls_and_rules(spark):
     urls = [None, "", "no scheme", "http://A.Net/x", "http://net/x", "http://net", "http://xnet/", "http://a.example.net/en/1?q#f", "http://example.net/EN/1", "https://example.com/de/", "https://b.example.com/de", "http://w.org/fr/#", "x://y://z/fr/", "http://É.ORG/fr/?a", "http://a.org?x/fr/"]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://a.net/", "h"), (3, "http://A.Net/x", "h")], "page_id long, url string, host string")
+    good = "<p>" + "word " * 200
+    pages = spark.createDataFrame([(i, u, "h", good, "w") for i, u in enumerate(urls)] + [(None, "http://a.net/", "h", None, "w"), (3, "http://A.Net/x", "h", good, "w")], "page_id long, url string, host string, html string, words string")
     got = url_filter.judge(pages, url_filter.marked_pages(pages)).collect()
     assert len(got) == len(urls) + 2
     rules = {r.page_id: r.rule for r in got}
@@ -38,6 +39,31 @@ def test_reputation_shrinks(spark):
     assert all(r.bad_bound <= r.bad_rate for r in got.values())
 
 
+def test_pages_are_labelled_by_what_they_hold(spark):
+    text = "word " * 150
+    cases = [("<p>" + text, False), ("<p>few words", True), (None, True), ("<script>" + text + "</script><p>few", True), ("<!-- " + text + "\n-->few", True), ('<a href="x">y</a> ' * 40 + text, True), ('<a href="x">y</a>' + text, False), ("<style>" + text + "</style>" + text, False)]
+    pages = spark.createDataFrame([(f"http://one.org/{i}", html) for i, (html, _) in enumerate(cases)], "url string, html string")
+    got = [tuple(r) for r in url_filter.marked_pages(pages).collect()]
+    assert got == [("one.org", bad) for _, bad in cases]  # pages of one host differ
+
+
+def test_bad_hosts_are_blocked(spark):
+    pages = [(i, f"http://w{i % 4}.thin.org/{i}", "<p>thin") for i in range(80)] + [(100 + i, f"http://good{i % 9}.fine.org/{i}", "<p>" + "word " * 120) for i in range(300)] + [(999, "http://new.thin.org/", "<p>" + "word " * 120)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(frame, url_filter.marked_pages(frame)).collect()}
+    assert all(got[i] == ("block" if i < 100 or i == 999 else "allow") for i in got)  # one good page does not clear a host of that domain
+    assert {r.page_id: r.verdict for r in url_filter.judge(frame, url_filter.marked_pages(frame.limit(0))).collect()} == dict.fromkeys(got, "allow")
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "u@a.b.de:80", "a.blogs.example", "xx.io"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    own = {r.host: (r.domain, r.suffix) for r in url_filter.levels(frame).collect()}
+    assert own == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "com": ("com", "com"), "": ("", ""), "u@a.b.de:80": ("b.de", "de"), "a.blogs.example": ("blogs.example", "example"), "xx.io": ("xx.io", "io")}
+    more = {r.host: (r.domain, r.suffix) for r in url_filter.levels(frame, spark.createDataFrame([("blogs.example",), ("example",)], "suffix string")).collect()}
+    assert more["a.blogs.example"] == ("a.blogs.example", "blogs.example") and more["x.y.com"] == own["x.y.com"]
+
+
 def brute_scan(text):
     best = {}
     for passage in licenses.passages(text or ""):
