@@ -67,15 +67,41 @@ def test_registered_domains(spark):
 def brute_scan(text):
     best = {}
     for passage in licenses.passages(text or ""):
-        own = licenses.bigrams(licenses.normalise(passage))
+        words = re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in passage))
+        own = set(zip(words, words[1:])) or set(words)
+        found = []
         for name, template in licenses.TEMPLATES:
-            grams = licenses.bigrams(licenses.normalise(template))
+            wanted = re.findall("[a-z0-9]+", template.lower())
+            grams = set(zip(wanted, wanted[1:])) or set(wanted)
             dice = 2 * len(own & grams) / (len(own) + len(grams))
-            if own and dice >= 0.8:
+            same = set(words) & licenses.TELLING == set(wanted) & licenses.TELLING and all(w in words for w in wanted if w.isdigit())
+            if own and dice >= 0.8 and same:
+                found.append((dice, name))
+        for dice, name in found:
+            if dice == max(found)[0]:
                 best[name] = max(best.get(name, 0), dice)
     return best
 
 
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+
+
+def test_siblings_are_told_apart(spark):
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    two = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+    cases = [
+        (GPL.format("", 3), {"GPL-3.0"}), (GPL.format("Affero ", 3), {"AGPL-3.0"}), (GPL.format("Lesser ", 3), {"LGPL-3.0"}), (GPL.format("", 2), {"GPL-2.0"}), (GPL.format("", 1), set()),
+        (bsd, {"BSD-3-Clause"}), (two, {"BSD-2-Clause"}), (two[: two.index(":")], {"BSD"}), ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("Licensed under CC BY 3.0.", set()), ("Licensed under CC BY-ND 4.0.", set()), ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for anywhere in (False, True):
+        got = defaultdict(set)
+        for r in licenses.scan(docs, anywhere=anywhere).collect():
+            got[r.doc_id].add(r.license)
+        assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_licences(spark):
     texts = [None, "", "x\nLicensed under the  MIT license!", "Licensed under the Apache License\nVersion 2.0", "all rights reserved", "All rights", "a " * 50_000 + "\nReleased under the MIT License.", "This work is licensed under a GNU General Public License, version 3. " + licenses.TEMPLATES[2][1], licenses.TEMPLATES[2][1].replace(", ", ",\n"), "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0"]
     docs = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)] + [(2, texts[2], "l"), (None, texts[9], "l")], "doc_id long, text string, license string")
@@ -104,7 +130,9 @@ def test_licences_within_lines(spark):
         for name, grams in known:
             for a in range(len(words)):
                 for b in range(a + 2, len(words) + 1):
-                    own = licenses.bigrams(" ".join(words[a:b]))
+                    own, whole = licenses.bigrams(" ".join(words[a:b])), {w for g in grams for w in g.split()}
+                    if " ".join(words[a : a + 2]) not in grams or " ".join(words[b - 2 : b]) not in grams or not licenses.tells(set(words[a:b]), whole):
+                        continue
                     best[name] = max(best[name], 2 * len(own & grams) / (len(own) + len(grams)))
         found = defaultdict(float)
         for dice, name, _, _ in licenses.windows(text, known, 0.8):
