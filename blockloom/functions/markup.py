@@ -6,10 +6,11 @@ Patterns use explicit ASCII classes where the meaning allows it, so they mean th
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -84,43 +85,69 @@ def paragraphs(text: Column) -> Column:
     return F.filter(blocks, lambda x: (x != "") & ~x.startswith("%") & ~x.rlike(r"^\\[a-zA-Z]+\*?$"))
 
 
-def _numbered(text: Column, name: str, pattern: str) -> Column:
-    """Every hit becomes [[NAME_n]], counted from 1."""
-    parts = F.split(text, pattern, -1)
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, F.concat(F.lit(f"[[{name.upper()}_"), i.cast("string"), F.lit("]]"), x)).otherwise(x)), "")
+#: What a text must hold for a rule to find anything: looked for first, as most texts hold none of it.
+_NEEDED = {"email": "@", "linkedin": "(?i)linkedin", "github": "(?i)github", "twitter": r"(?i)(?:twitter|x)\.com/", "phone": r"\d{2}", "orcid": r"\d{4}-\d{4}-", "card_like": r"\d[\s-]?\d"}
+
+
+def _numbered(name: str) -> Callable[[Column, Column], Column]:
+    """What stands before a part of a split text: a placeholder with the number of the hit, but nothing before the first."""
+    return lambda x, i: F.when(i > 0, F.concat(F.lit(f"[[{name.upper()}_"), i.cast("string"), F.lit("]]"), x)).otherwise(x)
+
+
+def _split(text: Column, name: str, pattern: str) -> Column:
+    return F.when(text.rlike(_NEEDED[name]), F.split(text, pattern, -1)).otherwise(F.array(text))
 
 
 def pii_redacted(text: Column) -> Column:
     """Text with every hit replaced by a numbered placeholder of its rule; rules apply in order."""
-    return reduce(lambda t, rule: _numbered(t, *rule), PII_RULES, text)
+    return reduce(lambda t, rule: F.array_join(F.transform(F.split(t, rule[1], -1), _numbered(rule[0])), ""), PII_RULES, text)
 
 
 def pii_counts(text: Column) -> Column:
-    """map rule -> hits, in rule order, each on the text that the rules before have redacted."""
+    """map rule -> hits, in rule order, each on the text that the rules before have redacted. For columns of tables redacted() reads texts less often."""
     counts, now = [], text
     for name, pattern in PII_RULES:
         counts += [F.lit(name), F.regexp_count(now, F.lit(pattern))]
-        now = _numbered(now, name, pattern)
+        now = F.array_join(F.transform(F.split(now, pattern, -1), _numbered(name)), "")
     return F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
 
 
+def redacted(df: DataFrame, text: str) -> DataFrame:
+    """Adds redacted, the text with every hit replaced by a placeholder of its rule, numbered from 1, and counts, a map of rule -> hits.
+
+    Rules apply in order, each to the text that those before have redacted; each splits the text once. Columns of these names are replaced.
+    """
+    kept = [c for c in df.columns if c not in ("redacted", "counts")]
+    out = df.select(*kept, F.col(text).alias("_text"))
+    for name, pattern in PII_RULES:
+        split = _split(F.col("_text"), name, pattern)
+        marked = F.array_join(F.transform("_parts", _numbered(name)), "")
+        out = out.withColumn("_parts", split).withColumns({f"_{name}": F.size("_parts") - 1, "_text": F.when(F.size("_parts") > 1, marked).otherwise(F.col("_text"))}).drop("_parts")
+    counts = F.map_filter(F.create_map(*(x for name, _ in PII_RULES for x in (F.lit(name), F.coalesce(F.col(f"_{name}"), F.lit(0))))), lambda _, n: n > 0)
+    # A filter on the results must not be moved below the steps, where it would repeat them all: it cannot pass a generator.
+    return out.select(*kept, F.inline(F.array(F.struct(F.col("_text").alias("redacted"), counts.alias("counts")))))
+
+
+#: Categories of compiler errors (fixed values) and what TeX and its packages print for them, the most specific first.
+ERROR_MESSAGES = (
+    ("undefined_control_sequence", ("Undefined control sequence",)),
+    ("package_error", (r"Package [^ \n]+ Error",)),
+    ("undefined_environment", (r"Environment [^ \n]+ undefined",)),
+    ("environment_mismatch", (r"begin\{[^ \n]+\}.*ended by .end\{[^ \n]+\}",)),
+    ("missing_file", ("[Ff]ile `[^'\n]+' not found", "cannot find file")),
+    ("math_mode_error", (r"Missing [$] inserted",)),
+    ("bibliography_error", (r"Citation `[^'\n]+' .* undefined", r"I found no .bibdata", r"I found no .citation")),
+    ("syntax_error", ("Emergency stop", "Fatal error", r"(?m:^!)", "Error")),
+    ("timeout", ("[Tt]imed out",)),
+)
+
+
 def compile_error(log: Column) -> Column:
-    """Category of a compiler log by its first 2000 characters, the most specific first."""
+    """Category of a compiler log by its first 2000 characters; null for an empty log, unknown if no message is known."""
     head = F.left(log, F.lit(2000))
-    rules = (
-        ("undefined_control_sequence", r"Undefined control sequence"),
-        ("package_error", r"Package \S+ Error"),
-        ("undefined_environment", r"Environment \S+ undefined"),
-        ("environment_mismatch", r"\\begin\{\S+\}.*ended by \\end\{\S+\}"),
-        ("missing_file", r"(?i)File `[^']+' not found|cannot find file"),
-        ("math_mode_error", r"Missing \$ inserted"),
-        ("bibliography_error", r"Citation `[^']+' .* undefined|I found no \\bibdata|I found no \\citation"),
-        ("syntax_error", r"Emergency stop|Fatal error|(?m)^!|Error"),
-        ("timeout", r"(?i)timed out"),
-    )
     out = F.when(F.trim(F.coalesce(log, F.lit(""))) == "", F.lit(None).cast("string"))
-    for name, pattern in rules:
-        out = out.when(head.rlike(pattern), name)
+    for name, messages in ERROR_MESSAGES:
+        out = out.when(head.rlike("|".join(messages)), name)
     return out.otherwise("unknown")
 
 
@@ -274,3 +301,72 @@ def shimmed(rows, key: str, text: str, shims):
     declared = F.array_sort(F.collect_list(F.when(F.col("replacement").isNotNull(), F.concat(F.lit("\\newunicodechar{"), "char", F.lit("}{"), "replacement", F.lit("}")))))
     unmapped = F.array_sort(F.collect_list(F.when(F.col("replacement").isNull(), F.col("char"))))
     return used.groupBy(key).agg(F.array_join(declared, "\n").alias("declarations"), unmapped.alias("unmapped"))
+
+
+#: Marks of inline styles in Markdown, with the inner text as the only group (fixed values).
+INLINE_MARKS = (
+    ("bold", r"\*\*([^*]+)\*\*|__([^_]+)__"),
+    ("italic", r"(?<!\*)\*(?!\*)([^*]+)(?<!\*)\*(?!\*)|(?<!_)_(?!_)([^_]+)(?<!_)_(?!_)"),
+    ("code", r"`([^`]+)`"),
+)
+
+
+def inline_spans(text: Column) -> Column:
+    """array<struct<style, start, length>> of the marked runs of a Markdown text, marks included; styles in order, starts from 0.
+
+    What lies between the hits is found by splitting, so a start is the length of all that comes before it.
+    """
+
+    def spans(style: str, pattern: str) -> Column:
+        hits, between = occurrences(text, pattern), F.split(text, pattern, -1)
+        total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(hits, lambda x, i: F.struct(F.lit(style).alias("style"), (total(F.slice(between, 1, i + 1)) + total(F.slice(hits, 1, i))).alias("start"), F.length(x).alias("length")))
+
+    return F.concat(*(spans(*mark) for mark in INLINE_MARKS))
+
+
+#: Rules and page marks between the rows of a LaTeX table, which belong to no cell (fixed values).
+TABLE_RULES = r"\\(?:hline|toprule|midrule|bottomrule|endfirsthead|endhead|endfoot|endlastfoot|kill)\b|\\cline\{[^}]*\}"
+
+
+def tabular_cells(body: Column) -> Column:
+    """array<array<string>>: the cells of the rows of a tabular body, trimmed, without rules and empty rows."""
+    rows = F.transform(F.split(body, r"\\\\", -1), lambda r: F.trim(F.regexp_replace(r, TABLE_RULES, "")))
+    trim = lambda c: F.regexp_replace(c, r"^[ \t\n]+|[ \t\n]+$", "")
+    return F.transform(F.filter(F.transform(rows, trim), lambda r: r != ""), lambda r: F.transform(F.split(r, "&", -1), trim))
+
+
+def unwrapped(text: Column, unwrap: tuple[str, ...], drop: tuple[str, ...] = ()) -> Column:
+    """LaTeX with commands of one argument replaced by the argument, innermost first to a depth of three, and others dropped with theirs."""
+    for _ in range(3):
+        text = F.regexp_replace(text, rf"\\(?:{'|'.join(unwrap)})\{{([^{{}}]*)\}}", "$1")
+        if drop:
+            text = F.regexp_replace(text, rf"\\(?:{'|'.join(drop)})(?:\[[^\]]*\])?\{{[^{{}}]*\}}", "")
+    return text
+
+
+def section_keyword(heading: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
+    """The kind of a section by its title, without number and case; keywords: kind -> titles. Null if no title fits."""
+    title = F.regexp_replace(F.lower(F.trim(heading)), r"^(?:[0-9]+(?:\.[0-9]+)*|[ivxlc]+)[.)]?[ \t]+", "")
+    title = F.regexp_replace(title, r"[ \t:.]+$", "")
+    known = [x for kind, titles in keywords.items() for t in titles for x in (F.lit(t), F.lit(kind))]
+    return F.try_element_at(F.create_map(*known), title)
+
+
+def diagnosis(kind: Column, details: Column, message: Column, base: dict[str, tuple[str, str]], special: tuple[tuple[str, str, str], ...], other: tuple[str, str]) -> Column:
+    """struct<category, severity> of a warning: by its kind, but the first needle found in details and message overrides."""
+    pair = lambda category, severity: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"))
+    text = F.lower(F.concat_ws(" ", F.coalesce(details, F.lit("")), message))
+    out = F.when(F.lit(False), pair(*other))
+    for needle, category, severity in special:
+        out = out.when(F.contains(text, F.lit(needle)), pair(category, severity))
+    for name, found in base.items():
+        out = out.when(kind == name, pair(*found))
+    return out.otherwise(pair(*other))
+
+
+def layout_hint(columns: Column, kind: Column, span: Column, code: Column) -> Column:
+    """A hint for blocks that may not fit a column of a page of several: wide figures and tables, and code with lines over 80 characters."""
+    wide = F.lower(kind).isin("figure", "table", "image") & (F.lower(F.coalesce(span, F.lit("column"))) == "column")
+    long = (F.lower(kind) == "code") & F.exists(F.split(F.coalesce(code, F.lit("")), "\n"), lambda x: F.length(x) > 80)
+    return F.when(columns >= 2, F.when(wide, "may not fit a column").when(long, "lines over 80 characters"))

@@ -81,3 +81,10 @@ def containing(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str,
 def _grams(text: Column, words: int) -> Column:
     """Runs of words between single spaces: the text is read once, at every word, by a look-ahead."""
     return F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), F.lower(text)), F.lit(rf" (?=([^ ]*(?: [^ ]*){{{words - 1}}}))"), F.lit(1)))
+
+
+def search_text(blocks: DataFrame, key: str, order: str, text: str, title: Column) -> DataFrame:
+    """key, search_text: a document's title and the texts of its blocks, in order, joined by spaces; blocks without text are left out."""
+    rows = blocks.where(F.col(text).isNotNull()).select(key, title.alias("_title"), F.struct(order, text).alias("_block"))
+    listed = F.transform(F.array_sort(F.collect_list("_block")), lambda b: b[text])
+    return rows.groupBy(key, "_title").agg(listed.alias("_texts")).select(key, F.concat_ws(" ", "_title", "_texts").alias("search_text"))

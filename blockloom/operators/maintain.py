@@ -86,3 +86,58 @@ def corrections(before: DataFrame, after: DataFrame, key: str, columns: list[str
     both = before.select(key, F.struct(*columns).alias("b")).join(after.select(key, F.struct(*columns).alias("a")), key)
     each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"b.{c}").cast("string").alias("old"), F.col(f"a.{c}").cast("string").alias("new")) for c in columns))
     return both.select(key, F.explode(each).alias("x")).select(key, "x.*").where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def insert_unless_active(old: DataFrame, new: DataFrame, text: str, active: Column, order: str) -> DataFrame:
+    """Rows of new whose text, in any case, is in no active row of old; of equal new ones the first by ``order``."""
+    seen = old.where(F.coalesce(active, F.lit(False))).select(F.lower(text).alias("_text"))
+    fresh = new.withColumn("_text", F.lower(text)).join(seen, "_text", "left_anti")
+    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_text").orderBy(order))).where("_n = 1").drop("_n", "_text")
+
+
+def batch_upsert(old: DataFrame, new: DataFrame, keys: list[str], document: str, versions: DataFrame, defaults: dict[str, object]) -> tuple[DataFrame, DataFrame]:
+    """(the new table, a row per document of new with version and applied).
+
+    new has the blocks of whole documents as a client holds them: its blocks replace or join the old ones, a null keeps
+    the old value (or the default in a new block), blocks that it lacks go. versions: document, version, expected. A document
+    whose version is not the expected one is left as it is; otherwise its version grows by one. A null expectation always holds.
+    """
+    touched = new.select(document).distinct()
+    state = versions.join(touched, document, "left_semi").withColumn("applied", F.coalesce(F.col("expected") == F.col("version"), F.lit(True)))
+    applied = state.where("applied").select(document)
+    on, values = [document, *keys], [c for c in old.columns if c not in (document, *keys)]
+    untouched = old.join(applied, document, "left_anti")
+    before = old.join(applied, document, "left_semi").select(*on, *(F.col(c).alias(f"_{c}") for c in values))
+    merged = new.join(applied, document, "left_semi").join(before, on, "left")
+    filled = [F.coalesce(F.col(c), F.col(f"_{c}"), *([F.lit(defaults[c])] if c in defaults else [])).cast(old.schema[c].dataType).alias(c) for c in values]
+    out = untouched.unionByName(merged.select(*on, *filled))
+    return out, state.select(document, F.when(F.col("applied"), F.col("version") + 1).otherwise(F.col("version")).alias("version"), "applied")
+
+
+def cloned(rows: DataFrame, key: str, parent: str, document: str, copy: str) -> DataFrame:
+    """Copies of all blocks of documents under new ids, which follow from the old ones and the name of the copy; parents point into the copy."""
+    new_id = lambda c: F.when(c.isNotNull(), F.sha2(F.concat_ws("/", F.lit(copy), c.cast("string")), 256))
+    inside = rows.select(F.col(document).alias("_document"), F.col(key).alias("_key"))
+    linked = rows.join(inside, (F.col(document) == F.col("_document")) & (F.col(parent) == F.col("_key")), "left")
+    return linked.select(*(new_id(F.col(c)).alias(c) if c in (key, document) else new_id(F.col("_key")).alias(c) if c == parent else F.col(c) for c in rows.columns))
+
+
+def refreshed_counts(parents: DataFrame, children: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:
+    """Denormalised counters set from the children; parents without any have 0."""
+    own = children.groupBy(key).agg(*(F.count_if(c).alias(f"_{name}") for name, c in counts.items()))
+    joined = parents.drop(*counts).join(own, key, "left")
+    return joined.withColumns({name: F.coalesce(F.col(f"_{name}"), F.lit(0)).cast("long") for name in counts}).drop(*(f"_{name}" for name in counts))
+
+
+def backfill_checks(before: DataFrame, after: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """check, status: PASS or FAIL of the row count and of every rule that the new rows must all meet."""
+    broken = after.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()))
+    total = before.agg(F.count(F.lit(1)).alias("_total"))
+    one = broken.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    each = [F.struct(F.lit("row_count").alias("check"), (F.col("_n") == F.col("_total")).alias("ok"))] + [F.struct(F.lit(n).alias("check"), (F.col(n) == 0).alias("ok")) for n in rules]
+    return one.select(F.explode(F.array(*each)).alias("c")).select("c.check", F.when(F.col("c.ok"), "PASS").otherwise("FAIL").alias("status"))
+
+
+def purged(df: DataFrame, deleted_at: str, as_of: object, days: int = 30) -> DataFrame:
+    """Rows that stay: live ones, and those deleted at most ``days`` ago."""
+    return df.where(F.col(deleted_at).isNull() | (F.col(deleted_at) >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))))

@@ -60,3 +60,17 @@ def split_valid(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected); rows for which the rule is null are rejected."""
     rule = F.coalesce(valid, F.lit(False))
     return df.where(rule), df.where(~rule)
+
+
+def begins_with(name: str, prefix: str | None) -> Column | None:
+    """Values with a literal prefix: no character of it is a wildcard."""
+    return F.startswith(F.col(name), F.lit(prefix)) if prefix else None
+
+
+def plan_cap(plan: str, name: str) -> Column:
+    """A cap of a plan kept as JSON; null if it has none."""
+    return F.get_json_object(plan, f"$.caps.{name}").cast("long")
+
+
+def has_feature(plan: str, name: str) -> Column:
+    return F.coalesce(F.array_contains(F.from_json(F.get_json_object(plan, "$.features"), "array<string>"), name), F.lit(False))

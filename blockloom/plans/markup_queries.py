@@ -44,12 +44,27 @@ def conv_to_lml(t: Tables) -> DataFrame:
     return emit.documents_to("lml", typed_blocks(t), ["conv_id"], "turn", "kind", "content")
 
 
-@catalog.query()
+#: Inline marks in SQL: text that stands alone within code or emphasis has no marks in the tables, so the order of the rules is all that counts.
+_HTML_SQL = r"""replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+_INLINE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '`([^`]+)`', '{1}', 'g'), '\*\*([^*]+)\*\*', '{2}', 'g'), '\*([^*]+)\*', '{3}', 'g'), '\[([^\]]+)\]\(([^)\s]+)\)', '{4}', 'g')"""
+
+
+@catalog.query(f"""
+    SELECT conv_id, string_agg(CASE kind WHEN 'heading' THEN '<h2>' || inline || '</h2>' WHEN 'code' THEN '<pre><code>' || escaped || '</code></pre>' ELSE '<p>' || inline || '</p>' END, chr(10) || chr(10) ORDER BY turn) AS body
+    FROM (SELECT *, regexp_replace({_INLINE_SQL.format("escaped", "<code>\\1</code>", "<strong>\\1</strong>", "<em>\\1</em>", '<a href="\\2">\\1</a>')}, '~~([^~]+)~~', '<del>\\1</del>', 'g') AS inline
+    FROM (SELECT conv_id, turn, {_KIND_SQL} AS kind, {_HTML_SQL.format("coalesce(text, '')")} AS escaped FROM conversations)) GROUP BY conv_id""")
 def conv_to_html(t: Tables) -> DataFrame:
     return emit.documents_to("html", typed_blocks(t), ["conv_id"], "turn", "kind", "content")
 
 
-@catalog.query()
+_LATEX_SQL = f"""
+    SELECT conv_id, '\\documentclass{{article}}' || chr(10) || '\\usepackage{{amsmath}}' || chr(10) || '\\usepackage{{graphicx}}' || chr(10) || '\\usepackage{{hyperref}}' || chr(10) || '\\title{{Conversation ' || conv_id || '}}' || chr(10)
+        || '\\begin{{document}}' || chr(10) || '\\maketitle' || chr(10) || string_agg(CASE kind WHEN 'heading' THEN '\\subsection{{' || inline || '}}' WHEN 'code' THEN '\\begin{{verbatim}}' || chr(10) || text || chr(10) || '\\end{{verbatim}}' ELSE inline END, chr(10) || chr(10) ORDER BY turn)
+        || chr(10) || '\\end{{document}}' || chr(10) AS body
+    FROM (SELECT conv_id, turn, {_KIND_SQL} AS kind, coalesce(text, '') AS text, {_INLINE_SQL.format("regexp_replace(coalesce(text, ''), '([#%&_])', '\\\\\\1', 'g')", "\\\\texttt{\\1}", "\\\\textbf{\\1}", "\\\\textit{\\1}", "\\\\href{\\2}{\\1}")} AS inline FROM conversations) GROUP BY conv_id"""
+
+
+@catalog.query(_LATEX_SQL)
 def conv_to_latex(t: Tables) -> DataFrame:
     body = emit.documents_to("latex", typed_blocks(t), ["conv_id"], "turn", "kind", "content")
     return body.select("conv_id", emit.latex_document(F.col("body"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))).alias("body"))
@@ -191,16 +206,6 @@ def promoted_levels(t: Tables) -> DataFrame:
     return promoted(rows, seen, "c_custkey", "level", ["none", "partial", "full"])
 
 
-@catalog.query("""
-    SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey < 50 UNION ALL SELECT c_custkey, 'NEW' FROM customer WHERE c_custkey BETWEEN 50 AND 60""")
-def upserted(t: Tables) -> DataFrame:
-    from ..operators.maintain import upsert
-
-    rows = t.customer.where(F.col("c_custkey") <= 55).select("c_custkey", "c_mktsegment")
-    new = t.customer.where(F.col("c_custkey").between(50, 60)).select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
-    return upsert(rows, new, ["c_custkey"])
-
-
 @catalog.query("""
     SELECT o_custkey, count(*) AS n_live FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY GROUP BY 1""")
 def retention_live(t: Tables) -> DataFrame:
@@ -218,14 +223,6 @@ def bulk_approved(t: Tables) -> DataFrame:
     return bulk_status(t.orders, (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100000), "o_orderstatus", "F")[1]
 
 
-@catalog.query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey < 20 AND c_nationkey <> c_custkey % 25")
-def foreign_members(t: Tables) -> DataFrame:
-    """Proposed members that do not belong to their owner."""
-    pairs = t.customer.where(F.col("c_custkey") < 20).select("c_custkey", "c_nationkey")
-    owned = t.customer.select("c_custkey", (F.col("c_custkey") % 25).cast("int").alias("c_nationkey"))
-    return relational.all_belong(pairs, "c_custkey", "c_nationkey", owned)
-
-
 @catalog.query("""
     SELECT CASE p_size % 5 WHEN 2 THEN 'E_shimmed_trusted' WHEN 0 THEN CASE WHEN p_type = 'PROMO' THEN 'A_truthful' ELSE 'B_lying_full' END WHEN 1 THEN CASE WHEN p_type = 'PROMO' THEN 'A_truthful' ELSE 'B_lying_partial' END
            ELSE CASE WHEN p_type = 'PROMO' THEN 'C_underclaimed' ELSE 'D_honest_unsupported' END END AS bucket, count(*) AS n FROM part GROUP BY 1""")

@@ -96,12 +96,12 @@ def missing_citations(t: Tables) -> DataFrame:
 
 def _level() -> Column:
     """The texts have no headings: lines are made into some by their length."""
-    return heading_level(F.concat(F.when(F.length("line") % 4 == 0, "2.1.3 ").when(F.length("line") % 4 == 1, "3. ").when(F.length("line") % 4 == 2, "4.1 ").otherwise(""), F.left("line", F.lit(50))))
+    return heading_level(F.concat(F.when(F.length("line") % 4 == 0, "2.1.3 ").when(F.length("line") % 4 == 1, "3. ").when(F.length("line") % 4 == 2, "4.1 ").otherwise(""), F.col("line")))
 
 
-_HEADED = f"""(SELECT doc_id, pos, line, CASE WHEN NOT regexp_matches(h, '^[ \\t]*[0-9.]+ +[^ \\t]') OR NOT regexp_matches(h, '[A-Za-z]') THEN NULL WHEN strlen(regexp_extract(h, '^([0-9.]+) ', 1)) = 0 THEN NULL
+_HEADED = f"""(SELECT doc_id, pos, line, CASE WHEN NOT regexp_matches(h, '^[ \\t]*[0-9.]+ +[^ \\t]') OR NOT regexp_matches(h, '[A-Za-z]') OR length(h) > 120 OR length(regexp_replace(h, '^[0-9.]+[ \\t]+', '')) > 91 THEN NULL WHEN strlen(regexp_extract(h, '^([0-9.]+) ', 1)) = 0 THEN NULL
     WHEN starts_with(h, '2.1.3') THEN 3 WHEN starts_with(h, '4.1') THEN 2 WHEN starts_with(h, '3.') AND length(trim(h)) <= 60 THEN 1 END AS level
-    FROM (SELECT *, CASE length(line) % 4 WHEN 0 THEN '2.1.3 ' WHEN 1 THEN '3. ' WHEN 2 THEN '4.1 ' ELSE '' END || left(line, 50) AS h FROM {_LINES}))"""
+    FROM (SELECT *, CASE length(line) % 4 WHEN 0 THEN '2.1.3 ' WHEN 1 THEN '3. ' WHEN 2 THEN '4.1 ' ELSE '' END || line AS h FROM {_LINES}))"""
 
 
 @catalog.query(f"SELECT level, count(*) AS n FROM {_HEADED} GROUP BY level")
@@ -141,14 +141,15 @@ def docs_chapters(t: Tables) -> DataFrame:
 @catalog.query(r"""
     SELECT doc_id, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS emails FROM documents WHERE regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')""")
 def docs_emails(t: Tables) -> DataFrame:
-    counted = t.documents.select("doc_id", markup.pii_counts(F.col("text"))["email"].alias("emails"))
+    counted = t.documents.select("doc_id", F.regexp_count("text", F.lit(dict(markup.PII_RULES)["email"])).alias("emails"))
     return counted.where(F.col("emails") > 0)
 
 
 @catalog.query()
 def docs_redacted(t: Tables) -> DataFrame:
     """Texts with personal data replaced, and the hits by rule; checked by a test, as the rules look around."""
-    return t.documents.select("doc_id", markup.pii_redacted(F.col("text")).alias("text"), markup.pii_counts(F.col("text")).alias("counts")).where(F.size("counts") > 0)
+    found = markup.redacted(t.documents.select("doc_id", "text"), "text")
+    return found.where(F.size("counts") > 0).select("doc_id", F.col("redacted").alias("text"), "counts")
 
 
 @catalog.query(r"""
@@ -193,19 +194,10 @@ def docs_same_content(t: Tables) -> DataFrame:
     return hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where(F.col("n") > 1)
 
 
-@catalog.query("""
-    SELECT lang, script, count(*) AS n FROM (SELECT lang, CASE WHEN cp < 65 THEN 'common' WHEN cp <= 591 THEN 'latin' WHEN cp BETWEEN 880 AND 1023 THEN 'greek' WHEN cp BETWEEN 1024 AND 1327 THEN 'cyrillic' ELSE 'common' END AS script
-        FROM (SELECT lang, unicode(unnest(string_split(left(text, 200), ''))) AS cp FROM documents)) GROUP BY 1, 2""")
-def docs_scripts(t: Tables) -> DataFrame:
-    """Scripts of the characters of each text's first lines (the preview a report shows)."""
-    points = t.documents.select("lang", F.explode(markup.code_points(F.left("text", F.lit(200)))).alias("cp"))
-    return points.groupBy("lang", markup.script_of(F.col("cp")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @catalog.query("""
     SELECT lang, script, count(*) AS n FROM (SELECT lang, CASE WHEN cp < 65 THEN 'common' WHEN cp <= 591 THEN 'latin' WHEN cp BETWEEN 880 AND 1023 THEN 'greek' WHEN cp BETWEEN 1024 AND 1327 THEN 'cyrillic' ELSE 'common' END AS script
         FROM (SELECT lang, unicode(unnest(string_split(text, ''))) AS cp FROM documents)) GROUP BY 1, 2""")
-def docs_scripts_whole(t: Tables) -> DataFrame:
+def docs_scripts(t: Tables) -> DataFrame:
     """Scripts of all characters of each text."""
     points = t.documents.select("lang", F.explode(markup.code_points(F.col("text"))).alias("cp"))
     return points.groupBy("lang", markup.script_of(F.col("cp")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
@@ -233,16 +225,9 @@ def docs_search_any(t: Tables) -> DataFrame:
     return fulltext.search(index, ["scum", "trash", "idiot"], every=False).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@catalog.query("""
-    SELECT item_id, count(doc_id) AS n_docs FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(left(benchmark.text, 60))) GROUP BY item_id""")
-def benchmark_contained(t: Tables) -> DataFrame:
-    """Documents that hold the opening of each benchmark item. Texts meet openings on their first five words, then on the whole."""
-    return fulltext.containing(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.left("text", F.lit(60)).alias("needle")), "doc_id", "text", "item_id", "needle")
-
-
 @catalog.query("""
     SELECT item_id, count(doc_id) AS n_docs FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id""")
-def benchmark_contained_whole(t: Tables) -> DataFrame:
+def benchmark_contained(t: Tables) -> DataFrame:
     """Documents that hold the whole of each benchmark item."""
     return fulltext.containing(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle")), "doc_id", "text", "item_id", "needle")
 
@@ -326,9 +311,11 @@ def conv_snapshot(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("snapshot"))
 
 
-@catalog.query()
+@catalog.query("""
+    SELECT conv_id, turn, type, to_json(CASE type WHEN 'heading' THEN json_object('text', text, 'level', 2) WHEN 'code' THEN json_object('language', '', 'code', text) ELSE json_object('text', text) END)::VARCHAR AS content, coalesce(text, '') AS text
+    FROM (SELECT *, CASE role WHEN 'system' THEN 'heading' WHEN 'user' THEN 'paragraph' ELSE 'code' END AS type FROM conversations)""")
 def conv_block_json(t: Tables) -> DataFrame:
-    """Blocks as JSON content by type, then converted to paragraphs; checked by a test."""
+    """Blocks as JSON content by type, and their text again."""
     kind = F.when(F.col("role") == "system", "heading").when(F.col("role") == "user", "paragraph").otherwise("code")
     made = t.conversations.select("conv_id", "turn", kind.alias("type"), blocks.content_of(kind, F.col("text")).alias("content"))
     return made.select("conv_id", "turn", "type", "content", first_filled(blocks.text_of(F.col("content"))).alias("text"))
@@ -359,12 +346,7 @@ def unicode_shims(t: Tables) -> DataFrame:
 
 
 @catalog.query("""
-    SELECT doc_id, upper(strip_accents(left(text, 60))) AS folded FROM documents WHERE lang = 'fr'""")
-def folded_openings(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang") == "fr").select("doc_id", markup.folded_upper(F.left("text", F.lit(60))).alias("folded"))
-
-
-@catalog.query()
+    SELECT doc_id, upper(strip_accents(replace(text, 'ß', 'ss'))) AS folded FROM documents""")
 def folded_texts(t: Tables) -> DataFrame:
-    """Whole texts of all languages; without SQL, as DuckDB keeps an ß that Spark writes as SS."""
+    """Whole texts without accents, in upper case; an ß becomes SS."""
     return t.documents.select("doc_id", markup.folded_upper(F.col("text")).alias("folded"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,13 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a session in one process may do without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="blockloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,8 +18,8 @@ def test_whole_texts(spark, tmp_path):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     saved(spark, tmp_path, "documents", [(1, "a" * 300 + "Ж", "en"), (2, item[:62] + " and no more", "de"), (3, "x " + item, "fr"), (4, "b" * 70 + "éß", "en")], "doc_id long, text string, lang string")
     saved(spark, tmp_path, "benchmark", [(1, item)], "item_id long, text string")
-    assert [r.n for r in run(spark, tmp_path, "docs_scripts_whole") if r.script == "cyrillic"] == [1]
-    assert [r.n_docs for r in run(spark, tmp_path, "benchmark_contained_whole")] == [1]
+    assert [r.n for r in run(spark, tmp_path, "docs_scripts") if r.script == "cyrillic"] == [1]
+    assert [r.n_docs for r in run(spark, tmp_path, "benchmark_contained")] == [1]
     assert {r.doc_id: r.folded[-1] for r in run(spark, tmp_path, "folded_texts")} == {1: "Ж", 2: "E", 3: "N", 4: "S"}
 
 
