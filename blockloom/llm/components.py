@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import split_join, stored
+from .shared import forget, split_join, stored
 
 
 def _stars(edges: DataFrame, small: bool, n: int) -> DataFrame:
@@ -40,5 +40,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = tuple(sums)
-        now = stored(_stars(_stars(now, False, sums["n"]), True, sums["n"]), "cc-edges")
+        last, now = now, stored(_stars(_stars(now, False, sums["n"]), True, sums["n"]), "cc-edges")
+        forget(last)
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

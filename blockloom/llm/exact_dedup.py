@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, partitions, split_join, stored, table, text_or_empty
+from .shared import forget, fresh_path, partitions, split_join, stored, table, text_or_empty
 
 #: Distinct keys of a bucket; more where the table would else have over MOST_BUCKETS of them.
 CAPACITY = 2_000
@@ -116,7 +116,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = texts.select("bucket", "key", chain.alias("chain"), "text_sha256", F.col("first.id").alias("keep_id"), "group_size", "first")
     path = fresh_path(spark, "exact-index")
     entries.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    return Index(rows.select("id", "key", "text_sha256"), spark.read.schema(entries.schema).parquet(path), depth, directory, total)
+    members = stored(rows.select("id", "key", "text_sha256"), "exact-members")
+    forget(rows, counts)  # the texts are not needed any more
+    return Index(members, spark.read.schema(entries.schema).parquet(path), depth, directory, total)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

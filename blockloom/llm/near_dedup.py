@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import MOST_BROADCAST_IDS, partitions, slices, split_join, stored, table, text_or_empty
+from .shared import MOST_BROADCAST_IDS, forget, partitions, slices, split_join, stored, table, text_or_empty
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -189,7 +189,9 @@ def confirmed(pairs: DataFrame, first: DataFrame, rows: DataFrame, shingle: int,
                         ok.append(common > 0 and 100 * common >= least * (len(a) + len(b) - common))
         return others.select(["u", "v"]).filter(pa.array(ok, pa.bool_())) if ok else pa.table({c: pa.array([], pa.int64()) for c in "uv"})
 
-    return left.groupBy("v", "part").cogroup(right.groupBy("v", "part")).applyInArrow(compare, "u long, v long")
+    links = stored(left.groupBy("v", "part").cogroup(right.groupBy("v", "part")).applyInArrow(compare, "u long, v long"), "near-links")
+    forget(nodes, texts, sizes)
+    return links
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -315,6 +317,8 @@ def families(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     first = signed.join(classes, [*SET, "id", "place"]).select("node", "id", "place", "n_bytes", "bands", "sketch")
     first = stored(first.dropDuplicates(["node"]), "near-first")
+    wide, signed = signed, stored(signed.select("id", "place", *SET), "near-sets")
+    forget(wide)
     members = first.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     n_members = BANDS * first.count()
@@ -322,7 +326,7 @@ def families(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col
     sketches = first.select("node", "sketch")
     pairs = buckets.where(F.col("u") != F.col("v")).select("u", "v").distinct()
     agreeing = stored(_agreeing(pairs, sketches), "near-agreeing")
-    links = stored(confirmed(agreeing, first, rows, shingle, least), "near-links")
+    links = confirmed(agreeing, first, rows, shingle, least)
     labels = connected_components(links)
 
     # Buckets of several components: their pairs beyond those with the first document.
@@ -340,12 +344,15 @@ def families(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, id_col
         groups = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
         relatives = stored(known.select("node", "component").distinct().join(groups, "component").join(first.select("node", "id", "place", "sketch"), "node"), "near-relatives")
         texts = _texts(rows, relatives.select("node", "id", "place").distinct())
-        more = stored(_links_within(stored(relatives.select("node", "component", "family", "sketch").join(texts, "node"), "near-relatives"), shingle, least), "near-links")
+        with_text = stored(relatives.select("node", "component", "family", "sketch").join(texts, "node"), "near-relatives")
+        more = stored(_links_within(with_text, shingle, least), "near-links")
+        forget(with_text, relatives)
         labels = connected_components(more.union(labels))
 
     placed = classes.select("node", *SET, "id", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     whole = stored(placed.join(least_id, "component").select(*SET, "component_id", "copies"), "near-components")
+    forget(buckets, agreeing, known, edges, first)
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     out = split_join(signed.where(linked).select("id", "place", *SET), whole, list(SET), "copies", signed.count())
     out = out.select("id", "place", "n_shingles", "component_id").union(signed.where(~linked).select("id", "place", "n_shingles", F.col("id").alias("component_id")))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Folders of intermediate tables that scratch() may delete, and catalog tables over them.
 _made: list[str] = []
 _tables: list[str] = []
+#: Frames of stored() and their folders.
+_folders: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +53,17 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = fresh_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(found)] = (found, path)
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more: all that was made from them has been stored."""
+    for table in tables:
+        _, path = _folders.pop(id(table))
+        discard(table.sparkSession, [path])
+        _made.remove(path)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -73,8 +85,11 @@ def scratch(spark: SparkSession, keep: int = 0) -> Iterator[None]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     del _tables[named:]
     last = len(_made) - keep
-    discard(spark, _made[since:last])
+    gone = set(_made[since:last])
+    discard(spark, sorted(gone))
     del _made[since:last]
+    for number in [n for n, (_, path) in _folders.items() if path in gone]:
+        del _folders[number]
 
 
 def text_or_empty(name: str = "text") -> Column:
