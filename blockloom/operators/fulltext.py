@@ -64,17 +64,29 @@ def containing(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str,
 
     Every document that contains a needle has its inner words in a row; documents and needles meet on the
     first ``words`` whole inner words, an equi-join, and only those pairs are compared as substrings.
-    Needles of fewer inner words are compared with every document.
+    Needles of fewer inner words meet documents on their first characters instead, as many as the shortest of them has.
+    An empty needle is in every text; a null one, or a null text, in none.
     """
     tokens = lambda c: F.split(F.lower(c), " ")
     inner = F.slice(tokens(F.col(needle)), 2, words)
     keyed = needles.select(needle_id, F.lower(needle).alias("_needle"), F.when(F.size(tokens(F.col(needle))) >= words + 2, F.array_join(inner, " ")).alias("_key"))
-    keys = keyed.where(F.col("_key").isNotNull()).select("_key").distinct()
-    split = docs.select(id_col, F.explode(_grams(F.col(text_col), words)).alias("_key"))
-    meet = split.join(keys, "_key", "left_semi").distinct().join(keyed, "_key").select(id_col, needle_id, "_needle")
-    found = meet.join(docs.select(id_col, F.lower(text_col).alias("_text")), id_col).where(F.contains("_text", F.col("_needle"))).select(needle_id, id_col)
-    short = keyed.where(F.col("_key").isNull()).select(needle_id, "_needle").join(docs.select(id_col, F.lower(text_col).alias("_text"))).where(F.contains("_text", F.col("_needle"))).select(needle_id, id_col)
-    counts = found.union(short).distinct().groupBy(needle_id).agg(F.count(F.lit(1)).alias("n_docs"))
+    texts = docs.select(id_col, F.lower(text_col).alias("_text"))
+
+    def met(grams: Column, few: DataFrame) -> DataFrame:
+        split = texts.select(id_col, F.explode(grams).alias("_key"))
+        meet = split.join(few.select("_key").distinct(), "_key", "left_semi").distinct().join(few, "_key").select(id_col, needle_id, "_needle")
+        return meet.join(texts, id_col).where(F.contains("_text", F.col("_needle"))).select(needle_id, id_col)
+
+    found = met(_grams(F.col("_text"), words), keyed.where(F.col("_key").isNotNull()))
+    short = keyed.where(F.col("_key").isNull() & (F.length("_needle") > 0))
+    least = short.agg(F.min(F.length("_needle"))).first()[0]
+    if least:
+        starts = F.array_distinct(F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{least}}}))"), F.lit(1)))
+        found = found.union(met(starts, short.withColumn("_key", F.left("_needle", F.lit(least)))))
+    counts = found.distinct().groupBy(needle_id).agg(F.count(F.lit(1)).alias("n_docs"))
+    empty = keyed.where(F.length("_needle") == 0).select(needle_id).distinct()
+    if empty.limit(1).count():
+        counts = counts.union(empty.withColumn("n_docs", F.lit(texts.where(F.col("_text").isNotNull()).select(id_col).distinct().count())))
     return needles.select(needle_id).join(counts, needle_id, "left").fillna(0, ["n_docs"])
 
 

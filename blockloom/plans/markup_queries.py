@@ -98,27 +98,55 @@ def page_tables(t: Tables) -> DataFrame:
 
 
 def references(t: Tables) -> DataFrame:
-    """A bibliography of suppliers: one entry each, by nation."""
+    """Bibliographies of eight suppliers each: an entry for every one."""
     name = F.concat(F.lit("Author"), F.col("s_suppkey").cast("string"))
     fields = F.create_map(
         F.lit("author"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(name, F.lit(", Jo Ann and Roe, Max"))).otherwise(F.concat(F.lit("Li "), name)), F.lit("title"), F.concat(F.lit("On "), F.col("s_name")),
         F.lit("year"), (1950 + F.col("s_suppkey") % 70).cast("string"), F.lit("journal"), F.lit("Journal of Parts"), F.lit("volume"), (F.col("s_suppkey") % 30).cast("string"), F.lit("pages"), F.lit("1--9"),
     )
-    return t.supplier.select("s_nationkey", "s_suppkey", fields.alias("fields"))
+    return t.supplier.select(F.floor(F.col("s_suppkey") / 8).alias("list"), "s_suppkey", fields.alias("fields"))
 
 
 @catalog.query("""
-    SELECT s_nationkey, string_agg(c, chr(10) || chr(10) ORDER BY c) AS bibliography FROM (SELECT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Author' || s_suppkey || ', J. A., & Roe, M.' ELSE 'Author' || s_suppkey || ', L.' END
-        || ' (' || (1950 + s_suppkey % 70) || '). On ' || s_name || '. Journal of Parts, ' || (s_suppkey % 30) || ', 1–9.' AS c FROM supplier) GROUP BY s_nationkey""")
+    SELECT list, string_agg(c, chr(10) || chr(10) ORDER BY c) AS bibliography FROM (SELECT s_suppkey // 8 AS list, CASE WHEN s_suppkey % 2 = 0 THEN 'Author' || s_suppkey || ', J. A., & Roe, M.' ELSE 'Author' || s_suppkey || ', L.' END
+        || ' (' || (1950 + s_suppkey % 70) || '). On ' || s_name || '. Journal of Parts, ' || (s_suppkey % 30) || ', 1–9.' AS c FROM supplier) GROUP BY list""")
 def bibliography_apa(t: Tables) -> DataFrame:
-    return emit.bibliography(references(t), ["s_nationkey"], "apa")
+    return emit.bibliography(references(t), ["list"], "apa")
 
 
 @catalog.query("""
-    SELECT s_nationkey, string_agg(c, chr(10) || chr(10) ORDER BY c) AS bibliography FROM (SELECT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'J. A. Author' || s_suppkey || ', and M. Roe' ELSE 'L. Author' || s_suppkey END
-        || ', "On ' || s_name || '," Journal of Parts, vol. ' || (s_suppkey % 30) || ', pp. 1–9, ' || (1950 + s_suppkey % 70) || '.' AS c FROM supplier) GROUP BY s_nationkey""")
+    SELECT list, string_agg(c, chr(10) || chr(10) ORDER BY c) AS bibliography FROM (SELECT s_suppkey // 8 AS list, CASE WHEN s_suppkey % 2 = 0 THEN 'J. A. Author' || s_suppkey || ', and M. Roe' ELSE 'L. Author' || s_suppkey END
+        || ', "On ' || s_name || '," Journal of Parts, vol. ' || (s_suppkey % 30) || ', pp. 1–9, ' || (1950 + s_suppkey % 70) || '.' AS c FROM supplier) GROUP BY list""")
 def bibliography_ieee(t: Tables) -> DataFrame:
-    return emit.bibliography(references(t), ["s_nationkey"], "ieee")
+    return emit.bibliography(references(t), ["list"], "ieee")
+
+
+def cited(t: Tables, style: str) -> DataFrame:
+    return references(t).select("s_suppkey", emit.citation(style, F.col("fields")).alias("citation"))
+
+
+_FULL_SQL = "'Author' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ', Jo Ann, and Max Roe' ELSE ', Li' END"
+_YEAR_SQL, _VOLUME_SQL = "(1950 + s_suppkey % 70)", "(s_suppkey % 30)"
+
+
+@catalog.query(f"""SELECT s_suppkey, {_FULL_SQL} || '. "On ' || s_name || '." Journal of Parts, vol. ' || {_VOLUME_SQL} || ', ' || {_YEAR_SQL} || ', pp. 1–9.' AS citation FROM supplier""")
+def cited_mla(t: Tables) -> DataFrame:
+    return cited(t, "mla")
+
+
+@catalog.query(f"""SELECT s_suppkey, {_FULL_SQL} || '. "On ' || s_name || '." Journal of Parts ' || {_VOLUME_SQL} || ' (' || {_YEAR_SQL} || '): 1–9.' AS citation FROM supplier""")
+def cited_chicago(t: Tables) -> DataFrame:
+    return cited(t, "chicago")
+
+
+@catalog.query(f"""SELECT s_suppkey, 'Author' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ', J. A. and Roe, M.' ELSE ', L.' END || ' (' || {_YEAR_SQL} || ') ' || chr(39) || 'On ' || s_name || chr(39) || ', Journal of Parts, ' || {_VOLUME_SQL} || ', pp. 1–9.' AS citation FROM supplier""")
+def cited_harvard(t: Tables) -> DataFrame:
+    return cited(t, "harvard")
+
+
+@catalog.query(f"""SELECT s_suppkey, 'Author' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ' JA, Roe M' ELSE ' L' END || '. On ' || s_name || '. Journal of Parts. ' || {_YEAR_SQL} || ';' || {_VOLUME_SQL} || ':1–9.' AS citation FROM supplier""")
+def cited_vancouver(t: Tables) -> DataFrame:
+    return cited(t, "vancouver")
 
 
 @catalog.query("""
@@ -128,12 +156,12 @@ def short_citations(t: Tables) -> DataFrame:
 
 
 @catalog.query("""
-    SELECT s_nationkey, 'author' || (1950 + s_suppkey % 70) || '-' || s_suppkey AS cite_key, 'article' AS entry_type, 'On ' || s_name AS title FROM supplier""")
+    SELECT s_suppkey // 8 AS list, 'author' || (1950 + s_suppkey % 70) || '-' || s_suppkey AS cite_key, 'article' AS entry_type, 'On ' || s_name AS title FROM supplier""")
 def bibtex_round_trip(t: Tables) -> DataFrame:
     """Entries written as BibTeX and parsed again."""
     rows = references(t).withColumn("key", F.concat(emit.cite_key(F.col("fields")), F.lit("-"), F.col("s_suppkey").cast("string")))
-    texts = rows.groupBy("s_nationkey").agg(F.array_join(F.collect_list(emit.bibtex_text(F.lit("article"), F.col("key"), F.col("fields"))), "\n\n").alias("bib"))
-    return parsers.bibtex(texts, "s_nationkey", "bib").select("s_nationkey", "cite_key", "entry_type", F.col("fields")["title"].alias("title"))
+    texts = rows.groupBy("list").agg(F.array_join(F.collect_list(emit.bibtex_text(F.lit("article"), F.col("key"), F.col("fields"))), "\n\n").alias("bib"))
+    return parsers.bibtex(texts, "list", "bib").select("list", "cite_key", "entry_type", F.col("fields")["title"].alias("title"))
 
 
 @catalog.query("""

@@ -63,7 +63,7 @@ def event_rate_buckets(t: Tables) -> DataFrame:
 
 
 @catalog.query("""
-    SELECT doc, list_sort(list(user_id)) AS users FROM (SELECT user_id % 7 AS doc, user_id, arg_max(event_type, ts) AS last FROM events GROUP BY 1, 2) WHERE last <> 'signup' GROUP BY doc""")
+    SELECT doc, user_id FROM (SELECT user_id % 7 AS doc, user_id, arg_max(event_type, ts) AS last FROM events GROUP BY 1, 2) WHERE last <> 'signup'""")
 def event_presence(t: Tables) -> DataFrame:
     action = F.when(F.col("event_type") == "signup", "leave").otherwise("join")
     rows = t.events.select((F.col("user_id") % 7).alias("doc"), "user_id", "ts", action.alias("action"))
