@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import partitions, table, text_or_empty
 
@@ -157,8 +158,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has its last third (rounded down) replaced by the start of the next text, by
     descending id; after the last comes the first. Rows without an id come last, rows that share one
-    follow each other in the order of their texts. Null counts as empty. Other columns are ignored.
+    follow each other in the order of their texts. Null counts as empty. Other columns are ignored. Ids are integers:
+    ranges of them are what rows are dealt by.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold integers")
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), text_or_empty(text_col).alias("text"))
     marked = with_signatures(with_next(rows, "key", "text"), "text", "signatures", "enough")

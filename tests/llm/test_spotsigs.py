@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -78,11 +79,17 @@ def test_whole_table(spark):
 def test_matches(spark):
     base = "the cat sat on the red mat and the dog ran to the old house with a small bird in the green tree by the lake"
     rows = [(1, base), (2, base + " now"), (3, base.replace("cat", "cow")), (4, base[: len(base) // 2]), (5, ""), (6, base), (7, "other words of the world")]
-    prints = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     for least in (0.5, 0.8):
-        got = {(r.query_id, r.id) for r in spotsigs.matches(prints, spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), least=least), least=least).collect()} if least == spotsigs.LEAST else None
-        if got is not None:
-            assert got == {(a, b) for a, s in rows for b, t in rows if s and t and jaccard(brute_chains(s), brute_chains(t)) >= least}
+        prints = spotsigs.fingerprints(docs, least=least)
+        got = {(r.query_id, r.id): r.likeness for r in spotsigs.matches(prints, prints, least=least).collect()}
+        want = {(a, b): jaccard(brute_chains(s), brute_chains(t)) for a, s in rows for b, t in rows if s and t}
+        assert got == {pair: x for pair, x in want.items() if x >= least} and len(got) > 6
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        spotsigs.edited_fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def free(text):
