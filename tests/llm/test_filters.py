@@ -55,6 +55,37 @@ def test_bad_hosts_are_blocked(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(frame, url_filter.marked_pages(frame.limit(0))).collect()} == dict.fromkeys(got, "allow")
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_hosts_decide_without_rules(spark, sf):
+    """Both verdicts occur among pages without a rule, so no constant would do; hosts with bad names are blocked and few others."""
+    got = [r for r in url_filter.op5_url_filter(spark, sf).collect() if r.rule is None]
+    named = [bool(set(re.split("[.-]", r.host)) & set(url_filter.BAD_WORDS)) for r in got]
+    blocked = [r.verdict == "block" for r in got]
+    assert 0 < sum(blocked) < 0.2 * len(got) and sum(b for b, n in zip(blocked, named, strict=True) if n) >= 0.9 * sum(named)
+
+
+def test_priors_do_not_drown_hosts(spark):
+    """Hosts that are all alike have a prior of bounded weight; the one bad host among them is found, and an unseen one has the prior."""
+    rows = [(f"h{i}.a.com", j == 0) for i in range(400) for j in range(20)] + [("bad.a.com", j < 20) for j in range(30)]
+    unseen = spark.createDataFrame([("new.a.com",)], "host string")
+    got = {r.host: r for r in url_filter.reputations(spark.createDataFrame(rows, "host string, bad boolean"), hosts=unseen).collect()}
+    assert got["new.a.com"].n == 0 and abs(got["new.a.com"].bad_rate - got["new.a.com"].prior) < 1e-12
+    assert all(r.prior_pages <= url_filter.MOST_PRIOR for r in got.values()) and [h for h, r in got.items() if r.bad_bound > 0.1] == ["bad.a.com"]
+
+
+def test_many_rules(spark):
+    """A list of many rules is a table: longest first, by whole labels of the host."""
+    rules = [(["block", "allow"][i % 2], f"h{i % 500}.org", f"/{'x' * (i // 500)}") for i in range(5000)] + [("block", "org", "/xxxxxxxxxxxxxxxxxxxxx"), ("allow", "b", "/"), ("block", "b", "/")]
+    urls = [f"http://{'www.' * (i % 2)}h{i * 7 % 600}.org/{'x' * (i % 23)}" for i in range(300)] + ["http://a.b/", "http://ab/", "http://h1.orgx/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    empty = spark.createDataFrame([], "host string, bad boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(frame, empty, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    for i, url in enumerate(urls):
+        host, path = split(url)
+        fits = sorted((-len(h + p), h + p, p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+        assert got[i] == ((fits[0][1], fits[0][3]) if fits else (None, "allow"))
+
+
 def test_registered_domains(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "u@a.b.de:80", "a.blogs.example", "xx.io"]
     frame = spark.createDataFrame([(h,) for h in hosts], "host string")

@@ -43,7 +43,7 @@ def test_training_without_labels(spark):
     assert toxicity.score(spark.createDataFrame([(1, "hello")], "doc_id long, text string"), model).first().score < 0.1
 
 
-@pytest.mark.parametrize(("sf", "n", "recall"), [(SF, 1000, 0.4), ("/root/testdata/sf0.1", 10_000, 0.75), ("/root/testdata/check_s", 51_282, 0.9)])
+@pytest.mark.parametrize(("sf", "n", "recall"), [(SF, 1000, 0.5), ("/root/testdata/sf0.1", 10_000, 0.8)])
 def test_toxicity_held_out(spark, sf, n, recall):
     """The smaller tables have too few labelled documents for all offensive words to recur."""
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
