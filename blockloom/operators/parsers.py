@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sequences
+from .latex import elements
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,30 +77,10 @@ def lml(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def latex(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, kind, level, text: sections, outermost environments with all they hold, display math, and paragraphs.
-
-    Marks that open and close are first put on lines of their own; the depth is a running sum over them.
-    """
-    body = F.regexp_replace(F.regexp_replace(text, r"(?m)(?<!\\)%.*$", ""), r"(?s)^.*\\begin\{document\}|\\end\{document\}.*$", "")
-    lined = F.regexp_replace(body, r"(\\begin\{[a-zA-Z]+\*?\}|\\end\{[a-zA-Z]+\*?\}|\\\[|\\\]|\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?\{[^}]*\})", "\n$1\n")
-    rows = document_lines(docs.withColumn("_lined", lined), key, "_lined")
-    line = F.trim("line")
-    opens, closes = line.rlike(r"^\\begin\{|^\\\[$"), line.rlike(r"^\\end\{|^\\\]$")
-    order = Window.partitionBy(key).orderBy("pos")
-    depth = F.sum(opens.cast("int") - closes.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select(key, "pos", line.alias("line"), opens.alias("_opens"), closes.alias("_closes"), depth.alias("_depth"))
-    outer = F.col("_opens") & (F.col("_depth") == 1)
-    section = F.regexp_extract("line", r"^\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{", 1)
-    level = F.create_map(*(x for name, n in (("part", 1), ("chapter", 1), ("section", 1), ("subsection", 2), ("subsubsection", 3), ("paragraph", 4)) for x in (F.lit(name), F.lit(n))))
-    inside = (F.col("_depth") > 0) | F.col("_closes")
-    kind = F.when(F.col("line") == "\\[", "equation").when(outer, F.regexp_extract("line", r"^\\begin\{([a-zA-Z]+\*?)\}", 1)).when(inside, "inner").when(section != "", "heading").when(F.col("line") == "", "blank").otherwise("paragraph")
-    rows = rows.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", level[section]))
-    shown = F.when(F.col("kind") == "heading", F.regexp_extract("line", r"\{(.*)\}", 1)).when(outer | (F.col("_closes") & (F.col("_depth") == 0)), F.lit(None)).otherwise(F.col("line"))
-    previous = F.lag("kind").over(order)
-    after_outer = F.lag(F.col("_closes") & (F.col("_depth") == 0)).over(order)
-    starts = outer | (F.col("kind") == "heading") | (~inside & (F.coalesce(after_outer, F.lit(False)) | (previous != F.col("kind"))))
-    rows = rows.withColumn("body", shown).withColumn("_start", starts)
-    return _grouped(rows, key, F.col("_start"), "kind", "level").where(~F.col("kind").isin("blank", "inner")).select(key, "pos", "kind", "level", "text")
+    """key, pos, kind, level, text: the elements of latex.elements(), an environment under its own name."""
+    found = elements(docs, key, text)
+    kind = F.when(F.col("kind").isin("heading", "paragraph", "equation"), F.col("kind")).otherwise(F.col("name"))
+    return found.select(key, "pos", kind.alias("kind"), "level", "text")
 
 
 def _braced(text: str, at: int) -> int:

@@ -57,11 +57,12 @@ def conv_to_html(t: Tables) -> DataFrame:
     return emit.documents_to("html", typed_blocks(t), ["conv_id"], "turn", "kind", "content")
 
 
+_LATEX_INLINE_SQL = _INLINE_SQL.format("regexp_replace(coalesce(text, ''), '([#%&_])', '\\\\\\1', 'g')", "\\\\texttt{\\1}", "\\\\textbf{\\1}", "\\\\textit{\\1}", "\\\\href{\\2}{\\1}")
 _LATEX_SQL = f"""
     SELECT conv_id, '\\documentclass{{article}}' || chr(10) || '\\usepackage{{amsmath}}' || chr(10) || '\\usepackage{{graphicx}}' || chr(10) || '\\usepackage{{hyperref}}' || chr(10) || '\\title{{Conversation ' || conv_id || '}}' || chr(10)
         || '\\begin{{document}}' || chr(10) || '\\maketitle' || chr(10) || string_agg(CASE kind WHEN 'heading' THEN '\\subsection{{' || inline || '}}' WHEN 'code' THEN '\\begin{{verbatim}}' || chr(10) || text || chr(10) || '\\end{{verbatim}}' ELSE inline END, chr(10) || chr(10) ORDER BY turn)
         || chr(10) || '\\end{{document}}' || chr(10) AS body
-    FROM (SELECT conv_id, turn, {_KIND_SQL} AS kind, coalesce(text, '') AS text, {_INLINE_SQL.format("regexp_replace(coalesce(text, ''), '([#%&_])', '\\\\\\1', 'g')", "\\\\texttt{\\1}", "\\\\textbf{\\1}", "\\\\textit{\\1}", "\\\\href{\\2}{\\1}")} AS inline FROM conversations) GROUP BY conv_id"""
+    FROM (SELECT conv_id, turn, {_KIND_SQL} AS kind, coalesce(text, '') AS text, {_LATEX_INLINE_SQL} AS inline FROM conversations) GROUP BY conv_id"""
 
 
 @catalog.query(_LATEX_SQL)
@@ -84,7 +85,13 @@ def lml_round_trip(t: Tables) -> DataFrame:
     return parsers.lml(conv_to_lml(t), "conv_id", "body").groupBy("conv_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@catalog.query()
+@catalog.query(rf"""
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS pos, CASE kind WHEN 'code' THEN 'verbatim' ELSE kind END AS kind, CASE kind WHEN 'heading' THEN 2 END AS level, x AS text FROM (
+        SELECT conv_id, turn, kind, CASE WHEN kind = 'paragraph' THEN regexp_replace(trim(p, chr(10) || chr(9) || ' '), '[ \t]+\n', chr(10), 'g') WHEN kind = 'heading' THEN trim(p) ELSE p END AS x, part FROM (
+            SELECT conv_id, turn, kind, unnest(parts) AS p, generate_subscripts(parts, 1) AS part FROM (
+                SELECT conv_id, turn, kind, CASE kind WHEN 'paragraph' THEN regexp_split_to_array(inline, '\n[ \t]*\n\s*') WHEN 'heading' THEN [inline] ELSE [text] END AS parts FROM (
+                    SELECT conv_id, turn, {_KIND_SQL} AS kind, coalesce(text, '') AS text, {_LATEX_INLINE_SQL} AS inline FROM conversations))))
+    WHERE kind <> 'paragraph' OR regexp_matches(x, '\S')""")
 def latex_elements(t: Tables) -> DataFrame:
     return parsers.latex(conv_to_latex(t), "conv_id", "body")
 
