@@ -5,6 +5,7 @@ Patterns use explicit ASCII classes where the meaning allows it, so they mean th
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -128,27 +129,60 @@ def redacted(df: DataFrame, text: str) -> DataFrame:
     return out.select(*kept, F.inline(F.array(F.struct(F.col("_text").alias("redacted"), counts.alias("counts")))))
 
 
-#: Categories of compiler errors (fixed values) and what TeX and its packages print for them, the most specific first.
-ERROR_MESSAGES = (
-    ("undefined_control_sequence", ("Undefined control sequence",)),
-    ("package_error", (r"Package [^ \n]+ Error",)),
-    ("undefined_environment", (r"Environment [^ \n]+ undefined",)),
-    ("environment_mismatch", (r"begin\{[^ \n]+\}.*ended by .end\{[^ \n]+\}",)),
-    ("missing_file", ("[Ff]ile `[^'\n]+' not found", "cannot find file")),
-    ("math_mode_error", (r"Missing [$] inserted",)),
-    ("bibliography_error", (r"Citation `[^'\n]+' .* undefined", r"I found no .bibdata", r"I found no .citation")),
-    ("syntax_error", ("Emergency stop", "Fatal error", r"(?m:^!)", "Error")),
-    ("timeout", ("[Tt]imed out",)),
-)
+#: What TeX, LaTeX and BibTeX print, by the category of the error (categories and strings are fixed values). A row is one message:
+#: where it stands (first: the log begins with it; line: a line does; any: anywhere; fold: anywhere, in any case) and
+#: its text, in which <word> stands for characters without spaces, <name> for what is quoted, <rest> for anything on the line.
+COMPILER_MESSAGES = (
+    ("undefined_control_sequence", "first", "! Undefined control sequence."),
+    ("package_error", "line", "! Package <word> Error:"),
+    ("undefined_environment", "any", "Environment <word> undefined"),
+    ("environment_mismatch", "any", "\\begin{<word>}<rest>ended by \\end{<word>}"),
+    ("missing_file", "fold", "File `<name>' not found"),
+    ("missing_file", "fold", "cannot find file"),
+    ("math_mode_error", "fold", "Missing $"),
+    ("math_mode_error", "fold", "Extra }"),
+    ("math_mode_error", "fold", "math mode"),
+    ("math_mode_error", "fold", "display math"),
+    ("bibliography_error", "any", "Citation `<name>' <rest> undefined"),
+    ("bibliography_error", "any", "I found no \\bibdata"),
+    ("bibliography_error", "any", "I found no \\citation"),
+    ("syntax_error", "any", "Emergency stop"),
+    ("syntax_error", "any", "Fatal error"),
+    ("syntax_error", "line", "!"),
+    ("syntax_error", "any", "Error"),
+    ("timeout", "fold", "timed out"),
+)
+_HOLES = {"<word>": r"(\S+)", "<name>": "([^']+)", "<rest>": ".*"}
+
+
+def _message_pattern(where: str, message: str) -> str:
+    pieces = re.split("(<[a-z]+>)", message)
+    pattern = "".join(_HOLES.get(piece) or re.sub(r"([^A-Za-z0-9 ])", r"\\\1", piece) for piece in pieces)
+    return {"first": r"\A", "line": "(?m:^)", "any": "", "fold": "(?i)"}[where] + pattern
+
+
+def compiler_message(log: Column) -> Column:
+    """struct<category, token, message>: of the first of COMPILER_MESSAGES that the log's first 2000 characters hold, and what stands in its first hole.
+
+    The token of an undefined control sequence is the last command on the line of code that follows. category is null for an
+    empty log and unknown if no message is known; the other fields are null then.
+    """
+    head = F.left(log, F.lit(2000))
+    none = F.lit(None).cast("string")
+    found = []
+    for category, where, message in COMPILER_MESSAGES:
+        pattern = _message_pattern(where, message)
+        token = F.regexp_extract(head, pattern, 1) if "<word>" in message or "<name>" in message else none
+        if category == "undefined_control_sequence":
+            token = F.nullif(F.regexp_extract(head, r"(?m)^l\.[0-9]+ .*(\\[A-Za-z@]+)[^\\\n]*$", 1), F.lit(""))
+        found.append(F.when(head.rlike(pattern), F.struct(F.lit(category).alias("category"), token.alias("token"), F.lit(message).alias("message"))))
+    unknown = F.struct(F.when(log.rlike(r"\S"), "unknown").alias("category"), none.alias("token"), none.alias("message"))
+    return F.when(unknown["category"].isNull(), unknown).otherwise(F.coalesce(*found, unknown))
 
 
 def compile_error(log: Column) -> Column:
-    """Category of a compiler log by its first 2000 characters; null for an empty log, unknown if no message is known."""
-    head = F.left(log, F.lit(2000))
-    out = F.when(F.trim(F.coalesce(log, F.lit(""))) == "", F.lit(None).cast("string"))
-    for name, messages in ERROR_MESSAGES:
-        out = out.when(head.rlike("|".join(messages)), name)
-    return out.otherwise("unknown")
+    """Category of a compiler log; null for an empty log, unknown if no message is known."""
+    return compiler_message(log)["category"]
 
 
 def error_line(log: Column) -> Column:

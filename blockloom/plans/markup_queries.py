@@ -183,6 +183,27 @@ def compile_errors(t: Tables) -> DataFrame:
     return found.groupBy("event_type", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("n_lines"))
 
 
+#: A log for each message and anchor; {} is a number of the row.
+_LOGS = (
+    ("! Undefined control sequence.\nl.{} \\macro{} x", "undefined_control_sequence"), ("\n! Undefined control sequence.\nl.{} \\foo", "syntax_error"), ("x\n! Package babel{} Error: y", "package_error"), ("see ! Package babel{} Error: y", "syntax_error"),
+    ("LaTeX: Environment box{} undefined.", "undefined_environment"), ("\\begin{a{}} on line 3 ended by \\end{b}", "environment_mismatch"), ("\\begin{a{}} on line 3\nended by \\end{b}", "unknown"), ("! LaTeX FILE `a{}.sty' NOT FOUND", "missing_file"), ("I Cannot Find File {}", "missing_file"),
+    ("! Missing $ inserted {}", "math_mode_error"), ("! Extra }, or forgotten $ {}", "math_mode_error"), ("Bad math environment in DISPLAY MATH {}", "math_mode_error"), ("not allowed in Math Mode {}", "math_mode_error"), ("Warning: Citation `k{}' on page 1 undefined", "bibliography_error"),
+    ("I found no \\bibdata command {}", "bibliography_error"), ("I found no \\citation commands {}", "bibliography_error"), ("Emergency stop {}", "syntax_error"), ("Fatal error {}", "syntax_error"), ("ok {}\n! odd", "syntax_error"), ("an Error {}", "syntax_error"), ("run TIMED OUT {}", "timeout"), ("citation {} undefined, error", "unknown"),
+)
+
+
+@catalog.query(f"""
+    SELECT event_id, CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN NULL ELSE ([{", ".join(f"'{c}'" for _, c in _LOGS)}])[event_id % {len(_LOGS)} + 1] END AS category,
+           CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN NULL ELSE CASE event_id % {len(_LOGS)} WHEN 0 THEN '\\macro' WHEN 2 THEN 'babel' || event_id WHEN 4 THEN 'box' || event_id WHEN 5 THEN 'a' || event_id WHEN 7 THEN 'a' || event_id || '.sty' WHEN 13 THEN 'k' || event_id END END AS token FROM events""")
+def compiler_messages(t: Tables) -> DataFrame:
+    """Logs with every message that is known, at the places and in the cases where it counts and where it does not."""
+    number = F.col("event_id").cast("string")
+    log = F.replace(F.get(F.array(*(F.lit(log) for log, _ in _LOGS)), (F.col("event_id") % len(_LOGS)).cast("int")), F.lit("{}"), number)
+    log = F.when((F.col("event_type") == "view") & (F.col("event_id") % 7 == 0), " \n").otherwise(log)
+    found = t.events.select("event_id", markup.compiler_message(log).alias("m"))
+    return found.select("event_id", "m.category", "m.token")
+
+
 @catalog.query("""
     SELECT conv_id, max(CASE WHEN turn % 5 = 1 THEN 1 ELSE 0 END) AS engine FROM conversations GROUP BY conv_id""")
 def document_engine(t: Tables) -> DataFrame:

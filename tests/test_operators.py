@@ -121,7 +121,7 @@ def test_latex_scans(spark):
     kinds = [(x.name, x.kind) for x in one(spark, markup.latex_tokens(t))]
     assert ("itemize*", "environment") in kinds and ("item", "command") in kinds and ("begin", "command") not in kinds
     assert [one(spark, markup.engine(F.lit(x))) for x in ("x", r"\directlua{}", r"\usepackage{fontspec}", None)] == [0, 1, 1, 0]
-    logs = {"! Undefined control sequence.\nl.15 \\x": "undefined_control_sequence", "Package babel Error: x": "package_error", "! x": "syntax_error", "": None, "fine": "unknown"}
+    logs = {"! Undefined control sequence.\nl.15 \\x": "undefined_control_sequence", "! Package babel Error: x": "package_error", "Package babel Error: x": "syntax_error", "! x": "syntax_error", "": None, "fine": "unknown"}
     assert {k: one(spark, markup.compile_error(F.lit(k))) for k in logs} == logs
 
 
