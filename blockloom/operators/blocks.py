@@ -95,30 +95,6 @@ def restored(snapshots: DataFrame, keys: list[str], schema: str) -> DataFrame:
     return snapshots.select(*keys, F.explode(F.from_json("snapshot", f"array<struct<{schema}>>")).alias("b")).select(*keys, "b.*")
 
 
-#: Levels of nesting that walked_text() follows.
-MOST_LEVELS = 5
-
-
-def walked_text(content: Column) -> Column:
-    """The text of a block, else the texts of its nested ``content`` lists in order, joined by spaces; empty if there are none."""
-
-    def below(nodes: Column, level: int) -> Column:
-        def texts(x: Column) -> Column:
-            own = F.get_json_object(x, "$.text")
-            first = F.filter(F.array(own), lambda t: t.isNotNull())
-            if not level:
-                return first
-            return F.concat(first, F.coalesce(below(_elements(F.get_json_object(x, "$.content")), level - 1), F.array().cast("array<string>")))
-
-        return F.flatten(F.transform(nodes, texts))
-
-    return F.trim(F.array_join(below(F.array(content), MOST_LEVELS), " "))
-
-
-def _elements(array: Column) -> Column:
-    return F.from_json(array, "array<string>")
-
-
 def migrated_equation(content: Column) -> Column:
     """An equation's content in the newer shape: source and notation in place of latex; content that has a source is left as it is."""
     old, mode = F.get_json_object(content, "$.latex"), F.get_json_object(content, "$.mode")
@@ -137,5 +113,5 @@ def filled(content: Column) -> Column:
 
 
 def is_array(content: Column, path: str) -> Column:
-    """Whether the value at a path is an array."""
-    return F.coalesce(F.get_json_object(content, path).startswith("["), F.lit(False))
+    """Whether the value at a path is an array; a string that looks like one is none."""
+    return F.try_variant_get(F.try_parse_json(content), path, "array<variant>").isNotNull()

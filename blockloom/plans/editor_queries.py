@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..operators import blocks, fulltext, maintain, predicates
+from ..operators import blocks, fulltext, maintain, predicates, trees
 from ..sources import tables as sources
 from ..sources.tables import Tables
 from ..streaming import events as stream
@@ -217,7 +217,39 @@ def walked_texts(t: Tables) -> DataFrame:
     part = lambda *x: F.struct(F.array(*x).alias("content"))
     nested = F.to_json(part(part(leaf(F.col("role")), leaf(F.lit("inner"))), part(leaf(F.col("conv_id").cast("string")), leaf(F.lit("end")))))
     flat = F.to_json(F.struct(F.col("role").alias("text")))
-    return t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, nested).otherwise(flat).alias("c")).select("conv_id", "turn", blocks.walked_text(F.col("c")).alias("text"))
+    return trees.walked_texts(t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, nested).otherwise(flat).alias("c")), ["conv_id", "turn"], "c")
+
+
+#: Containers around a text: a list that is walked, a field that is not, and a block's own text, which comes before what it holds.
+_DEEP = r"""
+    SELECT o_orderkey, 'own ' || o_orderkey || ' "q" \ ' || o_orderpriority || ' é last' AS text FROM orders"""
+
+
+@catalog.query(_DEEP)
+def deep_texts(t: Tables) -> DataFrame:
+    """Texts of contents nested up to fifty deep; other fields, strings that look like lists and texts of other types are passed over."""
+    depth = (F.col("o_orderkey") % 50 + 1).cast("int")
+    quoted = lambda x: F.to_json(F.struct(x.alias("text")))
+    inner = F.concat(F.lit('{"type":"p","attrs":{"text":"no","content":[{"text":"no"}]},"content":[{"n":1,"text":3},'), quoted(F.concat(F.lit('"q" \\ '), F.col("o_orderpriority"))), F.lit(',{"content":"[{\\"text\\":\\"no\\"}]"},[{"text":"\\u00e9"}]],"text":"own '), F.col("o_orderkey").cast("string"), F.lit('"}'))
+    deep = F.concat(F.repeat(F.lit('{ "x": {"content":[{"text":"no"}]}, "content" : ['), depth), inner, F.repeat(F.lit("]}"), depth))
+    content = F.concat(F.lit('{"content":['), deep, F.lit(',{"text":"last"}],"other":[{"text":"no"}]}'))
+    return trees.walked_texts(t.orders.select("o_orderkey", content.alias("c")), ["o_orderkey"], "c")
+
+
+@catalog.query(r"""
+    WITH c AS (SELECT conv_id, unnest(list_distinct(string_split(text || ' Жλ中', ''))) AS c FROM conversations),
+    u AS (SELECT DISTINCT conv_id, unicode(c) AS u FROM c WHERE unicode(c) > 127)
+    SELECT conv_id, 'command' AS kind, 'frac' AS value FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+    SELECT DISTINCT conv_id, 'command', 'role' || left(role, 1) FROM conversations UNION ALL
+    SELECT conv_id, 'codepoint', 'U+' || lpad(printf('%X', u), 4, '0') FROM u UNION ALL
+    SELECT conv_id, 'script', unnest(['Cyrillic', 'Greek', 'Han']) FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def block_requirements(t: Tables) -> DataFrame:
+    """Characters of blocks anywhere in them, and commands below keys that hold LaTeX only, at any depth and in any case of the key."""
+    role = F.concat(F.lit("\\role"), F.left("role", F.lit(1)))
+    latex = F.struct(F.array(F.struct(role.alias("z")), F.struct(F.lit("x\\frac{1}{2}").alias("z"))).alias("v"))
+    block = F.struct(F.struct(F.array(F.struct(F.concat("text", F.lit(" \\no Жλ")).alias("text"))).alias("content")).alias("a"), latex.alias("RawLatex"), F.lit("中 \\neither").alias("title"))
+    rows = t.conversations.select("conv_id", "turn", F.to_json(block).alias("c"))
+    return trees.requirements(rows, ["conv_id", "turn"], ["conv_id"], "c")
 
 
 @catalog.query("SELECT n_nationkey, CASE n_nationkey WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 11 THEN 2 ELSE n_regionkey END AS n_regionkey FROM nation")
