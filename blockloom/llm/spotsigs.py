@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs (DataFrame operations only).
 
-A spot is a common word (anchor); its signature is the chain of the next two content words. The set
-of a text's chains is its fingerprint; texts without anchors take the chains of all content words,
-and texts of one or two words themselves. Fingerprints are compared by Jaccard: sets are put into
+A spot is a common word (anchor); its signature is the chain of the next two content words. A text's
+fingerprint is the set of its chains, and beside it, for texts with few anchors, the set of the chains of all words;
+texts of one word have the word itself. Fingerprints are compared by Jaccard, both in the same form. To find pairs, sets are put into
 partitions by their length, so that only sets of the same or of neighbouring partitions can reach a
 threshold, and a pair is dropped when its lengths alone rule it out.
 """
@@ -70,12 +70,17 @@ def signature_set(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
     return hashed(chains(text, anchors))
 
 
-def with_signatures(rows: DataFrame, text: str, name: str, enough: str) -> DataFrame:
-    """Adds the text's signature set and whether it has enough anchored chains to be judged by them."""
-    spots = rows.withColumn("_spots", hashed(anchored_chains(F.col(text))))
-    least = F.greatest(F.lit(LEAST_SPOTS), F.length(text) / SPOT_CHARS)
-    found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(hashed(free_chains(F.col(text))))
-    return spots.withColumn(name, found).withColumn(enough, F.size("_spots") >= least).drop("_spots")
+def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds struct<spots, free, enough>: both forms of the text's signature set, and whether the anchored one is large enough to be judged by."""
+    forms = rows.withColumns({"_spots": hashed(anchored_chains(F.col(text))), "_free": hashed(free_chains(F.col(text)))})
+    enough = F.size("_spots") >= F.greatest(F.lit(LEAST_SPOTS), F.length(text) / SPOT_CHARS)
+    return forms.withColumn(name, F.struct(F.col("_spots").alias("spots"), F.col("_free").alias("free"), enough.alias("enough"))).drop("_spots", "_free")
+
+
+def same_form(a: str, b: str) -> Column:
+    """Likeness of two fingerprints: of their anchored chains if both have enough, else of the chains of all words."""
+    forms = lambda x: F.when(F.col(f"{a}.enough") & F.col(f"{b}.enough"), F.col(f"{x}.spots")).otherwise(F.col(f"{x}.free"))
+    return likeness(forms(a), forms(b))
 
 
 def printed(signatures: Column) -> Column:
@@ -90,6 +95,11 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, 1.0).when(small < F.lit(least) * large, 0.0).otherwise(common / (small + large - common))
 
 
+def fingerprint(signatures: str) -> Column:
+    """Both forms as a string: the anchored chains, an exclamation mark if they are enough, a point, the chains of all words."""
+    return F.concat(printed(F.col(f"{signatures}.spots")), F.when(F.col(f"{signatures}.enough"), "!").otherwise(""), F.lit("."), printed(F.col(f"{signatures}.free")))
+
+
 def length_partition(size: Column, least: float = LEAST) -> Column:
     """Sets that reach ``least`` differ by at most one in this number."""
     return F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(least)) + 1e-9).cast("int")
@@ -150,11 +160,10 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, like_edited, like_next: a row per input row.
+    """Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per input row.
 
-    near_ columns are the Jaccard of the fingerprints as they are, of which one may have anchored chains and
-    the other those of all words; like_ columns compare the two texts in one form: anchored chains if
-    both have enough of them, else the chains of all words.
+    A fingerprint holds a text's signatures in both forms, and likeness compares two of them in one form, so what an edit
+    does to the number of anchored chains does not count.
 
     The edited text has its last third (rounded down) replaced by the start of the next text, by
     descending id; after the last comes the first. Rows without an id come last, rows that share one
@@ -165,27 +174,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise TypeError(f"{id_col} must hold integers")
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), text_or_empty(text_col).alias("text"))
-    marked = with_signatures(with_next(rows, "key", "text"), "text", "signatures", "enough")
+    marked = with_signatures(with_next(rows, "key", "text"), "text", "own")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
-    both = marked.withColumn("next", F.lead(F.struct("text", "signatures", "enough")).over(order)).where(~F.col("ghost"))
+    both = marked.withColumn("next", F.lead(F.struct("text", "own")).over(order)).where(~F.col("ghost"))
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    edited = both.select(
-        "key", n.cast("long").alias("n_chars"), "text", "signatures", "enough", "next", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third)).alias("edited")
-    )
-    edited = with_signatures(edited, "edited", "edited_signatures", "edited_enough")
-    to_edited, to_next = F.col("enough") & F.col("edited_enough"), F.col("enough") & F.col("next.enough")
-    free = lambda text: hashed(free_chains(F.col(text)))
-    edited = edited.select("*", F.when(~(to_edited & to_next), free("text")).alias("free"), F.when(~to_edited, free("edited")).alias("edited_free"), F.when(~to_next, free("next.text")).alias("next_free"))
+    edited = both.select("key", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("next"), F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third)).alias("edited"))
+    edited = with_signatures(edited, "edited", "other")
     return edited.select(
         F.when(F.col("key") != lowest, F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("signatures")).alias("fingerprint"),
-        printed(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
-        likeness(F.col("signatures"), F.col("next.signatures")).alias("near_next"),
-        F.when(to_edited, likeness(F.col("signatures"), F.col("edited_signatures"))).otherwise(likeness(F.col("free"), F.col("edited_free"))).alias("like_edited"),
-        F.when(to_next, likeness(F.col("signatures"), F.col("next.signatures"))).otherwise(likeness(F.col("free"), F.col("next_free"))).alias("like_next"),
+        fingerprint("own").alias("fingerprint"),
+        fingerprint("other").alias("edited_fingerprint"),
+        same_form("own", "other").alias("near_edited"),
+        same_form("own", "next").alias("near_next"),
     )
 
 
