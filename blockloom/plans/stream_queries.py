@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Tables
+from ..sources.tables import Tables, scratch_folder
 from ..streaming import events as stream
+from ..streaming import monitor
+from ..streaming import presence as documents
 from .registry import Catalog
 
 catalog = Catalog()
@@ -68,3 +70,43 @@ def event_presence(t: Tables) -> DataFrame:
     action = F.when(F.col("event_type") == "signup", "leave").otherwise("join")
     rows = t.events.select((F.col("user_id") % 7).alias("doc"), "user_id", "ts", action.alias("action"))
     return stream.presence(rows, "doc", "user_id", "ts", "action")
+
+
+def editor_actions(events: DataFrame) -> DataFrame:
+    """Events as actions of users on blocks of seven documents: signups leave, purchases unlock, errors and views lock, others join."""
+    kinds = {"signup": "leave", "purchase": "unlock", "error": "lock", "view": "lock"}
+    action = F.coalesce(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")], F.lit("join"))
+    return events.select((F.col("user_id") % 7).alias("doc"), "user_id", (F.col("event_id") % 5).alias("block"), "ts", "event_id", action.alias("action"))
+
+
+def _changes(t: Tables, streamed: bool) -> DataFrame:
+    rows = editor_actions(stream.event_stream(t.spark, t.folder) if streamed else t.events)
+    log = documents.changes(rows, "doc", "user_id", "block", "ts", "event_id", "action", 3600)
+    with documents.rocks_state(t.spark):
+        return stream.run_once(log, "append") if streamed else log
+
+
+@catalog.query("""
+    SELECT (user_id % 7)::VARCHAR AS document, user_id::VARCHAR AS "user" FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events WHERE event_type NOT IN ('purchase', 'error', 'view') GROUP BY 1) WHERE last <> 'signup'""")
+def stream_presence(t: Tables) -> DataFrame:
+    """Users in documents, by a stream's state."""
+    return documents.present(_changes(t, True))
+
+
+@catalog.query()
+def stream_locks(t: Tables) -> DataFrame:
+    """Changes of locks by kind, and blocks held at the end, by a stream's state."""
+    log = _changes(t, True)
+    counts = log.where("block IS NOT NULL").groupBy("document", "change").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(documents.held(log).groupBy("document").agg(F.count(F.lit(1)).alias("n")).select("document", F.lit("held").alias("change"), "n"))
+
+
+@catalog.query("""
+    WITH w AS (SELECT max(ts) AS w FROM events WHERE event_id % 2 = 0 AND event_id % 1000 < 600)
+    SELECT event_id, 1 AS pull FROM events WHERE event_id % 2 = 0 AND event_id % 1000 < 600 UNION ALL SELECT event_id, 2 FROM events, w WHERE ts > w""")
+def pulled_twice(t: Tables) -> DataFrame:
+    """A pull of part of the events, and one when all have come: what is no newer than the first one's newest is lost, nothing comes twice."""
+    path = scratch_folder(t.spark, "pulls")
+    early = t.events.where("event_id % 2 = 0 AND event_id % 1000 < 600")
+    pulls = [monitor.pull(rows, "ts", path) for rows in (early, t.events, t.events)]
+    return pulls[0][1].select("event_id", F.lit(1).alias("pull")).unionByName(pulls[1][1].select("event_id", F.lit(2).alias("pull"))).unionByName(pulls[2][1].select("event_id", F.lit(3).alias("pull")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch_folder
+
 #: Events that one client call may bring.
 MOST_EVENTS = 100
 SOURCES = ("panel", "palette", "slash", "package-modal")
@@ -61,21 +62,33 @@ def resolved(events: DataFrame, dimension: DataFrame, slug: str, dimension_id: s
 
 
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drains what the stream holds now and returns the result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drains what the stream holds now into the shared folder and returns the result table."""
+    spark, path = stream.sparkSession, scratch_folder(stream.sparkSession, "drained")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch_folder(spark, "drained-checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.parquet(path).select(*stream.columns)
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = 3, change: Callable[[DataFrame], DataFrame] | None = None):
+def into_table(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = 3, change: Callable[[DataFrame], DataFrame] | None = None, dropped: str | None = None):
     """Micro-batches appended to a folder; each batch has its own subfolder, so that a repeated batch overwrites itself.
 
-    seconds: the time between batches, or None to drain what is there and stop.
+    seconds: the time between batches, or None to drain what is there and stop. dropped: a folder for the numbers, sizes and
+    errors of batches that could not be written; with it such a batch is given up and the stream goes on, without it the stream fails.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        try:
+            (change(batch) if change else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        except Exception as error:
+            if dropped is None:
+                raise
+            lost = batch.agg(F.count(F.lit(1)).alias("n")).select(F.lit(number).cast("long").alias("batch"), "n", F.lit(type(error).__name__).alias("error"))
+            lost.write.mode("overwrite").parquet(f"{dropped}/number={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
