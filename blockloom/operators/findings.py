@@ -62,7 +62,7 @@ def structure(blocks: DataFrame, doc: str, order: str, kind: str, content: str)
 
 
 def coverage_claim(level: Column, handled: Column) -> Column:
-    """Whether a catalog's claim fits what the parser does: A to E, or Z for levels that are not known."""
+    """Whether a catalog's claim fits what the parser does: A to E, or Z for levels that are not known (the buckets' names are fixed values)."""
     done = F.coalesce(handled, F.lit(False))
     return (
         F.when(level == "shimmed", "E_shimmed_trusted")

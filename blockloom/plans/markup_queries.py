@@ -183,6 +183,32 @@ def compile_errors(t: Tables) -> DataFrame:
     return found.groupBy("event_type", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("n_lines"))
 
 
+@catalog.query(r"""
+    WITH k AS (SELECT o_orderkey, o_orderkey::VARCHAR AS s, o_orderpriority AS p FROM orders)
+    SELECT o_orderkey, '\textbf{b ' || '\texttt{x*y*\_' || s || '}} 5\% \textit{$a*b*c_' || s || '$} \href{u' || s || '}{\texttt{l[1](2)}} \cmd[o]{*k*}{_} $$m*n*$$ costs $5 and \textit{' || p || '}' AS latex,
+           '<strong>b <code>x*y*_' || s || '</code></strong> 5% <em>$a*b*c_' || s || '$</em> <a href="u' || s || '"><code>l[1](2)</code></a> \cmd[o]{<em>k</em>}{_} $$m*n*$$ costs $5 and <em>' || p || '</em>' AS html FROM k""")
+def inline_shields(t: Tables) -> DataFrame:
+    """Marks around code and formulas, and none inside; commands are written out in LaTeX only."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("**b `x*y*_"), key, F.lit("`** 5% *$a*b*c_"), key, F.lit("$* [`l[1](2)`](u"), key, F.lit(") \\cmd[o]{*k*}{_} $$m*n*$$ costs $5 and *"), F.col("o_orderpriority"), F.lit("*"))
+    return t.orders.select("o_orderkey", markup.inline_latex(text).alias("latex"), markup.inline_html(text).alias("html"))
+
+
+@catalog.query("""
+    SELECT o_orderkey, printf('%X', 128512 + o_orderkey % 60) || ' ' || chr(128512 + (o_orderkey % 60)::INT) || ' -,' || printf('%X', 945 + o_orderkey % 24) || ' ' || chr(945 + (o_orderkey % 24)::INT) || ' F' || repeat('o', (o_orderkey % 90)::INT) || ';' AS glyphs FROM orders""")
+def missing_glyphs(t: Tables) -> DataFrame:
+    """Characters that a font lacks, from logs that are broken every 79 bytes, be it within a character."""
+    char = lambda base, n: F.decode(F.unhex(F.lpad(F.hex(base + F.col("o_orderkey") % n), 8, "0")), "UTF-32")
+    code = lambda base, n: F.hex(base + F.col("o_orderkey") % n)
+    entry = lambda c, u, rest: F.concat(F.lit("Missing character: There is no "), c, F.lit(" (U+"), u, F.lit(")"), rest)
+    font = F.concat(F.lit(' in font "F'), F.repeat(F.lit("o"), (F.col("o_orderkey") % 90).cast("int")), F.lit(';"!'))
+    greek, face = entry(char(945, 24), code(945, 24), font), entry(char(128512, 60), F.lower(code(128512, 60)), F.lit("!"))
+    wrap = lambda x: F.regexp_replace(F.decode(F.encode(x, "UTF-8"), "ISO-8859-1"), "(.{79})", "$1\n")
+    log = F.encode(F.concat_ws("\n", F.lit("This is a log"), wrap(greek), wrap(face), F.lit("short line"), wrap(entry(char(945, 24), code(945, 24), F.lit(" in font other!")))), "ISO-8859-1")
+    line = lambda g: F.concat_ws(" ", g["code"], g["char"], F.coalesce(g["font"], F.lit("-")))
+    return t.orders.select("o_orderkey", F.array_join(F.transform(markup.missing_glyphs(log), line), ",").alias("glyphs"))
+
+
 #: A log for each message and anchor; {} is a number of the row.
 _LOGS = (
     ("! Undefined control sequence.\nl.{} \\macro{} x", "undefined_control_sequence"), ("\n! Undefined control sequence.\nl.{} \\foo", "syntax_error"), ("x\n! Package babel{} Error: y", "package_error"), ("see ! Package babel{} Error: y", "syntax_error"),
@@ -289,6 +315,20 @@ def coverage_audit(t: Tables) -> DataFrame:
     return t.part.groupBy(findings.coverage_claim(level(), F.col("p_type") == "PROMO").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@catalog.query("""
+    WITH b AS (SELECT o_custkey, o_orderkey, o_orderkey % 7 AS i, row_number() OVER w AS n, lead(o_orderkey % 7) OVER w AS next, count(*) FILTER (o_orderkey % 7 < 2) OVER (PARTITION BY o_custkey) AS heads FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    h AS (SELECT b.*, (SELECT arg_max(x.i, x.o_orderkey) FROM b x WHERE x.o_custkey = b.o_custkey AND x.o_orderkey < b.o_orderkey AND x.i < 2) AS last FROM b)
+    SELECT o_custkey, o_orderkey, unnest(list_filter([CASE WHEN i = 3 AND n <= 3 THEN 'info:personal_data' END, CASE WHEN i = 2 AND next IN (2, 3, 6) THEN 'info:paragraph_as_heading' END, CASE WHEN i = 4 AND heads = 0 THEN 'warning:empty_contents' END,
+        CASE WHEN i = 1 AND last = 0 THEN 'warning:skipped_level' END, CASE WHEN i = 5 THEN 'info:list_of_one' END], lambda x: x IS NOT NULL)) AS finding FROM h""")
+def structure_findings(t: Tables) -> DataFrame:
+    """Every rule on a block's place, over blocks that orders stand for."""
+    kinds = ("heading", "heading", "paragraph", "paragraph", "tableOfContents", "list", "paragraph")
+    contents = ('{"text":"One","level":1}', '{"text":"Four","level":4}', '{"text":"Short Title"}', '{"text":"mail a@b.de now."}', "{}", '{"items":["x"]}', '{"text":"plain text that ends."}')
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("o_orderkey") % 7).cast("int"))
+    found = findings.structure(t.orders.select("o_custkey", "o_orderkey", pick(kinds).alias("kind"), pick(contents).alias("content")), "o_custkey", "o_orderkey", "kind", "content")
+    return found.select("o_custkey", "o_orderkey", F.concat_ws(":", "level", "rule").alias("finding"))
+
+
 @catalog.query(f"""
     SELECT conv_id, turn, 'info' AS level, 'personal_data' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
     WHERE n <= 3 AND regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}|linkedin\\.com/|github\\.com/')""")

@@ -85,13 +85,13 @@ def citation_keys(t: Tables) -> DataFrame:
 
 
 @catalog.query("""
-    WITH k AS (SELECT DISTINCT doc_id, unnest(string_split(lower(regexp_extract(text, '^[A-Za-z ]+')), ' ')) AS cite_key FROM documents)
-    SELECT doc_id, cite_key FROM k WHERE cite_key <> '' AND cite_key NOT IN (SELECT unnest(string_split(lower(text), ' ')) FROM benchmark)""")
+    WITH k AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS cite_key FROM documents)
+    SELECT doc_id, count(*) AS n_missing, max(cite_key) AS last_missing FROM k WHERE cite_key NOT IN (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) FROM benchmark) GROUP BY doc_id""")
 def missing_citations(t: Tables) -> DataFrame:
-    """Cited keys that the bibliography lacks."""
-    cited = t.documents.select("doc_id", F.explode(F.split(F.lower(F.regexp_extract("text", "^[A-Za-z ]+", 0)), " ")).alias("cite_key")).where(F.col("cite_key") != "").distinct()
-    known = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("cite_key")).distinct()
-    return cited.join(known, "cite_key", "left_anti").select("doc_id", "cite_key")
+    """Words of whole texts, taken for cited keys, that the bibliography lacks."""
+    words = lambda rows, *kept: rows.select(*kept, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower))).alias("cite_key"))
+    missing = words(t.documents, "doc_id").join(words(t.benchmark).distinct(), "cite_key", "left_anti")
+    return missing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_missing"), F.max("cite_key").alias("last_missing"))
 
 
 def _level() -> Column:
@@ -171,11 +171,14 @@ def docs_block_types(t: Tables) -> DataFrame:
 
 
 @catalog.query(r"""
+    WITH d AS (SELECT *, CASE WHEN regexp_matches(text, '^\s*(\$\$|\\\[|\\begin\{(equation|align))') THEN 'equation' WHEN regexp_matches(text, '^\s*```') THEN 'code'
+        WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\|.*\|'))) >= 2 THEN 'table' WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*([-*•]|[0-9]+[.)])\s+'))) >= 2 THEN 'list'
+        WHEN regexp_matches(text, '^#{1,6}\s+\S') THEN 'heading' WHEN regexp_matches(text, '^>\s') THEN 'quote' ELSE 'paragraph' END AS block_type FROM documents)
     SELECT flag, count(*) AS n FROM (SELECT doc_id, unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN contains(text, '  ') THEN 'double_space' END, CASE WHEN (length(text) - length(replace(text, '$', ''))) % 2 = 1 THEN 'odd_dollars' END,
-        CASE WHEN length(trim(text)) < 10 THEN 'short' END], lambda x: x IS NOT NULL)) AS flag FROM documents) GROUP BY flag""")
+        CASE WHEN length(trim(text)) < 10 THEN 'short' END, CASE WHEN block_type <> 'paragraph' THEN 'type_mismatch' END, CASE WHEN len(string_split(text, '\begin{')) <> len(string_split(text, '\end{')) THEN 'begin_end' END], lambda x: x IS NOT NULL)) AS flag FROM d) GROUP BY flag""")
 def docs_quality_flags(t: Tables) -> DataFrame:
     flags = t.documents.select("doc_id", F.explode(markup.quality_flags(F.col("text"), F.lit("paragraph"))).alias("flag"))
-    return flags.where(~F.col("flag").isin("type_mismatch", "begin_end")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    return flags.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @catalog.query(r"""
@@ -337,11 +340,11 @@ def conv_positions(t: Tables) -> DataFrame:
 
 @catalog.query("""
     SELECT doc_id, string_agg(CASE WHEN c IN ('é', 'ü') THEN '\\newunicodechar{' || c || '}{' || CASE c WHEN 'é' THEN 'e1' ELSE 'u2' END || '}' END, chr(10) ORDER BY c) AS declarations, list(c ORDER BY c) FILTER (c NOT IN ('é', 'ü')) AS unmapped
-    FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents WHERE lang IN ('de', 'fr')) GROUP BY doc_id HAVING count(*) FILTER (c NOT IN ('é', 'ü')) > 0 AND count(*) FILTER (c IN ('é', 'ü')) > 0""")
+    FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents) GROUP BY doc_id HAVING count(*) FILTER (c NOT IN ('é', 'ü')) > 0 AND count(*) FILTER (c IN ('é', 'ü')) > 0""")
 def unicode_shims(t: Tables) -> DataFrame:
     """Characters with a replacement and those without, of texts that have both."""
     shims = t.spark.createDataFrame([("é", "e1"), ("ü", "u2")], "char string, replacement string")
-    found = markup.shimmed(t.documents.where(F.col("lang").isin("de", "fr")), "doc_id", "text", shims)
+    found = markup.shimmed(t.documents, "doc_id", "text", shims)
     return found.where((F.size("unmapped") > 0) & (F.col("declarations") != ""))
 
 
