@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stored, table, text_or_empty
@@ -46,28 +46,26 @@ class Mixture:
 def fill(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     """Adds due, what each node gets of its parent's amount: in proportion to weights, none over its most.
 
-    nodes: parent columns, most, weight, amount (of the parent); a stored table. The rate, due per weight,
-    of the siblings that are not yet full rises round by round, until no more of them are. A round is one aggregate by parent.
+    nodes: parent columns, most, weight, amount (of the parent). Siblings fill up in the order of most / weight, so one pass
+    in that order decides: a sibling is full if its share of what those before it leave, by weight, reaches its most.
+    What is due per weight where the first one is not full is due to it and all after it.
     """
-    rates, full = None, None
-    rate = F.coalesce("rate", F.lit(0.0))
-    while True:
-        at = nodes.withColumn("rate", F.lit(None).cast("double")) if rates is None else _to_leaf(nodes, rates, keys=parent)
-        is_full = F.col("all_full") | (F.col("most") <= rate * F.col("weight")) if rates is not None else F.col("most") <= 0
-        sums = at.groupBy(*parent).agg(
-            F.first("amount").alias("amount"), F.sum(F.when(is_full, F.col("most")).otherwise(0.0)).alias("given"),
-            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open"), F.count_if(is_full).alias("full"),
-        )
-        seen = Observation()
-        rates = stored(
-            sums.observe(seen, F.sum("full").alias("full")).select(*parent, (F.col("open") <= 0).alias("all_full"), F.when(F.col("open") > 0, (F.col("amount") - F.col("given")) / F.col("open")).alias("rate")),
-            "mixture-rates",
-        )
-        if seen.get["full"] == full:
-            break
-        full = seen.get["full"]
-    due = F.when(F.col("all_full"), F.col("most")).otherwise(F.least("most", F.col("rate") * F.col("weight")))
-    return _to_leaf(nodes, rates, keys=parent).withColumn("due", due).drop("all_full", "rate")
+    siblings = Window.partitionBy(*parent)
+    ratio = F.when(F.col("weight") > 0, F.col("most") / F.col("weight")).otherwise(0.0)
+    order = siblings.orderBy("_ratio", "most", "weight")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.when(F.col("most") > 0, F.col("weight")).otherwise(0.0)
+    rows = nodes.withColumns({"_ratio": ratio, "_weight": counted})
+    rows = rows.withColumns({"_given": F.coalesce(F.sum("most").over(before), F.lit(0.0)), "_seen": F.coalesce(F.sum("_weight").over(before), F.lit(0.0)), "_no": F.row_number().over(order), "_whole": F.sum("_weight").over(siblings)})
+    left = F.col("_whole") - F.col("_seen")
+    rate = F.when((F.col("_weight") > 0) & (left > 0), F.greatest(F.lit(0.0), F.col("amount") - F.col("_given")) / left)
+    rows = rows.withColumn("_rate", rate)
+    rows = rows.withColumn("_open", F.when((F.col("_weight") > 0) & (F.col("most") > F.col("_rate") * F.col("weight")), F.struct("_no", "_rate")))
+    first = F.min("_open").over(siblings)
+    rows = rows.withColumn("_first", first)
+    full = F.col("_first").isNull() | (F.col("_no") < F.col("_first")["_no"])
+    due = F.when(full, F.col("most")).otherwise(F.least("most", F.col("_first")["_rate"] * F.col("weight")))
+    return rows.withColumn("due", due).select(*nodes.columns, "due")
 
 
 def budgets(leaves: DataFrame, mixture: Mixture, budget_share: float, max_epochs: int) -> DataFrame:
