@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 from .shared import catalog_name, fresh_path, partitions, slices, text_or_empty
 
 BLOCK_BYTES = 24 << 20
-#: Buckets of words for each shuffle partition. A task holds the words of one bucket at a time.
+#: Buckets of words for each shuffle partition. A task holds the words of one bucket at a time, up to MOST_KNOWN.
 BUCKETS = 4
+#: Words that a task remembers at most; with more in its bucket, some are encoded again.
+MOST_KNOWN = 4_000_000
 #: Words that the library encodes in one call.
 CALL_WORDS = 5_000
 
@@ -292,6 +294,8 @@ def encoded_lists(lists: DataFrame, path: str, with_ids: bool) -> DataFrame:
         column = batch.column(2)
         offsets, words = column.offsets.to_numpy(), column.values.to_pylist()
         words = words[offsets[0] : offsets[-1]]
+        if len(known) > MOST_KNOWN:
+            known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
         known.update(zip(new, encode_words(path, new), strict=True))
         found = [known[w] for w in words]
