@@ -41,6 +41,24 @@ def members(packed: DataFrame, most_bytes: int = MOST_BYTES, junk: str = JUNK) -
     return found.where(~F.col("member").rlike(junk))
 
 
+def packed(parts: DataFrame, path: str = "path", member: str = "member", data: str = "data") -> DataFrame:
+    """path, content: an archive for each path, of its members (text or binary) in order of names; the reverse of members(). Equal parts make equal bytes.
+
+    An archive is a value of one row, so its members meet in one task.
+    """
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("member", kind="stable")
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, part in zip(group["member"], group["data"], strict=True):
+                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), bytes(part), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [out.getvalue()]})
+
+    rows = parts.select(F.col(path).cast("string").alias("path"), F.col(member).alias("member"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data"))
+    return rows.where("path IS NOT NULL AND member IS NOT NULL").groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
 def as_text(data: str = "data") -> Column:
     return F.decode(data, "UTF-8")
 
