@@ -410,15 +410,6 @@ def tabular_cells(body: Column) -> Column:
     return F.transform(F.filter(F.transform(rows, trim), lambda r: r != ""), lambda r: F.transform(F.split(r, "&", -1), trim))
 
 
-def unwrapped(text: Column, unwrap: tuple[str, ...], drop: tuple[str, ...] = ()) -> Column:
-    """LaTeX with commands of one argument replaced by the argument, innermost first to a depth of three, and others dropped with theirs."""
-    for _ in range(3):
-        text = F.regexp_replace(text, rf"\\(?:{'|'.join(unwrap)})\{{([^{{}}]*)\}}", "$1")
-        if drop:
-            text = F.regexp_replace(text, rf"\\(?:{'|'.join(drop)})(?:\[[^\]]*\])?\{{[^{{}}]*\}}", "")
-    return text
-
-
 def section_keyword(heading: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
     """The kind of a section by its title, without number and case; keywords: kind -> titles. Null if no title fits."""
     title = F.regexp_replace(F.lower(F.trim(heading)), r"^(?:[0-9]+(?:\.[0-9]+)*|[ivxlc]+)[.)]?[ \t]+", "")
