@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .shared import catalog_name, fresh_path, partitions, slices, text_or_empty
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
 #: Buckets of words for each shuffle partition. A task holds the words of one bucket at a time, up to MOST_KNOWN.
 BUCKETS = 4
 #: Words that a task remembers at most; with more in its bucket, some are encoded again.
@@ -230,6 +230,7 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted:
                 if size >= block_bytes:
                     yield out()
                     number, held, size = number + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield out()
 
