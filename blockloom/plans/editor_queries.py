@@ -369,18 +369,6 @@ def section_kinds(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", markup.section_keyword(F.get(titles, (F.col("c_custkey") % 4).cast("int")), known).alias("kind"))
 
 
-#: Categories and severities of import warnings by type, and by the first word found in them (fixed values).
-WARNINGS = {
-    "UnsupportedElement": ("unsupported_package", "warning"), "UnknownStyle": ("unknown_macro", "info"), "EquationConversionFailed": ("parse_ambiguity", "warning"), "ImageExtractionFailed": ("missing_asset", "error"),
-    "FormattingLost": ("parse_ambiguity", "info"), "NestedTableSkipped": ("parse_ambiguity", "warning"), "MergedCellsSimplified": ("parse_ambiguity", "info"), "ContentTruncated": ("size_truncated", "warning"),
-}
-WARNING_WORDS = (
-    ("hyperref", "load_order", "warning"), ("cleveref", "load_order", "warning"), ("subfig", "load_order", "warning"), ("subfigure", "load_order", "warning"), ("csquotes", "load_order", "warning"), ("varioref", "load_order", "warning"),
-    ("fontspec", "preamble_conflict", "warning"), ("polyglossia", "preamble_conflict", "warning"), ("beamer", "unsupported_class", "warning"), ("algorithm2e", "unsupported_package", "warning"), ("titlesec", "unsupported_package", "warning"), ("tikz", "unsupported_package", "info"),
-)
-OTHER_WARNING = ("parse_ambiguity", "warning")
-
-
 @catalog.query("""
     SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'unsupported_package' WHEN o_orderpriority = '2-HIGH' THEN 'load_order' WHEN o_orderstatus = 'F' THEN 'missing_asset' WHEN o_orderstatus = 'O' THEN 'unknown_macro' ELSE 'parse_ambiguity' END AS category,
         CASE WHEN o_orderpriority = '1-URGENT' THEN 'info' WHEN o_orderpriority = '2-HIGH' THEN 'warning' WHEN o_orderstatus = 'F' THEN 'error' WHEN o_orderstatus = 'O' THEN 'info' ELSE 'warning' END AS severity FROM orders""")
@@ -388,7 +376,7 @@ def diagnosed_warnings(t: Tables) -> DataFrame:
     """Category and severity of warnings by type, unless a word in them tells more."""
     kind = F.when(F.col("o_orderstatus") == "F", "ImageExtractionFailed").when(F.col("o_orderstatus") == "O", "UnknownStyle").otherwise("Else")
     details = F.when(F.col("o_orderpriority") == "1-URGENT", "A TikZ picture").when(F.col("o_orderpriority") == "2-HIGH", "\\usepackage{HyperRef} and tikz")
-    found = markup.diagnosis(kind, details, F.lit("found"), WARNINGS, WARNING_WORDS, OTHER_WARNING)
+    found = markup.diagnosis(kind, details, F.lit("found"), markup.WARNINGS, markup.WARNING_WORDS, markup.OTHER_WARNING)
     return t.orders.select("o_orderkey", found.alias("d")).select("o_orderkey", "d.*")
 
 
