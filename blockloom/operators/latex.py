@@ -285,3 +285,24 @@ def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
     null_if_empty = lambda c: F.when(F.col("kind").isNotNull() & (F.col("kind") != "heading"), F.nullif(c, F.lit("")))
     out = found.select(key, "element", F.coalesce("kind", F.lit("paragraph")).alias("kind"), "name", "level", null_if_empty(inner("captioned")).alias("caption"), null_if_empty(inner("labelled")).alias("label"), F.when(F.col("kind").isNotNull(), F.col("items")).alias("items"), F.posexplode(bodies).alias("part", "text"))
     return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("element", "part")) - 1).alias("pos"), "kind", "name", "level", "text", "caption", "label", "items")
+
+
+def page_map(docs: DataFrame, key: str, text: str, prefix: str = "blk-") -> DataFrame:
+    r"""key, label, page: where the labels of an auxiliary file stand, without their prefix; labels without it are left out.
+
+    An entry is \newlabel{label}{{number}{page}...}; groups may hold groups. Only whole numbers are pages; of a label that is defined more than once the last counts.
+    """
+    rows = _arguments(tokens(docs, key, text), key)
+    ours = F.col("owner") == "newlabel"
+    rows = _inside(rows, key, value=ours & (F.col("argument") == 2), label=ours & (F.col("argument") == 1))
+    running = _running(key)
+    rows = rows.withColumn("entry", F.sum(_count((F.col("kind") == "command") & (F.col("name") == "newlabel"))).over(running))
+    outer = F.last(F.when(F.col("_value"), F.col("brace_depth")), ignorenulls=True).over(running)
+    rows = rows.withColumn("_group", F.coalesce(F.col("brace_open") & F.col("value") & (F.col("brace_depth") == outer + 1), F.lit(False)))
+    within = Window.partitionBy(key, "entry").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_number", F.sum(F.col("_group").cast("int")).over(within))
+    rows = _inside(rows, key, page=F.col("_group") & (F.col("_number") == 2))
+    held = lambda name: F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(name), F.struct("pos", "token")))), lambda x: x["token"]), ""), r"^\{|\}\z", "")
+    found = rows.where(F.col("label") | F.col("page")).groupBy(key, "entry").agg(held("label").alias("label"), F.trim(held("page")).try_cast("int").alias("page"))
+    found = found.where(F.startswith("label", F.lit(prefix)) & F.col("page").isNotNull())
+    return found.groupBy(key, F.substring("label", len(prefix) + 1, 1 << 30).alias("label")).agg(F.max_by("page", "entry").alias("page"))

@@ -83,3 +83,15 @@ def latex_spans(t: Tables) -> DataFrame:
     text = _text("é Dear ", F.repeat(F.lit("\\textbf{"), depth), F.col("c_mktsegment"), "\\label{a{b}} \\emph {\\keep{", F.col("c_name"), "}}", F.repeat(F.lit("}"), depth), "\\vspace{2mm} 5\\% \\texttt{see}% \\emph{no}")
     found = latex.plain_spans(t.customer.select("c_custkey", text.alias("text")), "c_custkey", "text", unwrap=("keep",), drop=("label", "vspace"))
     return found.select("c_custkey", "plain", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["type"])), ",").alias("spans"))
+
+
+@catalog.query(r"""
+    WITH o AS (SELECT o_custkey, o_orderkey % 5 AS label, o_orderkey FROM orders WHERE o_orderkey % 7 <> 3)
+    SELECT o_custkey, label::VARCHAR AS label, arg_max(o_orderkey % 900 + 1, o_orderkey)::INT AS page FROM o GROUP BY 1, 2""")
+def page_numbers(t: Tables) -> DataFrame:
+    """Pages of blocks from auxiliary files: nested titles, roman pages, other labels, and labels defined again."""
+    key = F.col("o_orderkey")
+    page = F.when(key % 7 == 3, "iv").otherwise((key % 900 + 1).cast("string"))
+    entry = _text("\\relax \n\\newlabel{sec:", key.cast("string"), "}{{9}{99}}\n\\newlabel{blk-", (key % 5).cast("string"), "}{{1.", key.cast("string"), "{a}}{", page, "}{Of \\{ {\\bf x} {y}}{figure.1}{}}\n\\@writefile{toc}{\\contentsline {section}{\\numberline {1}T}{7}{}}\n")
+    files = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("aux"))
+    return latex.page_map(files, "o_custkey", "aux")
