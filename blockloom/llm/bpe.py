@@ -76,9 +76,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(join, schema)
 
 
-def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(docs, path), path)
+def encoded_digests(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. block_bytes: of text that a task works on at once; less takes less memory and more shuffle."""
+    both = decode(encode(docs, path, block_bytes=block_bytes), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
