@@ -2,15 +2,17 @@ r"""Nested JSON to rows, to any depth: tokens and running sums in place of a rec
 
 A value's enclosing containers are those that are open where it stands. What they have in common with a condition
 (a field's name, say) is a sum of +1 where such a container opens and -1 where it closes, so no level is counted out and no
-job runs per level. Broken JSON and nulls have no values.
+job runs per level. Tokens stay in the row of their text, as an array, so there is no sort and no shuffle by text. Broken JSON and nulls have no values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .latex import paired
+from ..functions import scans
 
 TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'
 #: Keys whose text is LaTeX source (fixed values).
@@ -22,40 +24,43 @@ SCRIPTS = (
 )
 
 
-def json_strings(rows: DataFrame, keys: list[str], column: str, **within: Column) -> DataFrame:
+def _strings(rows: DataFrame, column: str, **within: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """Adds _strings: the strings that are values of each row, in order, as in json_strings; null for broken JSON."""
+    tokens = F.when(F.try_parse_json(column).isNotNull(), F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)))
+    kept = rows.columns
+    found = rows.withColumn("_tokens", tokens)
+    one_of = lambda *which: F.transform("_tokens", lambda t: t.isin(*which))
+    found = found.withColumn("_in", scans.pairs(one_of("{", "["), one_of("}", "]")))
+    parsed = lambda token: F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)
+    unquoted = lambda token: F.when(F.contains(token, F.lit("\\")), parsed(token)).otherwise(F.btrim(token, F.lit('"')))
+    at = lambda i: F.get("_tokens", i)
+    named = lambda i: unquoted(F.when(at(i - 1) == ":", at(i - 2)))
+    meets = lambda test: F.transform("_tokens", lambda t, i: F.when(t.isin("{", "["), F.coalesce(test(t, F.get("_in", i)["depth"], named(i)), F.lit(False))))
+    found = found.withColumns({f"_{name}": scans.inside(meets(test), F.col("_in.partner")) for name, test in within.items()})
+    value = lambda t, i: (F.left(t, F.lit(1)) == '"') & ~F.coalesce(at(i + 1) == ":", F.lit(False))
+    each = F.transform("_tokens", lambda t, i: F.when(value(t, i), F.struct(
+        i.alias("pos"), F.get("_in", i)["around"].alias("parent"), F.get("_in", i)["depth"].alias("depth"), named(i).alias("field"), unquoted(t).alias("value"), *(F.get(f"_{name}", i).alias(name) for name in within))))
+    return found.select(*kept, F.when(F.col("_tokens").isNotNull(), F.filter(each, lambda x: x.isNotNull())).alias("_strings"))
+
+
+def json_strings(rows: DataFrame, keys: list[str], column: str, **within: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """keys, pos, parent, depth, field, value, and a count for each name in within: the strings that are values, in order.
 
     field: the name that the string has in its object, null in arrays and at the top. parent: position of the object or
-    array around it. depth: containers around it. within: conditions on a container's token ({ or [), depth and own
-    field; the count is of the containers around the string that meet it. Rows with equal keys count as one text after another.
+    array around it. depth: containers around it. within: conditions on a container's token ({ or [), depth (itself included) and own
+    field; the count is of the containers around the string that meet it.
     """
-    valid = rows.where(F.try_parse_json(column).isNotNull()).select(F.struct(*keys).alias("_key"), F.posexplode(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    found = paired(valid, "_key", F.col("token").isin("{", "["), F.col("token").isin("}", "]"), "in")
-    order = Window.partitionBy("_key").orderBy("pos")
-    unquoted = lambda token: F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)
-    named = F.when(F.lag("token").over(order) == ":", F.lag("token", 2).over(order))
-    text = F.left("token", F.lit(1)) == '"'
-    found = found.withColumns({"_named": named, "_value": text & ~F.coalesce(F.lead("token").over(order) == ":", F.lit(False))})
-    found = found.withColumn("field", F.when(F.col("_value") | F.col("in_open"), unquoted(F.col("_named")))).withColumnRenamed("in_depth", "depth")
-    level = F.when(F.col("in_close"), F.col("depth") + 1).otherwise(F.col("depth"))
-    at = Window.partitionBy("_key", "_level").orderBy("pos")
-    found = found.withColumns({"_level": level} | {f"_{name}": F.col("in_open") & F.coalesce(test, F.lit(False)) for name, test in within.items()})
-    opener = F.last(F.when(F.col("in_open"), F.struct("pos", *(F.col(f"_{name}").alias(name) for name in within))), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("_opener", opener)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda name: F.when(F.col("in_open"), F.col(f"_{name}").cast("int")).when(F.col("in_close"), -F.col("_opener")[name].cast("int")).otherwise(0)
-    found = found.withColumns({name: F.sum(step(name)).over(running) for name in within})
-    return found.where("_value").select("_key.*", "pos", F.col("_opener")["pos"].alias("parent"), "depth", "field", unquoted(F.col("token")).alias("value"), *within)
+    return _strings(rows, column, **within).select(*keys, F.inline("_strings"))
 
 
 def walked_texts(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys, text: the text of a block, else the texts of its nested content lists in order, joined by spaces; empty if there are none. Keys are unique."""
-    off = (F.col("field").isNotNull() & ~((F.col("field") == "content") & (F.col("token") == "["))) & (F.col("depth") > 1)
-    texts = json_strings(rows, keys, column, off=off).where((F.col("field") == "text") & (F.col("off") == 0))
-    own = F.max(F.when(F.col("depth") == 1, F.col("value")))
-    nested = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parent", "pos", "value"))), lambda x: x["value"]), " ")
-    found = texts.groupBy(*keys).agg(F.coalesce(own, F.trim(nested)).alias("text"))
-    return rows.select(*keys).join(found, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """keys, text: the text of a block, else the texts of its nested content lists in order, joined by spaces; empty if there are none."""
+    off = lambda token, depth, field: (field.isNotNull() & ~((field == "content") & (token == "["))) & (depth > 1)
+    texts = _strings(rows.select(*keys, column), column, off=off).withColumn("_texts", F.filter("_strings", lambda x: (x["field"] == "text") & (x["off"] == 0)))
+    own = F.array_max(F.transform(F.filter("_texts", lambda x: x["depth"] == 1), lambda x: x["value"]))
+    ordered = F.array_sort(F.transform("_texts", lambda x: F.struct(x["parent"].alias("parent"), x["pos"].alias("pos"), x["value"].alias("value"))))
+    nested = F.trim(F.array_join(F.transform(ordered, lambda x: x["value"]), " "))
+    return texts.select(*keys, F.coalesce(own, nested, F.lit("")).alias("text"))
 
 
 def requirements(rows: DataFrame, keys: list[str], group: list[str], column: str) -> DataFrame:
@@ -63,13 +68,16 @@ def requirements(rows: DataFrame, keys: list[str], group: list[str], column: str
 
     command: control words in strings below a key of LATEX_KEYS; codepoint: characters beyond ASCII, anywhere, as U+XXXX; script: of these by SCRIPTS.
     """
-    strings = json_strings(rows, keys, column, latex=F.lower("field").isin(*LATEX_KEYS))
+    strings = json_strings(rows, keys, column, latex=lambda _token, _depth, field: F.lower(field).isin(*LATEX_KEYS))
     source = (F.col("latex") > 0) | F.coalesce(F.lower("field").isin(*LATEX_KEYS), F.lit(False))
-    commands = strings.where(source).select(*group, F.lit("command").alias("kind"), F.explode(F.regexp_extract_all("value", F.lit(r"\\([a-zA-Z]+)"), F.lit(1))).alias("value")).distinct()
-    chars = strings.select(*group, F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"[^\x00-\x7F]"), F.lit(0)))).alias("char")).distinct()
-    bytes_ = F.encode("char", "UTF-32")
-    chars = chars.select(*group, F.conv(F.hex(bytes_), 16, 10).cast("int").alias("code"))
+    commands = F.when(source, F.regexp_extract_all("value", F.lit(r"\\([a-zA-Z]+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all("value", F.lit(r"[^\x00-\x7F]"), F.lit(0))
+    listed = lambda kind, values: F.transform(F.array_distinct(values), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    once = strings.select(*group, F.inline(F.concat(listed("command", commands), listed("char", chars)))).distinct()
+    bytes_ = F.encode("value", "UTF-32")
+    coded = once.withColumn("code", F.when(F.col("kind") == "char", F.conv(F.hex(bytes_), 16, 10).cast("int")))
     script = F.coalesce(*(F.when(F.col("code").between(low, high), name) for name, low, high in SCRIPTS))
-    kinds = F.array(F.struct(F.lit("codepoint").alias("kind"), F.concat(F.lit("U+"), F.when(F.col("code") < 0x1000, F.lpad(F.hex("code"), 4, "0")).otherwise(F.hex("code"))).alias("value")), F.struct(F.lit("script").alias("kind"), script.alias("value")))
-    told = chars.select(*group, F.inline(kinds)).where("value IS NOT NULL").distinct()
-    return commands.unionByName(told)
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    point = F.concat(F.lit("U+"), F.when(F.col("code") < 0x1000, F.lpad(F.hex("code"), 4, "0")).otherwise(F.hex("code")))
+    told = F.when(F.col("kind") == "command", F.array(pair("command", F.col("value")))).otherwise(F.array(pair("codepoint", point), pair("script", script)))
+    return coded.select(*group, F.inline(told)).where("value IS NOT NULL").distinct()

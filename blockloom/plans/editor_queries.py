@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..operators import blocks, fulltext, latex, maintain, predicates, trees
 from ..sources import tables as sources
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from ..streaming import events as stream
 from .registry import Catalog
 
@@ -233,7 +233,8 @@ def deep_texts(t: Tables) -> DataFrame:
     inner = F.concat(F.lit('{"type":"p","attrs":{"text":"no","content":[{"text":"no"}]},"content":[{"n":1,"text":3},'), quoted(F.concat(F.lit('"q" \\ '), F.col("o_orderpriority"))), F.lit(',{"content":"[{\\"text\\":\\"no\\"}]"},[{"text":"\\u00e9"}]],"text":"own '), F.col("o_orderkey").cast("string"), F.lit('"}'))
     deep = F.concat(F.repeat(F.lit('{ "x": {"content":[{"text":"no"}]}, "content" : ['), depth), inner, F.repeat(F.lit("]}"), depth))
     content = F.concat(F.lit('{"content":['), deep, F.lit(',{"text":"last"}],"other":[{"text":"no"}]}'))
-    return trees.walked_texts(t.orders.select("o_orderkey", content.alias("c")), ["o_orderkey"], "c")
+    orders = spread(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    return trees.walked_texts(orders.select("o_orderkey", content.alias("c")), ["o_orderkey"], "c")
 
 
 @catalog.query(r"""

@@ -24,6 +24,11 @@ class Tables:
         return self[name]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many tasks as there are shuffle partitions: small rows of few files that become long texts, before they do."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def live(df: DataFrame, deleted_at: str = "deleted_at", include_deleted: bool = False) -> DataFrame:
     """Rows that are not soft-deleted; all of them on request, or if the table has no such column."""
     return df if include_deleted or deleted_at not in df.columns else df.where(F.col(deleted_at).isNull())
