@@ -2,6 +2,7 @@
 
 A document whose tokens are an array keeps them in order in its own row, so what depends on the tokens before needs no sort and
 no shuffle. The steps are the few that column functions lack: sums, pairs of brackets, numbers within groups. Null arrays give empty ones.
+What a lambda looks up by position should come from here or from a table: the optimizer puts other arrays' expressions into the lambda, to be computed for each element.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTS = T.ArrayType(T.IntegerType())
+RANKS, TOTALS = (T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in names])) for names in (("group", "no"), ("step", "total")))
 PAIRS = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("partner", "around", "depth")]))
 
 
@@ -42,10 +44,10 @@ def _sums(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
     return total[1:] - total[start]
 
 
-@F.arrow_udf(INTS)
+@F.arrow_udf(TOTALS)
 def _totals(steps: pa.Array) -> pa.Array:
     ends, _, start = _laid(steps)
-    return _listed(ends, pa.array(_sums(_numbers(steps, 0), start), pa.int32()))
+    return _listed(ends, pa.StructArray.from_arrays([steps.flatten(), pa.array(_sums(_numbers(steps, 0), start), pa.int32())], names=["step", "total"]))
 
 
 def _paired(opens: pa.Array, closes: pa.Array, same: pa.Array | None) -> pa.Array:
@@ -98,7 +100,7 @@ def _inside(opens: pa.Array, partners: pa.Array) -> pa.Array:
     return _listed(ends, pa.array(_sums(steps, start), pa.int32()))
 
 
-@F.arrow_udf(INTS)
+@F.arrow_udf(RANKS)
 def _ranks(groups: pa.Array) -> pa.Array:
     ends, row, _ = _laid(groups)
     group = _numbers(groups, -1)
@@ -109,7 +111,7 @@ def _ranks(groups: pa.Array) -> pa.Array:
     begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     out = np.full(len(row), -1)
     out[at] = np.arange(len(at)) - begin + 1
-    return _listed(ends, pa.array(out, pa.int32(), mask=out < 0))
+    return _listed(ends, pa.StructArray.from_arrays([groups.flatten(), pa.array(out, pa.int32(), mask=out < 0)], names=["group", "no"]))
 
 
 @F.arrow_udf(INTS)
@@ -127,7 +129,7 @@ def _latest(groups: pa.Array, flags: pa.Array) -> pa.Array:
 
 
 def totals(steps: Column) -> Column:
-    """array<int>: the sum of the steps up to each element, nulls as 0."""
+    """array<struct<step, total>>: the steps, and their sums up to each element, nulls as 0."""
     return _totals(steps)
 
 
@@ -146,7 +148,7 @@ def inside(opens: Column, partners: Column) -> Column:
 
 
 def ranks(groups: Column) -> Column:
-    """array<int>: the number of each element among those of its group so far, from 1; null without a group."""
+    """array<struct<group, no>>: the groups, and the number of each element among those of its group so far, from 1; null without a group."""
     return _ranks(groups)
 
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scans
+
 _VERBATIM = r"verbatim|lstlisting|minted|comment"
 _OPTION = r"(?:\[[^\]\[{}]*\])?"
 TOKEN = "|".join((
@@ -46,21 +48,27 @@ TRUE_IFS, FALSE_IFS = ("ifpdftex", "iftrue"), ("ifxetexorluatex", "ifxetex", "if
 MARKS = {"textbf": "bold", "textit": "italic", "emph": "italic", "underline": "underline", "texttt": "monospace"}
 
 
+def _kind(t: Column) -> Column:
+    first = F.left(t, F.lit(1))
+    return (
+        F.when(first != "\\", F.when(t == "{", "open").when(t == "}", "close").when(first == "$", "math").when(first == "%", "comment").otherwise("text"))
+        .when(t.rlike(rf"^\\begin\{{(?:{_VERBATIM})\*?\}}[\s\S]*\\end\{{"), "shield").when(t.rlike(r"^\\begin\{"), "begin").when(t.rlike(r"^\\end\{"), "end")
+        .when(t.rlike(r"^\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|^\\mintinline"), "verb").when(t.rlike(r"^\\[A-Za-z]"), "command").otherwise("escape")
+    )
+
+
+def _name(t: Column, kind: Column) -> Column:
+    return F.when(kind.isin("begin", "end", "shield"), F.regexp_extract(t, r"^\\(?:begin|end)\{([A-Za-z]+)", 1)).when(kind == "command", F.regexp_extract(t, r"^\\([A-Za-z]+)", 1))
+
+
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos (from 0), token, kind, name: the tokens in order; joined, they are the text again. A null text has none.
 
     kind: shield, verb, begin, end, command, escape, comment, math, open, close, text. name: of commands and environments, without star.
     """
     rows = docs.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    t, first = F.col("token"), F.left("token", F.lit(1))
-    kind = (
-        F.when(first != "\\", F.when(t == "{", "open").when(t == "}", "close").when(first == "$", "math").when(first == "%", "comment").otherwise("text"))
-        .when(t.rlike(rf"^\\begin\{{(?:{_VERBATIM})\*?\}}[\s\S]*\\end\{{"), "shield").when(t.rlike(r"^\\begin\{"), "begin").when(t.rlike(r"^\\end\{"), "end")
-        .when(t.rlike(r"^\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|^\\mintinline"), "verb").when(t.rlike(r"^\\[A-Za-z]"), "command").otherwise("escape")
-    )
-    rows = rows.withColumn("kind", kind)
-    name = F.when(F.col("kind").isin("begin", "end", "shield"), F.regexp_extract(t, r"^\\(?:begin|end)\{([A-Za-z]+)", 1)).when(F.col("kind") == "command", F.regexp_extract(t, r"^\\([A-Za-z]+)", 1))
-    return rows.withColumn("name", name)
+    rows = rows.withColumn("kind", _kind(F.col("token")))
+    return rows.withColumn("name", _name(F.col("token"), F.col("kind")))
 
 
 def _order(key: str) -> Window:
@@ -102,29 +110,35 @@ def _joined(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["token"]), "").alias("text"))
 
 
+def _token_array(text: Column) -> Column:
+    """array<struct<token, kind, name>>: the tokens of a text as in tokens(), in order."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.transform(F.transform(found, lambda t: F.struct(t.alias("token"), _kind(t).alias("kind"))), lambda x: F.struct(x["token"].alias("token"), x["kind"].alias("kind"), _name(x["token"], x["kind"]).alias("name")))
+
+
 def branches(docs: DataFrame, key: str, text: str, true: tuple[str, ...] = TRUE_IFS, false: tuple[str, ...] = FALSE_IFS) -> DataFrame:
-    """key, text: conditionals whose branch is known give way to it, nested to any depth; others, and those without an end, stay."""
-    rows = tokens(docs, key, text)
-    command = F.col("kind") == "command"
-    opens = command & F.col("name").rlike("^if[A-Za-z]+$") & ~F.col("name").isin("iff", "ifthenelse")
-    rows = paired(rows, key, opens, command & (F.col("name") == "fi"), "if")
-    inner = F.when(F.col("if_close"), F.col("if_depth") + 1).otherwise(F.col("if_depth"))  # of a mark: the level it belongs to
-    mark = F.col("if_open") | F.col("if_close") | (command & (F.col("name") == "else") & (F.col("if_depth") > 0))
-    rows = rows.withColumns({"mark": mark, "level": F.when(mark, inner).otherwise(-1)})
-    at = Window.partitionBy(key, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ruled = F.when(F.col("if_open"), F.when(F.col("name").isin(*true), "first").when(F.col("name").isin(*false), "second").otherwise("none"))
-    rows = rows.withColumn("rule", F.last(ruled, ignorenulls=True).over(at)).withColumn("turn", F.sum(F.col("if_open").cast("int")).over(at))
-    once = Window.partitionBy(key, "level", "turn").orderBy("pos")
-    second = (F.col("name") == "else") & (F.row_number().over(once) == 2)  # a further \else is text of the branch
-    known = F.col("mark") & (F.col("rule") != "none")
-    rows = rows.withColumns({"known": known & (F.col("if_open") | F.col("if_close") | second), "second": known & second})
-    dead = F.lag("second").over(once)  # for the end: whether \else came right before
-    both = F.max("second").over(Window.partitionBy(key, "level", "turn"))
-    ends = (F.col("rule") == F.when(both, "first").otherwise("second")).cast("int")  # what is dead up to the end: the second branch, or the only one
-    step = F.when(~F.col("known"), 0).when(F.col("if_open"), (F.col("rule") == "second").cast("int")).when(F.col("second"), F.when(F.col("rule") == "second", -1).otherwise(1)).otherwise(-ends)
-    rows = rows.withColumn("step", step).withColumn("dead", F.sum("step").over(_running(key)))
-    kept = rows.where(~F.col("known") & (F.col("dead") == 0))
-    return docs.select(key).distinct().join(_joined(kept, key), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """key, text: conditionals whose branch is known give way to it, nested to any depth; others, and those without an end, stay. A row for each document."""
+    rows = docs.select(key, _token_array(F.col(text)).alias("_t"))
+    command = lambda x: x["kind"] == "command"
+    opens = F.transform("_t", lambda x: command(x) & x["name"].startswith("if") & x["name"].rlike("^if[A-Za-z]+$") & ~x["name"].isin("iff", "ifthenelse"))
+    rows = rows.withColumn("_if", scans.pairs(opens, F.transform("_t", lambda x: command(x) & (x["name"] == "fi"))))
+    # a conditional's marks (its begin, each \\else, its end) are a group, named by where it begins
+    partner = lambda i: F.get("_if", i)["partner"]
+    group = F.transform("_t", lambda x, i: F.when(partner(i).isNotNull(), F.least(i, partner(i))).when(command(x) & (x["name"] == "else"), F.get("_if", i)["around"]))
+    rows = rows.withColumn("_marks", scans.ranks(group))
+
+    def step(x: Column, i: Column) -> Column:
+        """What begins (1) or ends (-1) to be dead at a mark of a known conditional; null for all else, a further \\else too, which is text of the branch."""
+        begin, no = F.get("_marks", i)["group"], F.get("_marks", i)["no"]
+        name = F.get("_t", begin)["name"]
+        first, second = name.isin(*true), name.isin(*false)
+        at_end = F.when(no > 2, first).otherwise(second)  # up to the end the second branch is dead, or the only one
+        mark = F.when(begin == i, second.cast("int")).when(x["name"] == "else", F.when(no == 2, F.when(second, -1).otherwise(1))).otherwise(-at_end.cast("int"))
+        return F.when(begin.isNotNull() & (first | second), mark)
+
+    rows = rows.withColumn("_dead", scans.totals(F.transform("_t", step)))
+    kept = F.transform("_t", lambda x, i: F.when(F.get("_dead", i)["step"].isNull() & (F.get("_dead", i)["total"] == 0), x["token"]))
+    return rows.select(key, F.array_join(kept, "").alias("text"))
 
 
 def inline_code(text: Column) -> Column:

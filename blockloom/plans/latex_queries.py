@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import latex
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from .registry import Catalog
 
 catalog = Catalog()
@@ -66,7 +66,8 @@ def latex_branches(t: Tables) -> DataFrame:
         "A", key, "\\ifxetex X\\ifpdftex P\\else Q\\fi Y\\else E", F.col("o_orderpriority"), "\\ifluatex L\\else M\\fi N\\fi B\\iftrue t", F.col("o_orderstatus"), "\\else f\\fi\\iffalse g\\fi \\ifmine u\\else v\\fi Z",
         F.repeat(F.lit("\\ifluatex lost \\iftrue too\\fi\\else "), depth), key, F.repeat(F.lit("\\fi"), depth), " \\iff \\verb", F.get(F.array(*map(F.lit, "|+!")), (F.col("o_orderkey") % 3).cast("int")), "\\fi ", key, F.get(F.array(*map(F.lit, "|+!")), (F.col("o_orderkey") % 3).cast("int")),
     )
-    out = latex.branches(t.orders.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    orders = spread(t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+    out = latex.branches(orders.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
     return out.select("o_orderkey", latex.inline_code(F.col("text")).alias("text"))
 
 
