@@ -110,9 +110,15 @@ def correlated_counts(t: Tables) -> DataFrame:
     SELECT n_name, count(DISTINCT s_suppkey) AS n_links, count(c_custkey) FILTER (c_acctbal > 0) AS n_uses_multiplied
     FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name""")
 def coverage_view_multiplied(t: Tables) -> DataFrame:
-    """The materialised view's own counts: two facts joined first, so uses are multiplied by links."""
-    joined = t.nation.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left").join(t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left")
-    return joined.groupBy("n_name").agg(F.count_distinct("s_suppkey").alias("n_links"), F.count(F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))).alias("n_uses_multiplied"))
+    """The materialised view's own counts: two facts joined first, so uses are multiplied by links. Each fact is counted by nation before the join, which then has a row for each nation."""
+    links = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_rows"))
+    uses = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))).alias("n_uses"))
+    nations = t.nation.select("n_nationkey", "n_name")
+    multiplied = nations.join(links, "n_nationkey", "left").join(uses, "n_nationkey", "left")
+    multiplied = multiplied.groupBy("n_name").agg(F.coalesce(F.sum(F.coalesce("n_rows", F.lit(1)) * F.col("n_uses")), F.lit(0).cast("long")).alias("n_uses_multiplied"))
+    linked = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(F.broadcast(nations), "n_nationkey")
+    distinct = linked.groupBy("n_name").agg(F.count_distinct("s_suppkey").alias("n_links"))
+    return multiplied.join(distinct, multiplied.n_name.eqNullSafe(distinct.n_name), "left").select(multiplied.n_name, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_uses_multiplied")
 
 
 @catalog.query("""
