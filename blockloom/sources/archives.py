@@ -6,16 +6,19 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import visible_text
 from ..operators.relational import first_per_key
+from .tables import scratch_folder
 
 #: Members that come from tools rather than authors.
 JUNK = r"(^|/)(__MACOSX|\.git|\.DS_Store|Thumbs\.db)(/|$)|/$|~$"
 MOST_BYTES = 5 << 20
+#: Members that a batch holds at most.
+BATCH_ROWS = 5_000
 
 
 def archives(spark: SparkSession, path: str, suffix: str = "*.zip") -> DataFrame:
@@ -27,17 +30,26 @@ def archives(spark: SparkSession, path: str, suffix: str = "*.zip") -> DataFrame
 def members(packed: DataFrame, most_bytes: int = MOST_BYTES, junk: str = JUNK) -> DataFrame:
     """path, member, size, data: a row per member; those over most_bytes have no data, and broken archives no members."""
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows, held = [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
                 except (zipfile.BadZipFile, TypeError):
                     continue
-                rows = [(path, i.filename, i.file_size, archive.read(i) if i.file_size <= most_bytes and not i.is_dir() else None) for i in archive.infolist()]
-                yield pd.DataFrame(rows, columns=["path", "member", "size", "data"])
-
-    found = packed.select("path", "content").mapInPandas(unzip, "path string, member string, size long, data binary")
+                for i in archive.infolist():
+                    data = archive.read(i) if i.file_size <= most_bytes and not i.is_dir() else None
+                    rows.append({"path": path, "member": i.filename, "size": i.file_size, "data": data})
+                    held += len(data or b"")
+                    if len(rows) >= BATCH_ROWS or held >= most_bytes:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
+    found = packed.select("path", "content").mapInArrow(unzip, "path string, member string, size long, data binary")
     return found.where(~F.col("member").rlike(junk))
 
 
@@ -47,16 +59,18 @@ def packed(parts: DataFrame, path: str = "path", member: str = "member", data: s
     An archive is a value of one row, so its members meet in one task.
     """
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("member", kind="stable")
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for name, part in zip(group["member"], group["data"], strict=True):
-                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), bytes(part), zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [out.getvalue()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for part in batch.column(1)[row].as_py():
+                        archive.writestr(zipfile.ZipInfo(part["member"], (1980, 1, 1, 0, 0, 0)), part["data"], zipfile.ZIP_DEFLATED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
 
     rows = parts.select(F.col(path).cast("string").alias("path"), F.col(member).alias("member"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data"))
-    return rows.where("path IS NOT NULL AND member IS NOT NULL").groupBy("path").applyInPandas(pack, "path string, content binary")
+    listed = rows.where("path IS NOT NULL AND member IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("member", "data"))).alias("parts"))
+    return listed.mapInArrow(pack, "path string, content binary")
 
 
 def as_text(data: str = "data") -> Column:
@@ -125,8 +139,10 @@ def docx_kind(df_text: Column, style: Column, bold: Column, numbered: Column) ->
 
 
 def epub_chapters(packed: DataFrame) -> DataFrame:
-    """path, pos, member, title, text: the content documents of e-books in reading order."""
-    inside = members(packed)
+    """path, pos, member, title, text: the content documents of e-books in reading order. The archives are unzipped once, into a table that the joins read."""
+    unzipped = scratch_folder(packed.sparkSession, "members")
+    members(packed).write.parquet(unzipped)
+    inside = packed.sparkSession.read.parquet(unzipped)
     package = inside.where(F.col("member").endswith(".opf")).select("path", as_text().alias("opf"), F.regexp_replace("member", "[^/]*$", "").alias("base"))
     spine = package.select("path", "opf", "base", F.posexplode(F.regexp_extract_all("opf", F.lit(r'<itemref[^>]*idref="([^"]+)"'), F.lit(1))).alias("pos", "id"))
     items = package.select("path", F.explode(F.regexp_extract_all("opf", F.lit(r"<item\s[^>]*>"), F.lit(0))).alias("item"))
