@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.shuffle import ExternalSorter
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +13,8 @@ from pyspark.sql.types import StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Memory of a worker from which the actions of a document are sorted on disk.
+SORT_MB = 512
 CHANGE = "document string, at long, seq long, user string, block string, change string"
 
 
@@ -30,7 +33,7 @@ class Documents(StatefulProcessor):
         self.locks = handle.getMapState("locks", "block string", "user string, since long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
+        for r in ExternalSorter(SORT_MB).sorted(rows, key=lambda r: (r.at, r.seq)):  # on the worker's disk beyond that
             user, block = (r.user,), (r.block,)
             change = lambda kind, b=None, u=r.user: Row(document=key[0], at=r.at, seq=r.seq, user=u, block=b, change=kind)  # noqa: B023, E731
             if r.action == "join" and not self.users.containsKey(user):
