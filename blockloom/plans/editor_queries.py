@@ -357,7 +357,7 @@ def unwrapped_commands(t: Tables) -> DataFrame:
     """LaTeX commands of one argument give way to it, up to eighteen nested ones too; others go with theirs."""
     depth = (F.col("c_custkey") % 9).cast("int")
     text = F.concat(F.lit("see "), F.repeat(F.lit("\\textbf{\\emph{"), depth), "c_name", F.repeat(F.lit("}}"), depth), F.lit(" now\\vspace{2mm} \\textit{"), "c_mktsegment", F.lit("}\\label{x}"))
-    found = latex.plain_spans(t.customer.select("c_custkey", text.alias("text")), "c_custkey", "text", drop=("vspace", "label"))
+    found = latex.plain_spans(spread(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", text.alias("text")), "c_custkey", "text", drop=("vspace", "label"))
     return found.select("c_custkey", F.col("plain").alias("text"))
 
 

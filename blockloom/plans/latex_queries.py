@@ -30,7 +30,8 @@ def order_documents(t: Tables) -> DataFrame:
         "\\begin{figure*}[h]\n\\includegraphics{a.png}\\caption{Of \\emph{", key, " {x}}}\\label{fig:", key, "}\n\\begin{tabular}{l@{\\hspace{1cm}}r}a & b\\end{tabular}\\end{figure*}\n",
         "\\begin{verbatim}\n\\begin{itemize} ", key, " \\section{q}\n\\end{verbatim}\n\\[ ", key, " \\begin{aligned}z\\end{aligned} \\]$$", key, "$$\n\\begin{odd}\\begin{even}e\\end{even}\\end{odd}\\end{quote}tail\n\\end{document}\nnot read",
     )
-    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", body.alias("body"))
+    orders = spread(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", body.alias("body"))
 
 
 @catalog.query(r"""
@@ -82,7 +83,7 @@ def latex_spans(t: Tables) -> DataFrame:
     """Offsets of nested marks in the plain text, through up to twelve levels; dropped commands and comments count nothing."""
     depth = (F.col("c_custkey") % 12 + 1).cast("int")
     text = _text("é Dear ", F.repeat(F.lit("\\textbf{"), depth), F.col("c_mktsegment"), "\\label{a{b}} \\emph {\\keep{", F.col("c_name"), "}}", F.repeat(F.lit("}"), depth), "\\vspace{2mm} 5\\% \\texttt{see}% \\emph{no}")
-    found = latex.plain_spans(t.customer.select("c_custkey", text.alias("text")), "c_custkey", "text", unwrap=("keep",), drop=("label", "vspace"))
+    found = latex.plain_spans(spread(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", text.alias("text")), "c_custkey", "text", unwrap=("keep",), drop=("label", "vspace"))
     return found.select("c_custkey", "plain", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["type"])), ",").alias("spans"))
 
 
@@ -94,5 +95,5 @@ def page_numbers(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     page = F.when(key % 7 == 3, "iv").otherwise((key % 900 + 1).cast("string"))
     entry = _text("\\relax \n\\newlabel{sec:", key.cast("string"), "}{{9}{99}}\n\\newlabel{blk-", (key % 5).cast("string"), "}{{1.", key.cast("string"), "{a}}{", page, "}{Of \\{ {\\bf x} {y}}{figure.1}{}}\n\\@writefile{toc}{\\contentsline {section}{\\numberline {1}T}{7}{}}\n")
-    files = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("aux"))
+    files = spread(t.orders.select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("aux"))
     return latex.page_map(files, "o_custkey", "aux")
