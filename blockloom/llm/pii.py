@@ -4,7 +4,7 @@ Fixed patterns give base spans. A character-level bidirectional LSTM with a CRF
 of each kind) adds what the patterns miss: it is trained in numpy on the corpus's own base spans, and on copies of them
 written in other ways (a phone without its +, digits grouped otherwise, an at sign in words), next to numbers that are none of these.
 
-A span of any of the kinds has a digit or an at sign. So text within REACH characters of one is cut into stretches, a
+A span of any of the kinds has a digit or an at sign, which may be written [at] or (at). So text within REACH characters of one is cut into stretches, a
 stretch into windows that overlap by half, and all are scored, whatever the length of the text. A character counts by the window
 in which it lies farthest from the ends, and one Viterbi path over the whole stretch decides, so spans across windows are whole.
 A span that the network finds is added if it touches no base span and is what it is called: so many digits,
@@ -50,6 +50,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGNS = re.compile("[0-9@]+")
+#: What every span holds, at signs in words too.
+_ANCHORS = re.compile(r"[0-9@]+|[\[(]at[\])]")
+_BREAK = re.compile(r"\s")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -322,12 +325,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within REACH of a digit or an at sign; parts that meet are one."""
+    """Parts of the text within REACH of a digit or an at sign, be it written [at] or (at), and to the ends of words there; parts that meet are one."""
     out: list[tuple[int, int]] = []
-    for m in _SIGNS.finditer(text):
+    for m in _ANCHORS.finditer(text):
         begin, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
+        known = out[-1][1] if out else 0
+        while begin > known and not text[begin - 1].isspace():
+            begin -= 1
+        if end > known:
+            stop = _BREAK.search(text, end)
+            end = stop.start() if stop else len(text)
+        if out and begin <= known:
+            out[-1] = (out[-1][0], max(end, known))
         else:
             out.append((begin, end))
     return out
