@@ -16,6 +16,8 @@ from .shared import table
 from .words import BLOCK_BYTES, encoded_lists, per_block, pieces, word_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Text that a task of the round trip works on at once.
+ROUNDTRIP_BYTES = 8 << 20
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -88,7 +90,7 @@ def encoded_digests(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES)
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ROUNDTRIP_BYTES)
 
 
 QUERIES = {"op1_bpe_roundtrip": op1_bpe_roundtrip}
