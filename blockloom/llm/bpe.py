@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import slices, table, trimmed
 from .words import BLOCK_BYTES, encoded_lists, per_block, pieces, word_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Text that a task of the round trip works on at once.
-ROUNDTRIP_BYTES = 8 << 20
+#: Words whose ids are looked up at once, and ids whose pieces are.
+PART_WORDS, PART_IDS = 100_000, 500_000
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -40,9 +40,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         ranks = unpacked(block["ranks"][0].as_py())
         n_words = block["n_words"].values.to_numpy()
-        each = counts[ranks]
-        flat = ids[_ranges(start[ranks], each)].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n_words)])]
+        ends = np.concatenate([[0], np.cumsum(counts[ranks])])[np.concatenate([[0], np.cumsum(n_words)])]
+        flat, at = np.empty(ends[-1], np.int32), 0
+        for k in range(0, len(ranks), PART_WORDS):
+            some = ranks[k : k + PART_WORDS]
+            found = ids[_ranges(start[some], counts[some])]
+            flat[at : at + len(found)] = found
+            at += len(found)
         return pa.table([block["ids"].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[id_col, "ids"])
 
     return per_block(texts, encoded_lists(lists, path, with_ids=True), finish, schema)
@@ -59,7 +63,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = pieces(path)
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, whole.column(ids_col), size=PART_IDS)):
             column = batch.column(ids_col)
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
             flat = column.flatten()
@@ -75,7 +79,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
                 out = pa.array([b.decode("utf-8", "replace") for b in text.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), out], names=schema.names)
 
-    return encoded.mapInArrow(join, schema)
+    return encoded.mapInArrow(trimmed(join), schema)
 
 
 def encoded_digests(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -90,7 +94,7 @@ def encoded_digests(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES)
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ROUNDTRIP_BYTES)
+    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES = {"op1_bpe_roundtrip": op1_bpe_roundtrip}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +103,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives the memory that a task no longer uses back to the system: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a partition's batches; what it held is released after its last batch."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        release()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``rows`` rows that begin no more than ``size`` bytes of text; a longer text is one of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    """The batch in slices of at most ``rows`` rows that begin no more than ``size`` bytes of text (or elements of lists); a longer one is one of its own."""
+    lengths = pc.list_value_length(texts) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

@@ -1,8 +1,8 @@
 """Word table shared by BPE encoding and token counting.
 
 Documents are split into words inside the scan tasks. Each task gathers its documents into blocks of
-``block_bytes`` of text and keeps, per block, the list of distinct words and the documents as ranks
-into it. So what is shuffled by word is one entry per (block, distinct word), however often a common
+``block_bytes`` of text, a slice at a time, and keeps, per block, the list of distinct words and the
+documents as ranks into it; of a slice only its words stay. Lists are compressed before they are stored and shuffled. So what is shuffled by word is one entry per (block, distinct word), however often a common
 word occurs, and what comes back to a block is one answer per distinct word. Blocks are written once
 to a table bucketed by block in the shared folder: both uses read the same bytes even if a task of
 the scan is run again, and the join back by block needs no exchange of the documents.
@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import catalog_name, fresh_path, partitions, slices, text_or_empty
+from .shared import catalog_name, fresh_path, partitions, release, slices, text_or_empty, trimmed
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 8 << 20
+#: Text that is split at once.
+SLICE_BYTES = 2 << 20
 #: Buckets of words for each shuffle partition. A task holds the words of one bucket at a time, up to MOST_KNOWN.
 BUCKETS = 4
+#: Buckets in all: each block has a list for each, and lists of few words compress badly.
+MOST_BUCKETS = 1024
 #: Words that a task remembers at most; with more in its bucket, some are encoded again.
-MOST_KNOWN = 4_000_000
+MOST_KNOWN = 500_000
+#: Compressed lists that are encoded at once.
+LIST_BYTES = 256 << 10
 #: Words that the library encodes in one call.
 CALL_WORDS = 5_000
 
@@ -172,36 +179,71 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _block(batches: list[pa.RecordBatch], specials: tuple[bytes, ...], buckets: int, counted: bool) -> dict:
-    """One block: ids and lengths of its texts, its words by bucket, and the texts as ranks (or counts of ranks)."""
-    whole = pa.Table.from_batches(batches).combine_chunks()
-    ids, texts = (whole.column(i).chunk(0) if whole.num_rows else whole.column(i).combine_chunks() for i in (0, 1))
+def packed_words(words: pa.Array) -> bytes:
+    """Zstandard over the number of the words (large_binary), their lengths as byte planes, and their bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    planes = np.ascontiguousarray(np.diff(offsets).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    data = memoryview(words.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    return zstandard.compress(np.array([len(words)], "<u4").tobytes() + planes.tobytes() + bytes(data), 3)
+
+
+def unpacked_words(blob: bytes) -> list[str]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, -1)
+    offsets = np.concatenate([[0], np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw).slice(4 + 4 * n)]).to_pylist()
+
+
+class _Part(NamedTuple):
+    """A slice of documents: copies of its ids, so that its texts can go, and its words by its own dictionary."""
+
+    ids: pa.Array
+    lengths: pa.Array
+    n_words: np.ndarray
+    coded: pa.DictionaryArray
+
+
+def _part(batch: pa.RecordBatch, specials: tuple[bytes, ...]) -> _Part:
+    ids, texts = batch.columns
     words, n_words = split(texts, specials)
-    coded = words.dictionary_encode()
-    first, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    order = np.argsort(-np.bincount(first, minlength=len(distinct)), kind="stable")
-    rank = np.empty(len(order), np.int64)
+    return _Part(ids.take(pa.array(np.arange(len(ids)))), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), n_words, words.dictionary_encode())
+
+
+def _counted(part: _Part, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text: how many, their ranks, how often they occur."""
+    texts = len(part.n_words)
+    key, times = np.unique(np.repeat(np.arange(texts), part.n_words) << 32 | ranks, return_counts=True)
+    return np.bincount(key >> 32, minlength=texts).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32), times.astype(np.uint32)
+
+
+def _block(parts: list[_Part], buckets: int, counted: bool) -> dict:
+    """One block: ids and lengths of its texts, its words by bucket, and the texts as ranks (or counts of ranks)."""
+    coded = pa.chunked_array([p.coded for p in parts]).unify_dictionaries()
+    distinct = coded.chunk(0).dictionary
+    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    distinct, ranks = distinct.take(pa.array(order)), rank[first]
+    distinct, ranks, n_words, times = distinct.take(pa.array(order)), rank[codes], [p.n_words for p in parts], b""
     bucket = (word_hash(distinct) % np.uint64(buckets)).astype(np.int64) if len(distinct) else np.empty(0, np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    listed = distinct.take(pa.array(by_bucket)).cast(pa.string())
-    lists = [{"bucket": b, "words": listed[ends[b] : ends[b + 1]]} for b in range(buckets) if ends[b + 1] > ends[b]]
-    times = b""
+    listed = distinct.take(pa.array(by_bucket))
+    lists = [(b, packed_words(listed[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b + 1] > ends[b]]
     if counted:
-        key, frequency = np.unique(np.repeat(np.arange(len(n_words)), n_words) << 32 | ranks, return_counts=True)
-        ranks, times = key & 0xFFFFFFFF, packed(frequency)
-        n_words = np.bincount(key >> 32, minlength=len(n_words)).astype(np.int32)
-    lengths = pc.fill_null(pc.binary_length(texts), 0)
-    return {"ids": ids, "lengths": lengths, "n_words": pa.array(n_words, pa.int32()), "ranks": packed(ranks), "times": times, "bucket": packed(bucket), "lists": lists}
+        own = np.split(ranks, np.cumsum([n.sum() for n in n_words])[:-1])
+        n_words, ranks, frequency = zip(*map(_counted, parts, own), strict=True)
+        ranks, times = np.concatenate(ranks), packed(np.concatenate(frequency))
+    ids, lengths = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+    return {"ids": ids, "lengths": lengths, "n_words": pa.array(np.concatenate(n_words), pa.int32()), "ranks": packed(ranks), "times": times, "bucket": packed(bucket), "lists": lists}
 
 
 def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted: bool, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(texts, lists): the blocks of the documents, and (block, bucket, words) of their distinct words."""
-    spark, buckets, specials = docs.sparkSession, BUCKETS * partitions(docs.sparkSession), special_strings(path)
+    """(texts, lists): the blocks of the documents, and (block, bucket, words) of their distinct words, as packed_words()."""
+    spark, buckets, specials = docs.sparkSession, min(MOST_BUCKETS, BUCKETS * partitions(docs.sparkSession)), special_strings(path)
     id_type = docs.schema[id_col].dataType
-    lists = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+    lists = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]))
     schema = T.StructType(
         [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("n_words", T.ArrayType(T.IntegerType()))]
         + [T.StructField(c, T.BinaryType()) for c in ("ranks", "times", "bucket")]
@@ -212,31 +254,27 @@ def word_blocks(docs: DataFrame, path: str, id_col: str, text_col: str, counted:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out() -> pa.RecordBatch:
-            b = _block(held, specials, buckets, counted)
+            b = _block(held, buckets, counted)
             list_of = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            each = b["lists"]
-            words = pa.concat_arrays([x["words"] for x in each]) if each else pa.array([], pa.string())
-            ends = np.cumsum([0, *(len(x["words"]) for x in each)])
-            nested = pa.StructArray.from_arrays([pa.array([x["bucket"] for x in each], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)], names=["bucket", "words"])
+            nested = pa.StructArray.from_arrays([pa.array([n for n, _ in b["lists"]], pa.int32()), pa.array([w for _, w in b["lists"]], pa.binary())], names=["bucket", "words"])
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), list_of(b["ids"]), list_of(b["lengths"].cast(pa.int64())), list_of(b["n_words"]), *(pa.array([b[c]], pa.binary()) for c in ("ranks", "times", "bucket")), list_of(nested)],
+                [pa.array([number], pa.int64()), list_of(b["ids"]), list_of(b["lengths"]), list_of(b["n_words"]), *(pa.array([b[c]], pa.binary()) for c in ("ranks", "times", "bucket")), list_of(nested)],
                 names=schema.names,
             )
 
         for batch in batches:
-            for some in slices(batch, batch.column(1), size=block_bytes // 4):
-                held.append(some)
-                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
+            for some in slices(batch, batch.column(1), size=min(SLICE_BYTES, block_bytes)):
+                held.append(_part(some, specials))
+                size += pc.sum(held[-1].lengths).as_py() or 0
                 if size >= block_bytes:
                     yield out()
                     number, held, size = number + 1, [], 0
-                    pa.default_memory_pool().release_unused()
         if held:
             yield out()
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     name = catalog_name("word_blocks")
-    (rows.mapInArrow(build, schema).write.option("compression", "zstd").option("path", fresh_path(spark, "word-blocks"))
+    (rows.mapInArrow(trimmed(build), schema).write.option("compression", "zstd").option("path", fresh_path(spark, "word-blocks"))
      .bucketBy(partitions(spark), "block").saveAsTable(name))
     blocks = spark.table(name)
     words = blocks.select("block", F.explode("lists").alias("list")).select("block", "list.bucket", "list.words")
@@ -289,19 +327,19 @@ def encoded_lists(lists: DataFrame, path: str, with_ids: bool) -> DataFrame:
                 batch = whole.slice(at, to - at)
                 if batch.column(1)[0].as_py() != now:
                     known, now = {}, batch.column(1)[0].as_py()
-                yield answers(batch, known)
+                for some in slices(batch, batch.column(2), size=LIST_BYTES):
+                    yield answers(some, known)
 
     def answers(batch: pa.RecordBatch, known: dict[str, bytes]) -> pa.RecordBatch:
-        column = batch.column(2)
-        offsets, words = column.offsets.to_numpy(), column.values.to_pylist()
-        words = words[offsets[0] : offsets[-1]]
+        lists = [unpacked_words(blob) for blob in batch.column(2).to_pylist()]
+        ends = np.cumsum([0, *map(len, lists)])
+        words = [w for own in lists for w in own]
         if len(known) > MOST_KNOWN:
             known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
         known.update(zip(new, encode_words(path, new), strict=True))
         found = [known[w] for w in words]
         counts = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        ends = offsets - offsets[0]
         blobs = [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] if with_ids else [b""] * batch.num_rows
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([packed(counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([packed(np.frombuffer(b, "<u4")) for b in blobs], pa.binary())],
@@ -309,7 +347,7 @@ def encoded_lists(lists: DataFrame, path: str, with_ids: bool) -> DataFrame:
         )
 
     dealt = lists.repartition(partitions(lists.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(encode, "block long, bucket int, counts binary, ids binary")
+    return dealt.mapInArrow(trimmed(encode), "block long, bucket int, counts binary, ids binary")
 
 
 def per_block(texts: DataFrame, answers: DataFrame, finish: Callable[[dict, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
@@ -335,6 +373,7 @@ def per_block(texts: DataFrame, answers: DataFrame, finish: Callable[[dict, np.n
             by_rank, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             by_rank[order], start[order] = counts, np.cumsum(counts) - counts
             parts.append(finish(block, by_rank, start, ids))
+        release()
         return pa.concat_tables(parts) if parts else arrow
 
     from pyspark.sql.pandas.types import to_arrow_schema
