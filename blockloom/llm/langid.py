@@ -10,7 +10,6 @@ hash of the id, and TRAIN_WINDOWS windows of each, spread over the whole text.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, slices, table, text_or_empty
+from .shared import crc_mod, slices, table, text_or_empty, trimmed
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -36,9 +35,11 @@ EPOCHS = 6
 BATCH = 128
 RATE = 0.01
 UNDETERMINED = "und"
-#: A clean text scores at least the score that LEAST_SHARE of the sample's texts do not exceed, and never needs more than LEAST_SCORE.
+#: A clean text scores at least the score that LEAST_SHARE of all labelled texts do not exceed, and never needs more than LEAST_SCORE.
 LEAST_SHARE = 0.005
 LEAST_SCORE = 0.6
+#: Scores are counted in so many cells between 0 and 1.
+CELLS = 1000
 
 
 @dataclass
@@ -188,14 +189,19 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     Other columns stay; columns named lang_pred or score are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    frame = docs.select(*kept, F.when(F.col(text_col).cast("string").rlike(r"\p{L}"), F.col(text_col).cast("string")).alias("score"))
+    text = F.col(text_col).cast("string")
+    letters = text.rlike(r"\p{L}")
+    plain = text_col in kept and docs.schema[text_col].dataType == T.StringType()  # then it travels once, beside a flag
+    at = kept.index(text_col) if plain else len(kept)
+    frame = docs.select(*kept, (letters if plain else F.when(letters, text)).alias("score"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.langs, UNDETERMINED], dtype=object)
         for whole in batches:
-            for batch in slices(whole, pc.fill_null(whole.column(len(kept)), ""), rows=200, size=2 << 20):
-                texts = batch.column(len(kept)).fill_null("").cast(pa.large_string())
+            for batch in slices(whole, whole.column(at), rows=200, size=2 << 20):
+                texts = pc.if_else(batch.column(len(kept)).fill_null(False), batch.column(at), "") if plain else batch.column(at)
+                texts = texts.fill_null("").cast(pa.large_string())
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
                 windows, text, size = cut_windows(data, offsets - offsets[0])
@@ -211,19 +217,21 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
                 score = np.where(known, mass.max(axis=1, initial=0) / np.maximum(weight, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=schema.names)
 
-    return frame.mapInArrow(apply, schema)
+    return frame.mapInArrow(trimmed(apply), schema)
 
 
-def least_score(texts: DataFrame, net: Network) -> float:
-    """The score below which a text is in none of the network's languages, fitted on training_texts().
+def least_score(predicted: DataFrame, net: Network, lang_col: str = "lang") -> float:
+    """The score below which a text is in none of the network's languages, from all rows of predict() that are labelled with one of these.
 
-    At most about LEAST_SHARE of texts like the sample's fall below it. 0 if there is nothing to fit on.
+    At most LEAST_SHARE of them fall below it; it is a multiple of 1 / CELLS. 0 if there is nothing to fit on.
     """
-    scores = sorted(r["score"] for r in predict(texts, net).where(F.col("lang_pred") != UNDETERMINED).select("score").collect())
-    if not scores:
+    labelled = predicted.where((F.col("lang_pred") != UNDETERMINED) & F.col(lang_col).cast("string").isin(net.langs))
+    counts = sorted(labelled.groupBy(F.floor(F.col("score") * CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    below = np.cumsum([r["n"] for r in counts])
+    if not len(below):
         return 0.0
-    fitted = scores[max(0, math.ceil(len(scores) * LEAST_SHARE - 1e-9) - 1)]
-    return min(LEAST_SCORE, fitted - 1e-3)  # sums of floats depend on the batch
+    fitted = counts[int(np.searchsorted(below, below[-1] * LEAST_SHARE, "right"))]["cell"] / CELLS
+    return min(LEAST_SCORE, fitted)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,16 +19,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages, with that language as ``lang``, whatever they were labelled.
 
-    Texts without a letter go, and those that score less than langid.least_score(): they are in another
-    language or in none. The model learns from the documents that have a language; if none has, nothing
+    Texts without a letter go, and those that score less than langid.least_score(), which all labelled texts
+    fix: they are in another language or in none. The model learns from the documents that have a language; if none has, nothing
     can be told and all with letters stay as they are.
     """
     rows = docs.select(*COLUMNS)
-    texts = langid.training_texts(rows)
-    net = langid.train_on(texts)
+    net = langid.train(rows)
     if not net.langs:
         return rows.where(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(rows, net).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= langid.least_score(texts, net)))
+    told = stored(langid.predict(rows, net).where(F.col("lang_pred") != langid.UNDETERMINED), "told-languages")
+    told = told.where(F.col("score") >= langid.least_score(told, net))
     return told.withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).select(*COLUMNS)
 
 
