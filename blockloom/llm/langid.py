@@ -223,14 +223,14 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
 def least_score(predicted: DataFrame, net: Network, lang_col: str = "lang") -> float:
     """The score below which a text is in none of the network's languages, from all rows of predict() that are labelled with one of these.
 
-    At most LEAST_SHARE of them fall below it; it is a multiple of 1 / CELLS. 0 if there is nothing to fit on.
+    Fewer than LEAST_SHARE of them fall below it; it is a multiple of 1 / CELLS. 0 if there is nothing to fit on.
     """
     labelled = predicted.where((F.col("lang_pred") != UNDETERMINED) & F.col(lang_col).cast("string").isin(net.langs))
     counts = sorted(labelled.groupBy(F.floor(F.col("score") * CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
     below = np.cumsum([r["n"] for r in counts])
     if not len(below):
         return 0.0
-    fitted = counts[int(np.searchsorted(below, below[-1] * LEAST_SHARE, "right"))]["cell"] / CELLS
+    fitted = counts[int(np.searchsorted(below, below[-1] * LEAST_SHARE - 1e-9))]["cell"] / CELLS
     return min(LEAST_SCORE, fitted)
 
 

@@ -19,3 +19,4 @@ def test_all_labelled_rows_fix_the_threshold(spark):
     assert least(spark, many, few, (60, "en", "de", 0.2), *other) == 0.2
     assert least(spark, (10, "en", "en", 1.0)) == langid.LEAST_SCORE
     assert least(spark, *other) == 0.0
+    assert least(spark, (1, "en", "en", 0.3), (199, "en", "en", 0.5)) == 0.3  # one of 200 is the share itself
