@@ -7,6 +7,9 @@ What a lambda looks up by position should come from here or from a table: the op
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +20,8 @@ from pyspark.sql import types as T
 INTS = T.ArrayType(T.IntegerType())
 RANKS, TOTALS = (T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in names])) for names in (("group", "no"), ("step", "total")))
 PAIRS = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("partner", "around", "depth")]))
+#: Elements that are worked on at once, unless a row has more: numbers of all of them are held several times over.
+SLICE = 200_000
 
 
 def _laid(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,6 +31,24 @@ def _laid(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends, np.repeat(np.arange(len(lengths)), lengths), np.repeat(ends[:-1], lengths)
 
 
+def slices(lists: pa.ListArray, most: int | None = None) -> list[tuple[int, int]]:
+    """First row and number of rows of stretches with no more elements than most (SLICE), or of one row; at least one stretch."""
+    ends = _laid(lists)[0]
+    cuts = [0]
+    while cuts[-1] < len(lists):
+        last = int(np.searchsorted(ends, ends[cuts[-1]] + (most or SLICE), side="right")) - 1
+        cuts.append(min(max(last, cuts[-1] + 1), len(lists)))
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)] or [(0, 0)]
+
+
+def _sliced(scan: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    @wraps(scan)
+    def run(*lists: pa.ListArray) -> pa.Array:
+        return pa.concat_arrays([scan(*(x.slice(*part) for x in lists)) for part in slices(lists[0])])
+
+    return run
+
+
 def _flags(lists: pa.ListArray) -> np.ndarray:
     return pc.fill_null(lists.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)
 
@@ -45,6 +68,7 @@ def _sums(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 @F.arrow_udf(TOTALS)
+@_sliced
 def _totals(steps: pa.Array) -> pa.Array:
     ends, _, start = _laid(steps)
     return _listed(ends, pa.StructArray.from_arrays([steps.flatten(), pa.array(_sums(_numbers(steps, 0), start), pa.int32())], names=["step", "total"]))
@@ -80,16 +104,19 @@ def _paired(opens: pa.Array, closes: pa.Array, same: pa.Array | None) -> pa.Arra
 
 
 @F.arrow_udf(PAIRS)
+@_sliced
 def _pairs(opens: pa.Array, closes: pa.Array) -> pa.Array:
     return _paired(opens, closes, None)
 
 
 @F.arrow_udf(PAIRS)
+@_sliced
 def _named_pairs(opens: pa.Array, closes: pa.Array, same: pa.Array) -> pa.Array:
     return _paired(opens, closes, same)
 
 
 @F.arrow_udf(INTS)
+@_sliced
 def _inside(opens: pa.Array, partners: pa.Array) -> pa.Array:
     ends, _, start = _laid(opens)
     partner = _numbers(partners, -1) + start
@@ -101,6 +128,7 @@ def _inside(opens: pa.Array, partners: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(RANKS)
+@_sliced
 def _ranks(groups: pa.Array) -> pa.Array:
     ends, row, _ = _laid(groups)
     group = _numbers(groups, -1)
@@ -115,6 +143,7 @@ def _ranks(groups: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(INTS)
+@_sliced
 def _latest(groups: pa.Array, flags: pa.Array) -> pa.Array:
     ends, row, start = _laid(groups)
     group, flag = _numbers(groups, -1), _flags(flags)

@@ -1,16 +1,20 @@
-r"""Nested JSON to rows, to any depth: tokens and running sums in place of a recursive walk.
+r"""Nested JSON to rows, to any depth.
 
-A value's enclosing containers are those that are open where it stands. What they have in common with a condition
+The texts of a block are read from its own row, value by value (walked_texts). Rows of all strings come from tokens and running
+sums in place of a recursive walk (json_strings): a value's enclosing containers are those that are open where it stands. What they have in common with a condition
 (a field's name, say) is a sum of +1 where such a container opens and -1 where it closes, so no level is counted out and no
 job runs per level. Tokens stay in the row of their text, as an array, so there is no sort and no shuffle by text. Broken JSON and nulls have no values.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scans
 
@@ -53,14 +57,51 @@ def json_strings(rows: DataFrame, keys: list[str], column: str, **within: Callab
     return _strings(rows, column, **within).select(*keys, F.inline("_strings"))
 
 
+def _fields(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    fields = dict(pairs)
+    if len(fields) < len(pairs):
+        raise ValueError("a name comes twice")
+    return fields
+
+
+def _refused(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_fields, parse_int=float, parse_constant=_refused)
+
+
+def _walked(content: str | None) -> str:
+    try:
+        block = _DECODER.decode(content or "")
+    except (ValueError, RecursionError):
+        return ""
+    if isinstance(block, dict) and isinstance(block.get("text"), str):
+        return block["text"]
+    found, left = [], [block]
+    while left:
+        value = left.pop()
+        if isinstance(value, dict):
+            if isinstance(value.get("text"), str):
+                found.append(value["text"])
+            value = value.get("content")
+        if isinstance(value, list):
+            left.extend(reversed(value))
+    return " ".join(found).strip(" ")
+
+
+@F.arrow_udf(T.StringType())
+def _walked_all(contents: pa.Array) -> pa.Array:
+    # one text at a time is held as Python values; half a surrogate pair becomes a question mark, as in the JVM
+    return pa.array([_walked(x.as_py()).encode("utf-8", "replace").decode() for x in contents], pa.string())
+
+
 def walked_texts(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys, text: the text of a block, else the texts of its nested content lists in order, joined by spaces; empty if there are none."""
-    off = lambda token, depth, field: (field.isNotNull() & ~((field == "content") & (token == "["))) & (depth > 1)
-    texts = _strings(rows.select(*keys, column), column, off=off).withColumn("_texts", F.filter("_strings", lambda x: (x["field"] == "text") & (x["off"] == 0)))
-    own = F.array_max(F.transform(F.filter("_texts", lambda x: x["depth"] == 1), lambda x: x["value"]))
-    ordered = F.array_sort(F.transform("_texts", lambda x: F.struct(x["parent"].alias("parent"), x["pos"].alias("pos"), x["value"].alias("value"))))
-    nested = F.trim(F.array_join(F.transform(ordered, lambda x: x["value"]), " "))
-    return texts.select(*keys, F.coalesce(own, nested, F.lit("")).alias("text"))
+    """keys, text: the text of a block, else the texts of its nested content lists in order, joined by spaces; empty if there are none.
+
+    A list in a list is walked, other fields are not. Broken JSON, names that come twice in an object too, and nulls are empty.
+    """
+    return rows.select(*keys, _walked_all(F.col(column)).alias("text"))
 
 
 def requirements(rows: DataFrame, keys: list[str], group: list[str], column: str) -> DataFrame:
