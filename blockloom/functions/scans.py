@@ -21,7 +21,7 @@ INTS = T.ArrayType(T.IntegerType())
 RANKS, TOTALS = (T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in names])) for names in (("group", "no"), ("step", "total")))
 PAIRS = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("partner", "around", "depth")]))
 #: Elements that are worked on at once, unless a row has more: numbers of all of them are held several times over.
-SLICE = 200_000
+SLICE = 100_000
 
 
 def _laid(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,33 +74,90 @@ def _totals(steps: pa.Array) -> pa.Array:
     return _listed(ends, pa.StructArray.from_arrays([steps.flatten(), pa.array(_sums(_numbers(steps, 0), start), pa.int32())], names=["step", "total"]))
 
 
+class Laid:
+    """Elements of rows one after another, and what windows by row compute of them, for many rows at a time.
+
+    row: the row of each element, rising. A place is an index into all elements; -1 stands for none.
+    """
+
+    def __init__(self, row: np.ndarray) -> None:
+        self.row, self.index = row, np.arange(len(row))
+        self.new = np.ones(len(row), bool)
+        self.new[1:] = row[1:] != row[:-1]
+        self.first = self.upto(self.new)
+
+    @staticmethod
+    def upto(flags: np.ndarray) -> np.ndarray:
+        """The place of the last flagged element up to each, of any row."""
+        return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
+
+    def sums(self, steps: np.ndarray) -> np.ndarray:
+        """Sums up to each element of its row."""
+        return _sums(steps, self.first)
+
+    def place(self, by: int) -> np.ndarray:
+        """Places of the elements that many after each (before, if by is negative), in the same row."""
+        at = np.clip(self.index + by, 0, max(len(self.row) - 1, 0))
+        return np.where((at == self.index + by) & (self.row[at] == self.row), at, -1)
+
+    def last(self, flags: np.ndarray) -> np.ndarray:
+        """Places of the last flagged element up to each, in the same row."""
+        at = self.upto(flags)
+        return np.where(at >= self.first, at, -1)
+
+    def grouped(self, groups: np.ndarray, walk: Callable[[Laid, np.ndarray], np.ndarray]) -> np.ndarray:
+        """What walk gives for the elements of each row and group in order; it gets them laid by group, and their places."""
+        key = self.row * (int(groups.max(initial=0)) + 1) + groups
+        at = np.argsort(key, kind="stable")
+        out = walk(Laid(key[at]), at)
+        back = np.empty_like(out)
+        back[at] = out
+        return back
+
+    def pairs(self, opens: np.ndarray, closes: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Partners (places) and depths of brackets, as in pairs()."""
+        n = len(self.row)
+        net = self.sums(opens.astype(np.int64) - closes)
+        apart = self.row * (2 * n + 2)  # rows lie so far apart that one's minimum is never another's
+        reach = net - np.minimum(np.minimum.accumulate(net - apart) + apart, 0)
+        before = picked(reach, self.place(-1), 0)
+        level = np.where(opens, reach, np.where(closes & (before > 0), before, 0))
+        at = np.flatnonzero(level > 0)
+        at = at[np.argsort(self.row[at] * (n + 1) + level[at], kind="stable")]
+        a, b = at[:-1], at[1:]
+        fits = (self.row[a] == self.row[b]) & (level[a] == level[b]) & opens[a] & ~opens[b]
+        if names is not None:
+            fits &= names[a] == names[b]
+        partner = np.full(n, -1)
+        partner[a[fits]], partner[b[fits]] = b[fits], a[fits]
+        return partner, self.sums(np.where(partner < 0, 0, np.where(opens, 1, -1)))
+
+    def around(self, opens: np.ndarray, partner: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Places of the opens of the innermost pairs that elements lie in, not their own."""
+        n, first = len(self.row), opens & (partner >= 0)
+        outside = depth - first
+        place = lambda which, depths: (self.row[which] * (n + 1) + depths) * (n + 1) + which
+        owners = np.flatnonzero(first)
+        owners = owners[np.argsort(place(owners, depth[owners]), kind="stable")]
+        inner = np.flatnonzero(outside > 0)
+        around = np.full(n, -1)
+        if len(inner):
+            around[inner] = owners[np.searchsorted(place(owners, depth[owners]), place(inner, outside[inner])) - 1]
+        return around
+
+
+def picked(values: np.ndarray, places: np.ndarray, missing: object) -> np.ndarray:
+    """The values at the places, missing where there is none."""
+    return np.where(places >= 0, values[places], missing) if len(values) else np.full(len(places), missing)
+
+
 def _paired(opens: pa.Array, closes: pa.Array, same: pa.Array | None) -> pa.Array:
     ends, row, start = _laid(opens)
-    n, index = len(row), np.arange(len(row))
-    o, c = _flags(opens), _flags(closes)
-    net = _sums(o.astype(np.int64) - c, start)
-    apart = row * (2 * n + 2)  # rows lie so far apart that one's minimum is never another's
-    reach = net - np.minimum(np.minimum.accumulate(net - apart) + apart, 0) if n else net
-    before = np.where(index > start, np.concatenate([[0], reach[:-1]]), 0) if n else reach
-    level = np.where(o, reach, np.where(c & (before > 0), before, 0))
-    at = np.flatnonzero(level > 0)
-    at = at[np.lexsort((at, level[at], row[at]))]
-    a, b = at[:-1], at[1:]
-    names = np.zeros(n, np.int64) if same is None else pc.fill_null(same.flatten().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-    fits = (row[a] == row[b]) & (level[a] == level[b]) & o[a] & ~o[b] & (names[a] == names[b])
-    partner = np.full(n, -1)
-    partner[a[fits]], partner[b[fits]] = b[fits], a[fits]
-    first = o & (partner >= 0)
-    depth = _sums(np.where(partner < 0, 0, np.where(o, 1, -1)), start)
-    outside = depth - first
-    place = lambda which, depths: (row[which] * (n + 1) + depths) * (n + 1) + which
-    owners = np.flatnonzero(first)
-    owners = owners[np.argsort(place(owners, depth[owners]), kind="stable")]
-    inner = np.flatnonzero(outside > 0)
-    around = np.full(n, -1)
-    around[inner] = owners[np.searchsorted(place(owners, depth[owners]), place(inner, outside[inner])) - 1] if len(inner) else around[inner]
+    laid, o, c = Laid(row), _flags(opens), _flags(closes)
+    names = None if same is None else pc.fill_null(same.flatten().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    partner, depth = laid.pairs(o, c, names)
     number = lambda x: pa.array(x - start, pa.int32(), mask=x < 0)
-    return _listed(ends, pa.StructArray.from_arrays([number(partner), number(around), pa.array(depth, pa.int32())], names=["partner", "around", "depth"]))
+    return _listed(ends, pa.StructArray.from_arrays([number(partner), number(laid.around(o, partner, depth)), pa.array(depth, pa.int32())], names=["partner", "around", "depth"]))
 
 
 @F.arrow_udf(PAIRS)

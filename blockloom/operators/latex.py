@@ -5,17 +5,26 @@ inline verbatim are one token each, comments too. Brackets of any kind form a mo
 closes, less its running minimum, is the depth, and strays fall out; at a depth, opens and closes alternate, so the next row
 there is the partner. Depths of braces, environments, conditionals and lists come from this one step, whatever the nesting.
 
-All functions take a frame with a document key and a text. Windows run by document, so no document waits for another;
-a document's rows are sorted once and held by no more than a window's frame. Optional arguments in square
-brackets are read with the command before them unless they hold braces.
+All functions take a frame with a document key and a text, and give a row, or rows, for each of its rows. The tokens of a
+document are an array in its own row, cut by Spark; Arrow batches of them are worked on in slices of many documents, so
+there is no sort and no shuffle of tokens. Optional arguments in square brackets are read with the command before them unless
+they hold braces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scans
+from ..functions.scans import picked
 
 _VERBATIM = r"verbatim|lstlisting|minted|comment"
 _OPTION = r"(?:\[[^\]\[{}]*\])?"
@@ -48,97 +57,149 @@ TRUE_IFS, FALSE_IFS = ("ifpdftex", "iftrue"), ("ifxetexorluatex", "ifxetex", "if
 MARKS = {"textbf": "bold", "textit": "italic", "emph": "italic", "underline": "underline", "texttt": "monospace"}
 
 
-def _kind(t: Column) -> Column:
-    first = F.left(t, F.lit(1))
-    return (
-        F.when(first != "\\", F.when(t == "{", "open").when(t == "}", "close").when(first == "$", "math").when(first == "%", "comment").otherwise("text"))
-        .when(t.rlike(rf"^\\begin\{{(?:{_VERBATIM})\*?\}}[\s\S]*\\end\{{"), "shield").when(t.rlike(r"^\\begin\{"), "begin").when(t.rlike(r"^\\end\{"), "end")
-        .when(t.rlike(r"^\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|^\\mintinline"), "verb").when(t.rlike(r"^\\[A-Za-z]"), "command").otherwise("escape")
-    )
-
-
-def _name(t: Column, kind: Column) -> Column:
-    return F.when(kind.isin("begin", "end", "shield"), F.regexp_extract(t, r"^\\(?:begin|end)\{([A-Za-z]+)", 1)).when(kind == "command", F.regexp_extract(t, r"^\\([A-Za-z]+)", 1))
-
-
-def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos (from 0), token, kind, name: the tokens in order; joined, they are the text again. A null text has none.
-
-    kind: shield, verb, begin, end, command, escape, comment, math, open, close, text. name: of commands and environments, without star.
-    """
-    rows = docs.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    rows = rows.withColumn("kind", _kind(F.col("token")))
-    return rows.withColumn("name", _name(F.col("token"), F.col("kind")))
-
-
-def _order(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("pos")
-
-
-def _running(key: str) -> Window:
-    return _order(key).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _count(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def paired(rows: DataFrame, key: str, opens: Column, closes: Column, prefix: str, same: str | None = None) -> DataFrame:
-    """Adds <prefix>_partner, the position of an open's close and of a close's open, null elsewhere and for strays, and
-    <prefix>_depth, the number of pairs that are open after the row. same: a column in which the two have to agree.
-    """
-    p = lambda name: f"{prefix}_{name}"
-    order, running = _order(key), _running(key)
-    rows = rows.withColumns({p("open"): F.coalesce(opens, F.lit(False)), p("close"): F.coalesce(closes, F.lit(False))})
-    rows = rows.withColumn(p("net"), F.sum(F.col(p("open")).cast("int") - F.col(p("close")).cast("int")).over(running))
-    rows = rows.withColumn(p("reach"), F.col(p("net")) - F.least(F.min(p("net")).over(running), F.lit(0)))
-    before = F.coalesce(F.lag(p("reach")).over(order), F.lit(0))
-    rows = rows.withColumn(p("level"), F.when(F.col(p("open")), F.col(p("reach"))).when(F.col(p("close")) & (before > 0), before).otherwise(0))
-    at = Window.partitionBy(key, p("level")).orderBy("pos")
-    mark = F.struct("pos", F.col(p("open")).alias("open"), (F.col(same) if same else F.lit(0)).alias("same"))
-    after, last = F.lead(mark).over(at), F.lag(mark).over(at)
-    fits = lambda x, open_: (F.col(p("level")) > 0) & (x["open"] == F.lit(open_)) & x["same"].eqNullSafe(mark["same"])
-    rows = rows.withColumn(p("partner"), F.when(F.col(p("open")) & fits(after, False), after["pos"]).when(F.col(p("close")) & fits(last, True), last["pos"]))
-    whole = F.col(p("partner")).isNotNull()
-    rows = rows.withColumn(p("depth"), F.sum(F.when(whole, F.col(p("open")).cast("int") - F.col(p("close")).cast("int")).otherwise(0)).over(running))
-    return rows.withColumns({p("open"): F.col(p("open")) & whole, p("close"): F.col(p("close")) & whole}).drop(p("net"), p("reach"), p("level"))
-
-
-def _joined(rows: DataFrame, key: str) -> DataFrame:
-    """key, text: tokens put together again."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["token"]), "").alias("text"))
-
-
-def _token_array(text: Column) -> Column:
-    """array<struct<token, kind, name>>: the tokens of a text as in tokens(), in order."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(F.transform(found, lambda t: F.struct(t.alias("token"), _kind(t).alias("kind"))), lambda x: F.struct(x["token"].alias("token"), x["kind"].alias("kind"), _name(x["token"], x["kind"]).alias("name")))
+TEXT, OPEN, CLOSE, MATH, COMMENT, SHIELD, BEGIN, END, VERB, COMMAND, ESCAPE = range(11)
+_STARTS = (
+    (SHIELD, rf"\\begin\{{(?:{_VERBATIM})\*?\}}[\s\S]*\\end\{{"), (BEGIN, r"\\begin\{"), (END, r"\\end\{"),
+    (VERB, r"\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|\\mintinline"), (COMMAND, r"\\[A-Za-z]"),
+)
+_STARTS = tuple((kind, re.compile(pattern, re.ASCII)) for kind, pattern in _STARTS)
+_NAMES = {BEGIN: (named := re.compile(r"\\(?:begin|end)\{([A-Za-z]+)")), END: named, SHIELD: named, COMMAND: re.compile(r"\\([A-Za-z]+)")}
+_BLANK = re.compile(r"\s*[\u0085\u2028\u2029]?", re.ASCII)
+
+
+def _kind(token: str) -> int:
+    if token[0] != "\\":
+        return {"{": OPEN, "}": CLOSE, "$": MATH, "%": COMMENT}.get(token[0], TEXT)
+    return next((kind for kind, pattern in _STARTS if pattern.match(token)), ESCAPE)
+
+
+def _tokens(text: Column) -> Column:
+    """array<string>: the tokens in order; joined, they are the text again. A null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+class _Tokens(scans.Laid):
+    """The tokens of some documents. kind: one of the above; name: a number for that of a command or environment, without star, else 0; blank: whether a token is only space."""
+
+    def __init__(self, texts: pa.Array, codes: np.ndarray, row: np.ndarray, told: tuple[np.ndarray, ...], numbers: dict[str, int]) -> None:
+        super().__init__(row)
+        self.texts, self.codes, self.told, self.numbers = texts, codes, told, numbers
+        self.kind, self.name, self.blank = (x[codes] for x in told)
+
+    @classmethod
+    def of(cls, lists: pa.ListArray) -> _Tokens:
+        """Each different token is looked at once."""
+        flat = lists.flatten().dictionary_encode()
+        texts = flat.dictionary
+        kinds, names, blanks, numbers = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), {}
+        for i, token in enumerate(texts.to_pylist()):
+            kinds[i] = kind = _kind(token)
+            found = _NAMES[kind].match(token) if kind in _NAMES else None
+            names[i] = numbers.setdefault(found[1], len(numbers) + 1) if found else 0
+            blanks[i] = _BLANK.fullmatch(token) is not None
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return cls(texts, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), (kinds, names, blanks), numbers)
+
+    def where(self, keep: np.ndarray) -> _Tokens:
+        return _Tokens(self.texts, self.codes[keep], self.row[keep], self.told, self.numbers)
+
+    def reads(self, text: str) -> np.ndarray:
+        """Whether a token is this text."""
+        return pc.equal(self.texts, text).to_numpy(zero_copy_only=False)[self.codes]
+
+    def named(self, names: Iterable[str], of: np.ndarray | None = None) -> np.ndarray:
+        """Whether the name, or a number in its place, is one of these."""
+        return self.number(dict.fromkeys(names, 1), self.name if of is None else of, 0) == 1
+
+    def number(self, values: dict[str, int], of: np.ndarray, missing: int) -> np.ndarray:
+        """Values by name, for numbers of names."""
+        out = np.full(len(self.numbers) + 1, missing)
+        for name, value in values.items():
+            if name in self.numbers:
+                out[self.numbers[name]] = value
+        return out[of]
+
+    def joined(self, groups: np.ndarray, n: int, keep: np.ndarray, texts: pa.Array | None = None) -> pa.Array:
+        """The kept tokens of each of n groups, in order, as one text; groups are numbers from 0."""
+        at = np.flatnonzero(keep)
+        at = at[np.argsort(groups[at], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(groups[at], minlength=n))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), (self.texts if texts is None else texts).take(pa.array(self.codes[at]))), "")
+
+
+class _Braces:
+    """Pairs of braces. open, close: of whole pairs; argument: the number of the argument that a brace opens, owner (a name) and of (a kind): the command or environment before the first one; 0, 0 and -1 for others."""
+
+    def __init__(self, t: _Tokens) -> None:
+        opens = t.kind == OPEN
+        self.partner, self.depth = t.pairs(opens, t.kind == CLOSE)
+        self.open, self.close = opens & (self.partner >= 0), ~opens & (self.partner >= 0)
+        blank = t.blank & (t.kind == TEXT)
+        one, two = t.place(-1), t.place(-2)
+        before = np.where(picked(blank, one, False).astype(bool), two, one)
+        calls = np.isin(picked(t.kind, before, TEXT), (COMMAND, BEGIN))
+        first = self.open & ~picked(self.close, before, False).astype(bool)
+        level = np.where(self.open, self.depth, np.where(self.close, self.depth + 1, 0))
+        begin = t.grouped(level, lambda laid, at: picked(at, laid.last(first[at]), -1))
+        count = t.grouped(level, lambda laid, at: laid.sums(self.open[at].astype(np.int64)))
+        owner = np.where(calls, picked(t.name, before, 0), 0)
+        held = self.open & (begin >= 0) & (picked(owner, begin, 0) > 0)
+        self.argument = np.where(held, count - picked(count, begin, 0) + 1, 0)
+        self.owner = np.where(held, picked(owner, begin, 0), 0)
+        self.of = np.where(held, picked(picked(t.kind, before, -1), begin, -1), -1)
+
+    def where(self, keep: np.ndarray) -> _Braces:
+        """Those of the kept tokens; a partner that goes is none."""
+        out, place = object.__new__(_Braces), np.where(keep, np.cumsum(keep) - 1, -1)
+        for name, values in vars(self).items():
+            setattr(out, name, values[keep])
+        out.partner = picked(place, out.partner, -1)
+        return out
+
+    def inside(self, t: _Tokens, test: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs that the test picks: whether they open at a token, whether it lies in one (its braces included), and how many have opened."""
+        opens = test & self.open
+        shuts = self.close & picked(opens, self.partner, False).astype(bool)
+        return opens, (t.sums(opens.astype(np.int64) - shuts) > 0) | shuts, t.sums(opens.astype(np.int64))
+
+
+def _by_slices(kind: T.DataType, walk: Callable[..., pa.Array]) -> Callable[..., Column]:
+    """A column function of token arrays: walk gets the tokens of some documents, and how many these are."""
+
+    @F.arrow_udf(kind)
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([walk(_Tokens.of(lists.slice(*part)), part[1]) for part in scans.slices(lists)])
+
+    return run
+
+
+def _listed(rows: np.ndarray, n: int, **columns: pa.Array) -> pa.Array:
+    """Lists of structs, one for each of n documents; rows: the document of each struct, rising."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
 def branches(docs: DataFrame, key: str, text: str, true: tuple[str, ...] = TRUE_IFS, false: tuple[str, ...] = FALSE_IFS) -> DataFrame:
     """key, text: conditionals whose branch is known give way to it, nested to any depth; others, and those without an end, stay. A row for each document."""
-    rows = docs.select(key, _token_array(F.col(text)).alias("_t"))
-    command = lambda x: x["kind"] == "command"
-    opens = F.transform("_t", lambda x: command(x) & x["name"].startswith("if") & x["name"].rlike("^if[A-Za-z]+$") & ~x["name"].isin("iff", "ifthenelse"))
-    rows = rows.withColumn("_if", scans.pairs(opens, F.transform("_t", lambda x: command(x) & (x["name"] == "fi"))))
-    # a conditional's marks (its begin, each \\else, its end) are a group, named by where it begins
-    partner = lambda i: F.get("_if", i)["partner"]
-    group = F.transform("_t", lambda x, i: F.when(partner(i).isNotNull(), F.least(i, partner(i))).when(command(x) & (x["name"] == "else"), F.get("_if", i)["around"]))
-    rows = rows.withColumn("_marks", scans.ranks(group))
-
-    def step(x: Column, i: Column) -> Column:
-        """What begins (1) or ends (-1) to be dead at a mark of a known conditional; null for all else, a further \\else too, which is text of the branch."""
-        begin, no = F.get("_marks", i)["group"], F.get("_marks", i)["no"]
-        name = F.get("_t", begin)["name"]
-        first, second = name.isin(*true), name.isin(*false)
-        at_end = F.when(no > 2, first).otherwise(second)  # up to the end the second branch is dead, or the only one
-        mark = F.when(begin == i, second.cast("int")).when(x["name"] == "else", F.when(no == 2, F.when(second, -1).otherwise(1))).otherwise(-at_end.cast("int"))
-        return F.when(begin.isNotNull() & (first | second), mark)
-
-    rows = rows.withColumn("_dead", scans.totals(F.transform("_t", step)))
-    kept = F.transform("_t", lambda x, i: F.when(F.get("_dead", i)["step"].isNull() & (F.get("_dead", i)["total"] == 0), x["token"]))
-    return rows.select(key, F.array_join(kept, "").alias("text"))
+
+    def walk(t: _Tokens, n: int) -> pa.Array:
+        command = t.kind == COMMAND
+        opens = command & t.named(x for x in t.numbers if x.startswith("if") and x not in ("if", "iff", "ifthenelse"))
+        partner, depth = t.pairs(opens, command & t.named(["fi"]))
+        # a conditional's marks (its begin, each \\else, its end) are a group, named by where it begins
+        other = command & t.named(["else"])
+        begin = np.where(partner >= 0, np.minimum(t.index, partner), np.where(other, t.around(opens, partner, depth), -1))
+        no = t.grouped(begin + 1, lambda laid, _: laid.index - laid.first + 1)
+        name = picked(t.name, begin, 0)
+        first, second = t.named(true, name), t.named(false, name)
+        # what begins (1) or ends (-1) to be dead at a mark of a known conditional; a further \\else is text of the branch
+        at_end = np.where(no > 2, first, second)  # up to the end the second branch is dead, or the only one
+        step = np.where(begin == t.index, second, np.where(other, np.where(second, -1, 1), -at_end.astype(np.int64)))
+        mark = (first | second) & ~(other & (no > 2))
+        dead = t.sums(np.where(mark, step, 0))
+        return t.joined(t.row, n, ~mark & (dead == 0))
+
+    return docs.select(key, _by_slices(T.StringType(), walk)(_tokens(F.col(text))).alias("text"))
 
 
 def inline_code(text: Column) -> Column:
@@ -165,32 +226,7 @@ def normalised(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"^{wide}"), columns(x)).otherwise(x)), "")
 
 
-def _arguments(rows: DataFrame, key: str) -> DataFrame:
-    """Adds to braces that open an argument its number and owner, the name of the command or environment before the first one, and of, which of the two; null for others."""
-    rows = paired(rows, key, F.col("kind") == "open", F.col("kind") == "close", "brace")
-    order = _order(key)
-    blank = (F.col("kind") == "text") & F.col("token").rlike(r"^\s*$")
-    rows = rows.withColumn("_seen", F.struct("kind", "name", F.col("brace_close").alias("closes"), blank.alias("blank")))
-    before = F.when(F.lag("_seen").over(order)["blank"], F.lag("_seen", 2).over(order)).otherwise(F.lag("_seen").over(order))
-    owner = F.struct(F.when(before["kind"].isin("command", "begin"), before["name"]).alias("owner"), before["kind"].alias("of"))
-    rows = rows.withColumn("_first", F.when(F.col("brace_open") & ~F.coalesce(before["closes"], F.lit(False)), owner))
-    rows = rows.withColumn("_level", F.when(F.col("brace_open"), F.col("brace_depth")).when(F.col("brace_close"), F.col("brace_depth") + 1).otherwise(0))
-    at = Window.partitionBy(key, "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_no": F.sum(F.col("brace_open").cast("int")).over(at), "_last": F.last("_first", ignorenulls=True).over(at)})
-    base = F.last(F.when(F.col("_first").isNotNull(), F.col("_no")), ignorenulls=True).over(at)
-    is_argument = F.col("brace_open") & (F.col("_level") > 0) & F.col("_last")["owner"].isNotNull()
-    rows = rows.withColumns({"argument": F.when(is_argument, F.col("_no") - base + 1), "owner": F.when(is_argument, F.col("_last")["owner"]), "of": F.when(is_argument, F.col("_last")["of"])})
-    return rows.drop("_seen", "_first", "_no", "_last")
-
-
-def _inside(rows: DataFrame, key: str, **opens: Column) -> DataFrame:
-    """Adds for each name whether a row stands in a brace pair that the condition picks (its braces included), as <name>_no which one, and as _<name> whether it opens it."""
-    rows = rows.withColumns({f"_{name}": F.coalesce(test & F.col("brace_open"), F.lit(False)) for name, test in opens.items()})
-    at = Window.partitionBy(key, "_level").orderBy("pos")
-    rows = rows.withColumns({f"_{name}_shut": F.col("brace_close") & F.coalesce(F.lag(f"_{name}").over(at), F.lit(False)) for name in opens})
-    depth = lambda name: F.sum(F.col(f"_{name}").cast("int") - F.col(f"_{name}_shut").cast("int")).over(_running(key))
-    rows = rows.withColumns({name: (depth(name) > 0) | F.col(f"_{name}_shut") for name in opens} | {f"{name}_no": F.sum(F.col(f"_{name}").cast("int")).over(_running(key)) for name in opens})
-    return rows.drop(*(f"_{name}_shut" for name in opens))
+_SPANS = T.StructType().add("plain", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("type", T.StringType())))
 
 
 def plain_spans(docs: DataFrame, key: str, text: str, marks: dict[str, str] = MARKS, unwrap: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
@@ -200,33 +236,111 @@ def plain_spans(docs: DataFrame, key: str, text: str, marks: dict[str, str] = MA
     argument. Offsets are running sums of what is kept, so they refer to the plain text. Comments go; escaped signs lose
     their backslash; a command without its argument stays. Spans are ordered by start, the longer first, then by type; a null text is empty.
     """
-    rows = _arguments(tokens(docs, key, text).where("kind <> 'comment'"), key)
-    known = [*marks, *unwrap, *drop]
-    own = F.col("brace_open") & (F.col("argument") == 1) & F.col("owner").isin(*known)
-    rows = rows.withColumn("_own", F.coalesce(own, F.lit(False)))
-    at = Window.partitionBy(key, "_level").orderBy("pos")
-    rows = rows.withColumn("_shut", F.col("brace_close") & F.coalesce(F.lag("_own").over(at), F.lit(False)))
-    rows = rows.withColumn("_type", F.when(F.col("_own"), F.col("owner")).when(F.col("_shut"), F.lag("owner").over(at)))
-    order = _order(key)
-    follows = F.coalesce(F.lead("_own").over(order), F.lit(False)) | (F.lead("token").over(order).rlike(r"^\s*$") & F.coalesce(F.lead("_own", 2).over(order), F.lit(False)))
-    called = (F.col("kind") == "command") & F.col("name").isin(*known) & F.coalesce(follows, F.lit(False))
-    rows = rows.withColumn("_called", called)
-    rows = rows.withColumn("_gap", F.col("token").rlike(r"^\s*$") & F.coalesce(F.lag("_called").over(order), F.lit(False)))
-    dropped = F.sum(F.when(F.col("_own") & F.col("_type").isin(*drop), 1).when(F.col("_shut") & F.col("_type").isin(*drop), -1).otherwise(0)).over(_running(key)) if drop else F.lit(0)
-    gone = F.col("_called") | F.col("_gap") | F.col("_own") | F.col("_shut") | (dropped > 0)
-    shown = F.when((F.col("kind") == "escape") & F.col("token").rlike(r"^\\[#$%&_{}]$"), F.substring("token", 2, 1)).otherwise(F.col("token"))
-    rows = rows.withColumn("token", F.when(gone, "").otherwise(shown)).withColumn("_dropped", dropped)
-    rows = rows.withColumn("_start", F.sum(F.length("token")).over(_running(key)) - F.length("token"))
-    end = F.lead("_start").over(at)
-    kinds = F.create_map(*(F.lit(x) for pair in marks.items() for x in pair))
-    rows = rows.withColumn("_end", end)
-    span = F.when(F.col("_own") & F.col("owner").isin(*marks) & (F.col("_dropped") == 0), F.struct(F.col("_start").alias("start"), (F.col("_end") - F.col("_start")).alias("length"), kinds[F.col("owner")].alias("type")))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    order_of = F.array_sort(F.collect_list(F.when(span.isNotNull(), F.struct(span["start"].alias("start"), (-span["length"]).alias("less"), span["type"].alias("type")))))
-    found = rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["token"]), "").alias("plain"), order_of.alias("spans"))
-    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["less"]).alias("length"), s["type"].alias("type")))
-    empty = F.array().cast("array<struct<start:bigint,length:bigint,type:string>>")
-    return docs.select(key).distinct().join(found, key, "left").select(key, F.coalesce("plain", F.lit("")).alias("plain"), F.coalesce(spans, empty).alias("spans"))
+    known, kinds = [*marks, *unwrap, *drop], sorted(set(marks.values()))
+
+    def walk(t: _Tokens, n: int) -> pa.Array:
+        t = t.where(t.kind != COMMENT)
+        brace = _Braces(t)
+        own = brace.open & (brace.argument == 1) & t.named(known, brace.owner)
+        shut = brace.close & picked(own, brace.partner, False).astype(bool)
+        called_by = np.where(own, brace.owner, np.where(shut, picked(brace.owner, brace.partner, 0), 0))
+        blank, next_own = t.blank, lambda by: picked(own, t.place(by), False).astype(bool)
+        follows = next_own(1) | (picked(blank, t.place(1), False).astype(bool) & next_own(2))
+        called = (t.kind == COMMAND) & t.named(known) & follows
+        gap = blank & picked(called, t.place(-1), False).astype(bool)
+        drops = t.named(drop, called_by)
+        dropped = t.sums((own & drops).astype(np.int64) - (shut & drops))
+        gone = called | gap | own | shut | (dropped > 0)
+        plain = pa.array([x[1] if len(x) == 2 and x[0] == "\\" and x[1] in "#$%&_{}" else x for x in t.texts.to_pylist()], pa.string())
+        lengths = np.where(gone, 0, pc.utf8_length(plain).to_numpy(zero_copy_only=False)[t.codes] if len(t.codes) else 0)
+        start = t.sums(lengths) - lengths
+        kind = t.number({name: kinds.index(mark) for name, mark in marks.items()}, brace.owner, -1)
+        at = np.flatnonzero(own & (kind >= 0) & (dropped == 0))
+        length = start[brace.partner[at]] - start[at]
+        order = np.lexsort((kind[at], -length, start[at], t.row[at]))
+        at, length = at[order], length[order]
+        found = _listed(t.row[at], n, start=pa.array(start[at], pa.int64()), length=pa.array(length, pa.int64()), type=pa.array(kinds, pa.string()).take(pa.array(kind[at])))
+        return pa.StructArray.from_arrays([t.joined(t.row, n, ~gone, plain), found], names=["plain", "spans"])
+
+    return docs.select(key, _by_slices(_SPANS, walk)(_tokens(F.col(text))).alias("_s")).select(key, "_s.plain", "_s.spans")
+
+
+_ITEMS = T.ArrayType(T.StructType().add("depth", T.IntegerType()).add("text", T.StringType()))
+_FOUND = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "name")] + [T.StructField("level", T.IntegerType())] + [T.StructField(x, T.StringType()) for x in ("text", "captioned", "labelled")] + [T.StructField("items", _ITEMS)]))
+
+
+def _elements(t: _Tokens, n: int) -> pa.Array:
+    """The elements of documents as _FOUND: kind (null: of text), name, level, the tokens of text, of the first caption and label with their braces, and all items."""
+    t = t.where((t.kind != COMMENT) & ~((t.kind == SHIELD) & t.named(["comment"])))
+    brace = _Braces(t)
+    document = t.named(["document"])
+    start = t.last((t.kind == BEGIN) & document)
+    final = np.searchsorted(t.row, t.row, side="right") - 1  # the last token of the document
+    after = t.index > picked(start, final, -1)
+    before = t.sums(((t.kind == END) & document).astype(np.int64)) == 0
+    t, brace = t.where(after & before), brace.where(after & before)
+    double = t.reads("$$")
+    sign = np.where(double, 2 - t.sums(double.astype(np.int64)) % 2, t.reads("\\[") + 2 * t.reads("\\]"))
+    numbers = [t.numbers.setdefault(x, len(t.numbers) + 1) for x in ("$$", "[")]
+    t.name = np.where(sign > 0, np.where(double, *numbers), t.name)
+    opens = (t.kind == BEGIN) | (sign == 1)
+    partner, _ = t.pairs(opens, (t.kind == END) | (sign == 2), t.name)
+    env_open, env_close = opens & (partner >= 0), ~opens & (partner >= 0)
+    passes = t.named(PASS_THROUGH)
+    into, out = env_open & ~passes, env_close & ~passes
+    depth = t.sums(into.astype(np.int64) - out)
+    styled = (partner >= 0) & passes & (depth == 0)
+    # arguments of the outermost environments and of styles are no text
+    limit = np.where(depth == 1, t.number(ARGUMENTS, brace.owner, 0), np.where(t.named(PASS_THROUGH, brace.owner) & (depth == 0), 9, 0))
+    only = brace.argument == 1
+    setup = brace.inside(t, (brace.of == BEGIN) & (brace.argument <= limit))[1]
+    held = {name: brace.inside(t, only & t.named([of], brace.owner)) for name, of in (("captioned", "caption"), ("labelled", "label"))}
+    title_open, titled, _ = brace.inside(t, only & t.named(SECTIONS, brace.owner) & (depth == 0))
+    at = lambda flags, by: picked(flags, t.place(by), False).astype(bool)
+    heads = (t.kind == COMMAND) & t.named(SECTIONS) & (depth == 0) & np.where(at(t.blank, 1), at(title_open, 2), at(title_open, 1))
+    code = (t.kind == SHIELD) & (depth == 0)
+    starts = (into & (depth == 1)) | code | heads
+    shuts = (out & (depth == 0)) | code | ((t.kind == CLOSE) & titled & ~at(titled, 1))
+    begins = starts | t.new | at(shuts, -1)
+    element = np.cumsum(begins) - 1
+    # lists inside: the item of a token is the last one at its own depth
+    is_list = t.named(KINDS["list"])
+    list_in, list_out = env_open & is_list, env_close & is_list
+    lists = t.sums(list_in.astype(np.int64) - list_out)
+    is_item = (t.kind == COMMAND) & t.named(["item"]) & (lists > 0)
+    item = t.grouped(np.maximum(lists, 0), lambda laid, at: picked(at, laid.last((is_item | list_in)[at]), -1))
+    in_item = (lists > 0) & picked(is_item, item, False).astype(bool) & ~list_in & ~list_out & ~is_item
+    edge, brace_sign = starts | shuts, (t.kind == OPEN) | (t.kind == CLOSE)
+    gone = styled | setup | (~(t.kind == SHIELD) & ((edge & (t.kind != CLOSE)) | (titled & brace_sign & (title_open | shuts))))
+    firsts = np.flatnonzero(begins)
+    m = len(firsts)
+    # a row for each element
+    heading, shield, formula, outer = heads[firsts], code[firsts], np.isin(t.name[firsts], numbers) & starts[firsts], (into & starts)[firsts]
+    names = pa.array([None, *t.numbers], pa.string())
+    kinds = [None, "heading", "code", "equation", *KINDS, "embed"]
+    by_name = t.number({name: kinds.index(kind) for kind, of in KINDS.items() for name in of}, t.name[firsts], kinds.index("embed"))
+    kind = np.select([heading, shield, formula, outer], [1, 2, 3, by_name], 0)
+    level = t.number(SECTIONS, t.name[firsts], 0)
+    texts = {}
+    for name, (_, inside, no) in held.items():
+        where = np.flatnonzero(inside)
+        chosen = np.zeros(m, np.int64)
+        chosen[element[where[::-1]]] = no[where[::-1]]  # of the first in the element
+        texts[name] = t.joined(element, m, inside & (no == chosen[element]) if m else inside)
+    # items by element, then by where they begin
+    which = element * (len(t.row) + 1) + item
+    keys, groups = np.unique(which[in_item], return_inverse=True)
+    of = np.zeros(len(t.row), np.int64)
+    of[in_item] = groups
+    begin = keys % (len(t.row) + 1)
+    per = np.bincount(keys // (len(t.row) + 1), minlength=m)
+    items = pa.StructArray.from_arrays([pa.array(lists[begin], pa.int32()), t.joined(of, len(keys), in_item)], names=["depth", "text"])
+    ends = np.concatenate([[0], np.cumsum(per)])
+    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(per == 0, False)), items)
+    return _listed(
+        t.row[firsts], n, kind=pa.array(kinds, pa.string()).take(pa.array(kind)), name=names.take(pa.array(np.where((kind > 1), t.name[firsts], 0))),
+        level=pa.array(level, pa.int32(), mask=~heading), text=t.joined(element, m, ~gone), captioned=texts["captioned"], labelled=texts["labelled"], items=listed,
+    )
 
 
 def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -237,68 +351,47 @@ def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
     (PASS_THROUGH) and comments give way to what they hold. text: what the environment holds, without arguments. caption, label: the first inside.
     items (depth, text): of all lists inside, nested ones too, in order. What has no partner of its name is text.
     """
-    rows = _arguments(tokens(docs, key, text).where("kind <> 'comment' AND NOT (kind = 'shield' AND name = 'comment')"), key)
-    running, order = _running(key), _order(key)
-    start = F.max(F.when((F.col("kind") == "begin") & (F.col("name") == "document"), F.col("pos"))).over(Window.partitionBy(key))
-    stop = F.min(F.when((F.col("kind") == "end") & (F.col("name") == "document"), F.col("pos"))).over(Window.partitionBy(key))
-    rows = rows.withColumns({"_start": start, "_stop": stop}).where((F.coalesce("_start", F.lit(-1)) < F.col("pos")) & (F.coalesce("_stop", F.col("pos") + 1) > F.col("pos"))).drop("_start", "_stop")
-    dollars = F.sum(_count(F.col("token") == "$$")).over(running) % 2
-    rows = rows.withColumn("_sign", F.when(F.col("token") == "$$", F.when(dollars == 1, "open").otherwise("close")).when(F.col("token") == "\\[", "open").when(F.col("token") == "\\]", "close"))
-    rows = rows.withColumn("name", F.when(F.col("_sign").isNotNull(), F.when(F.col("token") == "$$", "$$").otherwise("[")).otherwise(F.col("name")))
-    rows = paired(rows, key, (F.col("kind") == "begin") | (F.col("_sign") == "open"), (F.col("kind") == "end") | (F.col("_sign") == "close"), "env", "name")
-    passes = F.col("name").isin(*PASS_THROUGH)
-    rows = rows.withColumns({"_in": F.col("env_open") & ~passes, "_out": F.col("env_close") & ~passes, "_styled": (F.col("env_open") | F.col("env_close")) & passes})
-    rows = rows.withColumn("depth", F.sum(F.col("_in").cast("int") - F.col("_out").cast("int")).over(running))
-    rows = rows.withColumn("_styled", F.col("_styled") & (F.col("depth") == 0))
-    # arguments of the outermost environments and of styles are no text
-    most = F.create_map(*(F.lit(x) for pair in ARGUMENTS.items() for x in pair))[F.col("owner")]
-    limit = F.when(F.col("depth") == 1, F.coalesce(most, F.lit(0))).when(F.col("owner").isin(*PASS_THROUGH) & (F.col("depth") == 0), 9).otherwise(0)
-    only = F.col("argument") == 1
-    rows = _inside(
-        rows, key, setup=(F.col("of") == "begin") & (F.col("argument") <= limit), captioned=only & (F.col("owner") == "caption"),
-        labelled=only & (F.col("owner") == "label"), titled=only & F.col("owner").isin(*SECTIONS) & (F.col("depth") == 0),
-    )
-    ahead = F.when(F.lead("token").over(order).rlike(r"^\s*$"), F.lead("_titled", 2).over(order)).otherwise(F.lead("_titled").over(order))
-    heads = (F.col("kind") == "command") & F.col("name").isin(*SECTIONS) & (F.col("depth") == 0) & F.coalesce(ahead, F.lit(False))
-    rows = rows.withColumn("_heads", heads)
-    opens = (F.col("_in") & (F.col("depth") == 1)) | ((F.col("kind") == "shield") & (F.col("depth") == 0)) | F.col("_heads")
-    shuts = (F.col("_out") & (F.col("depth") == 0)) | ((F.col("kind") == "shield") & (F.col("depth") == 0)) | ((F.col("kind") == "close") & F.col("titled") & ~F.coalesce(F.lead("titled").over(order), F.lit(False)))
-    rows = rows.withColumns({"_opens": opens, "_shuts": shuts})
-    starts = F.col("_opens") | F.coalesce(F.lag("_shuts").over(order), F.lit(True))
-    rows = rows.withColumn("element", F.sum(starts.cast("int")).over(running))
-    # lists inside: the item of a token is the last one at its own depth
-    lists = F.col("name").isin(*KINDS["list"])
-    rows = rows.withColumns({"_list_in": F.col("env_open") & lists, "_list_out": F.col("env_close") & lists})
-    rows = rows.withColumn("lists", F.sum(F.col("_list_in").cast("int") - F.col("_list_out").cast("int")).over(running))
-    is_item = (F.col("kind") == "command") & (F.col("name") == "item") & (F.col("lists") > 0)
-    rows = rows.withColumn("_item", F.when(F.coalesce(is_item, F.lit(False)), F.col("pos")).when(F.col("_list_in"), -1))
-    rows = rows.withColumn("item", F.last("_item", ignorenulls=True).over(Window.partitionBy(key, "lists").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    in_item = (F.col("lists") > 0) & (F.col("item") >= 0) & ~F.col("_list_in") & ~F.col("_list_out") & ~F.coalesce(F.col("_item") >= 0, F.lit(False))
-    edge = F.col("_opens") | F.col("_shuts")
-    body = F.when(F.col("_styled") | F.col("setup"), F.lit(None)).when(F.col("kind") == "shield", F.col("token")).when(edge & (F.col("kind") != "close"), F.lit(None)).when(F.col("titled") & (F.col("kind").isin("open", "close")), F.when(F.col("_titled") | F.col("_shuts"), F.lit(None)).otherwise(F.col("token"))).otherwise(F.col("token"))
-    rows = rows.withColumn("body", body)
-    listed = lambda column, where: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(where & column.isNotNull(), F.struct("pos", column.alias("t"))))), lambda x: x["t"]), "")
-    held = lambda name: F.array_sort(F.collect_list(F.when(F.col(name), F.struct("pos", F.col(f"{name}_no").alias("no"), "token")))).alias(name)
-    inner = lambda name: F.regexp_replace(F.array_join(F.transform(F.filter(name, lambda x: x["no"] == F.get(name, F.lit(0))["no"]), lambda x: x["token"]), ""), r"^\{|\}\z", "")
-    kind_of = F.create_map(*(F.lit(x) for kind, names in KINDS.items() for name in names for x in (name, kind)))
-    kind = F.when(F.col("_heads"), "heading").when(F.col("kind") == "shield", "code").when(F.col("name").isin("$$", "["), "equation").when(F.col("_in"), F.coalesce(kind_of[F.col("name")], F.lit("embed")))
-    level = F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))[F.col("name")]
-    head = lambda column: F.min_by(F.struct(F.when(F.col("_opens"), column).alias("v")), "pos")["v"]
-    items = rows.where(in_item).groupBy(key, "element", "item").agg(F.first("lists").alias("depth"), F.trim(F.regexp_replace(listed(F.col("token"), F.lit(True)), r"^\s+|\s+\z", "")).alias("t"))
-    items = items.groupBy(key, "element").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "depth", F.col("t").alias("text")))), lambda x: F.struct(x["depth"].cast("int").alias("depth"), x["text"].alias("text"))).alias("items"))
-    found = rows.groupBy(key, "element").agg(
-        head(kind).alias("kind"), head(F.when(F.col("kind") != "command", F.col("name"))).alias("name"), head(F.when(F.col("_heads"), level)).alias("level"),
-        listed(F.col("body"), F.lit(True)).alias("text"), held("captioned"), held("labelled"),
-    )
-    found = found.join(items, [key, "element"], "left")
-    code = F.regexp_replace(F.regexp_replace("text", r"^\\begin\{[a-z]+\*?\}(?:\[[^\]]*\])?(?:\{[^}\n]*\})?\n?", ""), r"\n?\\end\{[a-z]+\*?\}\z", "")
+    inner = lambda x: F.nullif(F.regexp_replace(x, r"^\{|\}\z", ""), F.lit(""))
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
-    lone = F.transform(F.split("text", r"\n[ \t]*\n\s*"), lambda p: F.regexp_replace(p, r"(?m)^[ \t]*\\[A-Za-z]+\*?[ \t]*(?:\n|\z)", ""))
-    parts = F.filter(lone, lambda p: ~p.rlike(r"^\s*$"))
-    bodies = F.when(F.col("kind").isNull(), F.transform(parts, lambda p: F.regexp_replace(strip(p), r"[ \t]+\n", "\n"))).when(F.col("kind") == "code", F.array(code)).otherwise(F.array(strip(F.col("text"))))
-    null_if_empty = lambda c: F.when(F.col("kind").isNotNull() & (F.col("kind") != "heading"), F.nullif(c, F.lit("")))
-    out = found.select(key, "element", F.coalesce("kind", F.lit("paragraph")).alias("kind"), "name", "level", null_if_empty(inner("captioned")).alias("caption"), null_if_empty(inner("labelled")).alias("label"), F.when(F.col("kind").isNotNull(), F.col("items")).alias("items"), F.posexplode(bodies).alias("part", "text"))
-    return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("element", "part")) - 1).alias("pos"), "kind", "name", "level", "text", "caption", "label", "items")
+
+    def bodies(x: Column) -> Column:
+        code = F.regexp_replace(F.regexp_replace(x["text"], r"^\\begin\{[a-z]+\*?\}(?:\[[^\]]*\])?(?:\{[^}\n]*\})?\n?", ""), r"\n?\\end\{[a-z]+\*?\}\z", "")
+        lone = F.transform(F.split(x["text"], r"\n[ \t]*\n\s*"), lambda p: F.regexp_replace(p, r"(?m)^[ \t]*\\[A-Za-z]+\*?[ \t]*(?:\n|\z)", ""))
+        parts = F.transform(F.filter(lone, lambda p: ~p.rlike(r"^\s*$")), lambda p: F.regexp_replace(strip(p), r"[ \t]+\n", "\n"))
+        return F.when(x["kind"].isNull(), parts).when(x["kind"] == "code", F.array(code)).otherwise(F.array(strip(x["text"])))
+
+    def told(x: Column, body: Column) -> Column:
+        whole = F.coalesce(x["kind"] != "heading", F.lit(False))
+        items = F.transform(x["items"], lambda i: F.struct(i["depth"].alias("depth"), F.trim(strip(i["text"])).alias("text")))
+        return F.struct(
+            F.coalesce(x["kind"], F.lit("paragraph")).alias("kind"), x["name"].alias("name"), x["level"].alias("level"), body.alias("text"),
+            F.when(whole, inner(x["captioned"])).alias("caption"), F.when(whole, inner(x["labelled"])).alias("label"), F.when(x["kind"].isNotNull(), items).alias("items"),
+        )
+
+    found = docs.select(key, _by_slices(_FOUND, _elements)(_tokens(F.col(text))).alias("_found"))
+    each = F.flatten(F.transform("_found", lambda x: F.transform(bodies(x), lambda body: told(x, body))))
+    return found.select(key, F.posexplode(each).alias("pos", "_x")).select(key, "pos", "_x.*")
+
+
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("entry", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("page", T.StringType())]))
+
+
+def _entries(t: _Tokens, n: int) -> pa.Array:
+    """The entries of auxiliary files that have a label or page, as _ENTRIES; with the braces of both."""
+    brace = _Braces(t)
+    ours = t.named(["newlabel"], brace.owner)
+    value_open, value, _ = brace.inside(t, ours & (brace.argument == 2))
+    _, label, _ = brace.inside(t, ours & (brace.argument == 1))
+    entry = t.sums(((t.kind == COMMAND) & t.named(["newlabel"])).astype(np.int64))
+    outer = picked(brace.depth, t.last(value_open), -1)
+    group = brace.open & value & (brace.depth == outer + 1)
+    number = t.grouped(entry, lambda laid, at: laid.sums(group[at].astype(np.int64)))
+    _, page, _ = brace.inside(t, group & (number == 2))
+    keys, groups = np.unique(t.row * (len(t.row) + 1) + entry, return_inverse=True)
+    keep = np.bincount(groups, label | page, minlength=len(keys)) > 0
+    texts = [t.joined(groups, len(keys), x).filter(pa.array(keep)) for x in (label, page)]
+    row, entry = keys[keep] // (len(t.row) + 1), keys[keep] % (len(t.row) + 1)
+    return _listed(row, n, entry=pa.array(entry, pa.int32()), label=texts[0], page=texts[1])
 
 
 def page_map(docs: DataFrame, key: str, text: str, prefix: str = "blk-") -> DataFrame:
@@ -306,17 +399,8 @@ def page_map(docs: DataFrame, key: str, text: str, prefix: str = "blk-") -> Data
 
     An entry is \newlabel{label}{{number}{page}...}; groups may hold groups. Only whole numbers are pages; of a label that is defined more than once the last counts.
     """
-    rows = _arguments(tokens(docs, key, text), key)
-    ours = F.col("owner") == "newlabel"
-    rows = _inside(rows, key, value=ours & (F.col("argument") == 2), label=ours & (F.col("argument") == 1))
-    running = _running(key)
-    rows = rows.withColumn("entry", F.sum(_count((F.col("kind") == "command") & (F.col("name") == "newlabel"))).over(running))
-    outer = F.last(F.when(F.col("_value"), F.col("brace_depth")), ignorenulls=True).over(running)
-    rows = rows.withColumn("_group", F.coalesce(F.col("brace_open") & F.col("value") & (F.col("brace_depth") == outer + 1), F.lit(False)))
-    within = Window.partitionBy(key, "entry").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_number", F.sum(F.col("_group").cast("int")).over(within))
-    rows = _inside(rows, key, page=F.col("_group") & (F.col("_number") == 2))
-    held = lambda name: F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(name), F.struct("pos", "token")))), lambda x: x["token"]), ""), r"^\{|\}\z", "")
-    found = rows.where(F.col("label") | F.col("page")).groupBy(key, "entry").agg(held("label").alias("label"), F.trim(held("page")).try_cast("int").alias("page"))
+    bare = lambda x: F.regexp_replace(x, r"^\{|\}\z", "")
+    rows = docs.select(key, F.inline(_by_slices(_ENTRIES, _entries)(_tokens(F.col(text)))))
+    found = rows.select(key, "entry", bare(F.col("label")).alias("label"), F.trim(bare(F.col("page"))).try_cast("int").alias("page"))
     found = found.where(F.startswith("label", F.lit(prefix)) & F.col("page").isNotNull())
     return found.groupBy(key, F.substring("label", len(prefix) + 1, 1 << 30).alias("label")).agg(F.max_by("page", "entry").alias("page"))
