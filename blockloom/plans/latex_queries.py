@@ -92,8 +92,9 @@ def latex_spans(t: Tables) -> DataFrame:
     SELECT o_custkey, label::VARCHAR AS label, arg_max(o_orderkey % 900 + 1, o_orderkey)::INT AS page FROM o GROUP BY 1, 2""")
 def page_numbers(t: Tables) -> DataFrame:
     """Pages of blocks from auxiliary files: nested titles, roman pages, other labels, and labels defined again."""
-    key = F.col("o_orderkey")
-    page = F.when(key % 7 == 3, "iv").otherwise((key % 900 + 1).cast("string"))
-    entry = _text("\\relax \n\\newlabel{sec:", key.cast("string"), "}{{9}{99}}\n\\newlabel{blk-", (key % 5).cast("string"), "}{{1.", key.cast("string"), "{a}}{", page, "}{Of \\{ {\\bf x} {y}}{figure.1}{}}\n\\@writefile{toc}{\\contentsline {section}{\\numberline {1}T}{7}{}}\n")
-    files = spread(t.orders.select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("aux"))
+    page = lambda key: F.when(key % 7 == 3, "iv").otherwise((key % 900 + 1).cast("string"))
+    entry = lambda key: _text("\\relax \n\\newlabel{sec:", key.cast("string"), "}{{9}{99}}\n\\newlabel{blk-", (key % 5).cast("string"), "}{{1.", key.cast("string"), "{a}}{", page(key), "}{Of \\{ {\\bf x} {y}}{figure.1}{}}\n\\@writefile{toc}{\\contentsline {section}{\\numberline {1}T}{7}{}}\n")
+    # the keys are gathered, and become texts in the row of their file
+    files = spread(t.orders.select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    files = files.select("o_custkey", F.array_join(F.transform("keys", entry), "").alias("aux"))
     return latex.page_map(files, "o_custkey", "aux")
