@@ -34,6 +34,16 @@ TOKEN = "|".join((
     rf"\\begin\{{[A-Za-z]+\*?\}}{_OPTION}", r"\\end\{[A-Za-z]+\*?\}", rf"\\[A-Za-z]+\*?{_OPTION}", r"\\[\s\S]",
     r"%[^\n]*", r"\$\$?", r"[{}]", r"[^\\{}$%]+", r"\\",
 ))
+_IF = r"(?:if[A-Za-z]+|else|fi)(?![A-Za-z])"
+_RUN = "|".join((
+    r"[^\\%]+", r"\\(?:" + "|".join((
+        rf"(?!{_IF})(?:begin\{{({_VERBATIM})(\*?)\}}[\s\S]*?\\end\{{\1\2\}}",
+        rf"(?:verb\*?|lstinline{_OPTION}|mintinline\{{[^{{}}]*\}})(?:\{{[^{{}}]*\}}|([^A-Za-z\s*{{])[\s\S]*?\3)",
+        rf"begin\{{[A-Za-z]+\*?\}}{_OPTION}", rf"[A-Za-z]+\*?{_OPTION})", r"[^A-Za-z]", r"(?![\s\S])",
+    )) + ")", r"%[^\n]*",
+))
+#: For conditionals: a command of theirs, and all up to the next one, are one token; what TOKEN shields is read over.
+IF_TOKEN = rf"(?:\\{_IF}\*?{_OPTION}|(?!\\{_IF})(?=[\s\S]))(?:{_RUN})*+"
 
 #: Environments by what they become, those that only style what they hold, and brace arguments of those that take any (fixed values).
 KINDS = {
@@ -58,24 +68,33 @@ MARKS = {"textbf": "bold", "textit": "italic", "emph": "italic", "underline": "u
 
 
 TEXT, OPEN, CLOSE, MATH, COMMENT, SHIELD, BEGIN, END, VERB, COMMAND, ESCAPE = range(11)
+_WORD = re.compile(r"\\([A-Za-z]+)")
+_SPECIAL = ("begin", "end", "verb", "lstinline", "mintinline")
 _STARTS = (
     (SHIELD, rf"\\begin\{{(?:{_VERBATIM})\*?\}}[\s\S]*\\end\{{"), (BEGIN, r"\\begin\{"), (END, r"\\end\{"),
-    (VERB, r"\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|\\mintinline"), (COMMAND, r"\\[A-Za-z]"),
+    (VERB, r"\\(?:verb|lstinline|mintinline)[^A-Za-z\s][\s\S]|\\mintinline"),
 )
 _STARTS = tuple((kind, re.compile(pattern, re.ASCII)) for kind, pattern in _STARTS)
-_NAMES = {BEGIN: (named := re.compile(r"\\(?:begin|end)\{([A-Za-z]+)")), END: named, SHIELD: named, COMMAND: re.compile(r"\\([A-Za-z]+)")}
+_ENVIRONMENT = re.compile(r"\\(?:begin|end)\{([A-Za-z]+)")
+_SPACES = " \t\n\r\f\v\u0085\u2028\u2029"
 _BLANK = re.compile(r"\s*[\u0085\u2028\u2029]?", re.ASCII)
 
 
-def _kind(token: str) -> int:
+def _told(token: str) -> tuple[int, str | None]:
+    """Kind and name of a token."""
     if token[0] != "\\":
-        return {"{": OPEN, "}": CLOSE, "$": MATH, "%": COMMENT}.get(token[0], TEXT)
-    return next((kind for kind, pattern in _STARTS if pattern.match(token)), ESCAPE)
+        return {"{": OPEN, "}": CLOSE, "$": MATH, "%": COMMENT}.get(token[0], TEXT), None
+    word = _WORD.match(token)
+    if not word:
+        return ESCAPE, None
+    kind = next((kind for kind, pattern in _STARTS if pattern.match(token)), COMMAND) if word[1].startswith(_SPECIAL) else COMMAND
+    found = None if kind == VERB else word if kind == COMMAND else _ENVIRONMENT.match(token)
+    return kind, found and found[1]
 
 
-def _tokens(text: Column) -> Column:
+def _tokens(text: Column, token: str = TOKEN) -> Column:
     """array<string>: the tokens in order; joined, they are the text again. A null text has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token), F.lit(0))
 
 
 class _Tokens(scans.Laid):
@@ -93,10 +112,9 @@ class _Tokens(scans.Laid):
         texts = flat.dictionary
         kinds, names, blanks, numbers = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), {}
         for i, token in enumerate(texts.to_pylist()):
-            kinds[i] = kind = _kind(token)
-            found = _NAMES[kind].match(token) if kind in _NAMES else None
-            names[i] = numbers.setdefault(found[1], len(numbers) + 1) if found else 0
-            blanks[i] = _BLANK.fullmatch(token) is not None
+            kinds[i], name = _told(token)
+            names[i] = numbers.setdefault(name, len(numbers) + 1) if name else 0
+            blanks[i] = token[0] in _SPACES and _BLANK.fullmatch(token) is not None
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         return cls(texts, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), (kinds, names, blanks), numbers)
 
@@ -119,12 +137,16 @@ class _Tokens(scans.Laid):
                 out[self.numbers[name]] = value
         return out[of]
 
-    def joined(self, groups: np.ndarray, n: int, keep: np.ndarray, texts: pa.Array | None = None) -> pa.Array:
-        """The kept tokens of each of n groups, in order, as one text; groups are numbers from 0."""
+    def joined(self, groups: np.ndarray, n: int, keep: np.ndarray, texts: pa.Array | None = None, changed: np.ndarray | None = None) -> pa.Array:
+        """The kept tokens of each of n groups, in order, as one text; groups are numbers from 0. texts: what tokens are to read instead, those that changed, if not all."""
+        if changed is not None:
+            codes, texts = self.codes + changed * len(self.texts), pa.concat_arrays([self.texts, texts])
+        else:
+            codes, texts = self.codes, self.texts if texts is None else texts
         at = np.flatnonzero(keep)
         at = at[np.argsort(groups[at], kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(groups[at], minlength=n))])
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), (self.texts if texts is None else texts).take(pa.array(self.codes[at]))), "")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(pa.array(codes[at]))), "")
 
 
 class _Braces:
@@ -197,9 +219,10 @@ def branches(docs: DataFrame, key: str, text: str, true: tuple[str, ...] = TRUE_
         step = np.where(begin == t.index, second, np.where(other, np.where(second, -1, 1), -at_end.astype(np.int64)))
         mark = (first | second) & ~(other & (no > 2))
         dead = t.sums(np.where(mark, step, 0))
-        return t.joined(t.row, n, ~mark & (dead == 0))
+        after = pc.replace_substring_regex(t.texts, rf"^\\(?:if[A-Za-z]+|else|fi)\*?{_OPTION}", "", max_replacements=1)
+        return t.joined(t.row, n, dead == 0, after, mark)
 
-    return docs.select(key, _by_slices(T.StringType(), walk)(_tokens(F.col(text))).alias("text"))
+    return docs.select(key, _by_slices(T.StringType(), walk)(_tokens(F.col(text), IF_TOKEN)).alias("text"))
 
 
 def inline_code(text: Column) -> Column:
