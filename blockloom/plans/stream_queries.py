@@ -90,7 +90,8 @@ def _changes(t: Tables, streamed: bool) -> DataFrame:
     SELECT (user_id % 7)::VARCHAR AS document, user_id::VARCHAR AS "user" FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events WHERE event_type NOT IN ('purchase', 'error', 'view') GROUP BY 1) WHERE last <> 'signup'""")
 def stream_presence(t: Tables) -> DataFrame:
     """Users in documents, by a stream's state."""
-    return documents.present(_changes(t, True))
+    last = documents.users(editor_actions(stream.event_stream(t.spark, t.folder)), "doc", "user_id", "ts", "event_id", "action")
+    return stream.run_once(last).where("action = 'join'").drop("action")
 
 
 @catalog.query()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.shuffle import ExternalSorter
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -75,17 +75,31 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
+def _actions(events: DataFrame, document: str, user: str, block: Column, ts: str, seq: str, action: str) -> DataFrame:
+    return events.select(
+        F.col(document).cast("string").alias("document"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).cast("long").alias("seq"), F.col(user).cast("string").alias("user"), block.cast("string").alias("block"), F.col(action).alias("action")
+    ).where("document IS NOT NULL AND user IS NOT NULL AND at IS NOT NULL")
+
+
 def changes(events: DataFrame, document: str, user: str, block: str, ts: str, seq: str, action: str, lock_seconds: int = 900) -> DataFrame:
     """CHANGE rows of a stream or a batch of events; at: microseconds since 1970. Rows without document, user or time are left out.
 
     On a stream the events of one micro-batch are taken in the order of time; one that comes in a later batch counts as later.
     """
-    rows = events.select(
-        F.col(document).cast("string").alias("document"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).cast("long").alias("seq"), F.col(user).cast("string").alias("user"), F.col(block).cast("string").alias("block"), F.col(action).alias("action")
-    ).where("document IS NOT NULL AND user IS NOT NULL AND at IS NOT NULL")
+    rows = _actions(events, document, user, F.col(block), ts, seq, action)
     return rows.groupBy("document").transformWithState(Documents(lock_seconds), StructType.fromDDL(CHANGE), "Append", "None")
 
 
+def users(events: DataFrame, document: str, user: str, ts: str, seq: str, action: str) -> DataFrame:
+    """document, user, action: what each user of a document last did of joining and leaving, on a stream (in complete mode) or a batch.
+
+    Users do not wait for one another, so the state is one row for each, spread over the tasks, and no document is sorted. The last in time counts,
+    in whatever batch it came. Rows without document, user or time are left out.
+    """
+    rows = _actions(events, document, user, F.lit(None), ts, seq, action).where(F.col("action").isin("join", "leave", "disconnect"))
+    return rows.groupBy("document", "user").agg(F.max_by("action", F.struct("at", "seq")).alias("action"))
+
+
 def present(log: DataFrame) -> DataFrame:
     """document, user: who is there after all changes."""
     last = log.where(F.col("change").isin("joined", "left")).groupBy("document", "user").agg(F.max_by("change", F.struct("at", "seq")).alias("last"))
