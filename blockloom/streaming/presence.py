@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,31 +34,54 @@ class Documents(StatefulProcessor):
         self.locks = handle.getMapState("locks", "block string", "user string, since long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        """State is asked once for each user that comes and once for all locks, and what differs at the end is written, as each call leaves the worker."""
+        asked: dict[str, int | None] = {}  # since when users are there, in the state
+        there: dict[str, int | None] = {}  # and now
+        stored = {block[0]: (lock[0], lock[1]) for block, lock in self.locks.iterator()}
+        locks, own = dict(stored), defaultdict(set)
+        for block, (holder, _) in locks.items():
+            own[holder].add(block)
+
+        def release(block: str) -> None:
+            own[locks.pop(block)[0]].discard(block)
+
         for r in ExternalSorter(SORT_MB).sorted(rows, key=lambda r: (r.at, r.seq)):  # on the worker's disk beyond that
-            user, block = (r.user,), (r.block,)
             change = lambda kind, b=None, u=r.user: Row(document=key[0], at=r.at, seq=r.seq, user=u, block=b, change=kind)  # noqa: B023, E731
-            if r.action == "join" and not self.users.containsKey(user):
-                self.users.updateValue(user, (r.at,))
+            if r.action in ("join", "leave", "disconnect") and r.user not in there:
+                there[r.user] = asked[r.user] = self.users.getValue((r.user,))[0] if self.users.containsKey((r.user,)) else None
+            if r.action == "join" and there[r.user] is None:
+                there[r.user] = r.at
                 yield change("joined")
             elif r.action in ("leave", "disconnect"):
-                if self.users.containsKey(user):
-                    self.users.removeKey(user)
+                if there[r.user] is not None:
+                    there[r.user] = None
                     yield change("left")
-                for held in sorted(b[0] for b, lock in self.locks.iterator() if lock[0] == r.user):
-                    self.locks.removeKey((held,))
+                for held in sorted(own.get(r.user, ())):
+                    release(held)
                     yield change("released", held)
             elif r.action == "lock":
-                lock = self.locks.getValue(block) if self.locks.containsKey(block) else None
+                lock = locks.get(r.block)
                 if lock and lock[0] != r.user and r.at - lock[1] < self.lock_us:
                     yield change("refused", r.block)
                 elif not lock or lock[0] != r.user:
                     if lock:
+                        release(r.block)
                         yield change("expired", r.block, lock[0])
-                    self.locks.updateValue(block, (r.user, r.at))
+                    locks[r.block] = (r.user, r.at)
+                    own[r.user].add(r.block)
                     yield change("locked", r.block)
-            elif r.action == "unlock" and self.locks.containsKey(block) and self.locks.getValue(block)[0] == r.user:
-                self.locks.removeKey(block)
+            elif r.action == "unlock" and r.block in locks and locks[r.block][0] == r.user:
+                release(r.block)
                 yield change("released", r.block)
+        self._write(self.users, {u: None if x is None else (x,) for u, x in asked.items()}, {u: None if x is None else (x,) for u, x in there.items()})
+        self._write(self.locks, stored, locks)
+
+    @staticmethod
+    def _write(state: object, before: dict[str, tuple | None], now: dict[str, tuple | None]) -> None:
+        for key in before.keys() | now.keys():
+            value = now.get(key)
+            if value != before.get(key):
+                state.updateValue((key,), value) if value is not None else state.removeKey((key,))
 
     def close(self) -> None:
         pass
